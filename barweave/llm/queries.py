@@ -10,12 +10,22 @@ from .quality import quality_verdicts
 from .secrets import scan_secrets
 from .sentencepiece_codec import sentencepiece_digest
 from .simhash import simhash_components
+from .suffix_array import remove_repeated_bytes
+from .suffix_tree import remove_repeated_words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(_table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 

@@ -12,7 +12,7 @@ BUCKET_BITS = 16
 #: At most so many labelled documents make the target model (smallest hashes of their ids first).
 MAX_TARGET_DOCS = 20_000
 #: Texts whose mean log ratio per n-gram is below this are rejected.
-THRESHOLD = -0.1
+THRESHOLD = -0.12
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True

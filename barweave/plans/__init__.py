@@ -1 +1,8 @@
+"""Registered query plans."""
 
+
+def load() -> tuple[dict, dict]:
+    from . import catalogue_bars  # noqa: F401
+    from .registry import ORACLES, QUERIES
+
+    return dict(QUERIES), dict(ORACLES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_TICKER = {"by_type": ("p_type", " JOIN part ON l_partkey = p_partkey"), "by_brand": ("p_brand", " JOIN part ON l_partkey = p_partkey"), "by_supplier": ("CAST(l_suppkey AS VARCHAR)", ""), "all": ("'ALL'", ""), "by_flag": ("'IX_' || l_returnflag", "")}
+_TICKER = {"by_type": ("p_type", " JOIN part ON l_partkey = p_partkey"), "by_brand": ("p_brand", " JOIN part ON l_partkey = p_partkey"), "by_supplier": ("CAST(l_suppkey AS VARCHAR)", ""), "all": ("'ALL'", ""), "by_region": ("r_name", " JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")}
 
 
 def r6(x: str, name: str | None = None) -> str:
@@ -91,3 +91,31 @@ def windows(source: str = "bars", name: str = "feat") -> str:
 
 def features(universe: str = "by_type") -> str:
     return f"{walk(universe)}, {recursive()}, {windows('rec')}"
+
+
+def structure(source: str = "feat", name: str = "st") -> str:
+    """Swings, structure, levels and the frames that patterns read."""
+    w = "PARTITION BY ticker ORDER BY ts"
+    f = lambda a, b: f"({w} ROWS BETWEEN {a} AND {b})"
+    pre, post, so_far = f("3 PRECEDING", "1 PRECEDING"), f("1 FOLLOWING", "3 FOLLOWING"), f("UNBOUNDED PRECEDING", "CURRENT ROW")
+    prior = f("20 PRECEDING", "1 PRECEDING")
+    box = f("56 PRECEDING", "3 PRECEDING")
+    imp, flag = f("14 PRECEDING", "5 PRECEDING"), f("4 PRECEDING", "CURRENT ROW")
+    return f"""{name}_1 AS (SELECT *, CASE WHEN count(*) OVER {pre} = 3 AND count(*) OVER {post} = 3 AND high > max(high) OVER {pre} AND high > max(high) OVER {post} THEN high END AS sh,
+ CASE WHEN count(*) OVER {pre} = 3 AND count(*) OVER {post} = 3 AND low < min(low) OVER {pre} AND low < min(low) OVER {post} THEN low END AS sl FROM {source}),
+{name}_2 AS (SELECT *, CASE WHEN sh IS NOT NULL THEN struct_pack(p := sh, q := last_value(sh IGNORE NULLS) OVER {f('UNBOUNDED PRECEDING', '1 PRECEDING')}) END AS shs,
+ CASE WHEN sl IS NOT NULL THEN struct_pack(p := sl, q := last_value(sl IGNORE NULLS) OVER {f('UNBOUNDED PRECEDING', '1 PRECEDING')}) END AS sls FROM {name}_1),
+{name}_3 AS (SELECT *, lag(shs, 3) OVER ({w}) AS shl, lag(sls, 3) OVER ({w}) AS sll FROM {name}_2),
+{name}_4 AS (SELECT *, last_value(shl IGNORE NULLS) OVER {so_far} AS lh, last_value(sll IGNORE NULLS) OVER {so_far} AS ll FROM {name}_3),
+{name}_5 AS (SELECT *, lh.p AS last_sh, lh.q AS prev_sh, ll.p AS last_sl, ll.q AS prev_sl,
+ CASE WHEN lh.q IS NULL OR ll.q IS NULL THEN 'insufficient_data' WHEN lh.p > lh.q AND ll.p > ll.q THEN 'uptrend' WHEN lh.p < lh.q AND ll.p < ll.q THEN 'downtrend' ELSE 'sideways' END AS trend,
+ max(high) OVER {prior} AS resistance20, min(low) OVER {prior} AS support20,
+ CASE WHEN rn >= 20 THEN max(high) OVER {f('19 PRECEDING', 'CURRENT ROW')} END AS hi20, CASE WHEN rn >= 20 THEN min(low) OVER {f('19 PRECEDING', 'CURRENT ROW')} END AS lo20,
+ CASE WHEN rn >= 16 THEN max(high) OVER {f('15 PRECEDING', '1 PRECEDING')} END AS hi15p, CASE WHEN rn >= 16 THEN min(low) OVER {f('15 PRECEDING', '1 PRECEDING')} END AS lo15p,
+ lag(sma20) OVER ({w}) AS prev_sma20, lag(sma50) OVER ({w}) AS prev_sma50, lag(sma200) OVER ({w}) AS prev_sma200,
+ lag(low, 14) OVER ({w}) AS imp_low, lag(high, 14) OVER ({w}) AS imp_high, CASE WHEN rn >= 15 THEN max(high) OVER {imp} END AS imp_max, CASE WHEN rn >= 15 THEN min(low) OVER {imp} END AS imp_min,
+ max(high) OVER {flag} AS flag_high, min(low) OVER {flag} AS flag_low, avg(volume) OVER {imp} AS imp_volume, avg(volume) OVER {flag} AS flag_volume,
+ CASE WHEN bb_width IS NOT NULL AND count(bb_width) OVER {f('59 PRECEDING', 'CURRENT ROW')} >= 10 THEN min(bb_width) OVER {f('59 PRECEDING', 'CURRENT ROW')} END AS width_min, max(bb_width) OVER {f('59 PRECEDING', 'CURRENT ROW')} AS width_max,
+ list(struct_pack(n := rn, p := sh)) FILTER (WHERE sh IS NOT NULL) OVER {box} AS highs, list(struct_pack(n := rn, p := sl)) FILTER (WHERE sl IS NOT NULL) OVER {box} AS lows FROM {name}_4),
+{name} AS (SELECT *, lows[-1].p AS l3, lows[-2].p AS l2, lows[-3].p AS l1, highs[-1].p AS h3, highs[-2].p AS h2,
+ list_filter(highs, lambda h: h.n > lows[-2].n AND h.n < lows[-1].n)[1].p AS peak, list_filter(lows, lambda l: l.n > highs[-2].n AND l.n < highs[-1].n)[1].p AS trough FROM {name}_5)"""

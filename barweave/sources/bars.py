@@ -23,8 +23,9 @@ def prints(spark: SparkSession, sf_dir: str, universe: str = "by_type") -> DataF
         rows = line.withColumn("ticker", F.col("l_suppkey").cast("string"))
     elif universe == "all":
         rows = line.withColumn("ticker", F.lit("ALL"))
-    elif universe == "by_flag":
-        rows = line.withColumn("ticker", F.concat(F.lit("IX_"), "l_returnflag"))
+    elif universe == "by_region":
+        place = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        rows = line.join(place.select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("ticker")), "l_suppkey")
     else:
         part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type" if universe == "by_type" else "p_brand").alias("ticker"))
         rows = line.join(part, "l_partkey")
@@ -57,6 +58,20 @@ def walk(spark: SparkSession, sf_dir: str, universe: str = "by_type") -> DataFra
     return walk_bars(prints(spark, sf_dir, universe))
 
 
+def indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the benchmark (ALL) and of two more indices."""
+    return walk(spark, sf_dir, "all").unionByName(walk(spark, sf_dir, "by_region").where(F.col("ticker").isin("AMERICA", "ASIA")))
+
+
+#: Sectors of the supplied universes, in order.
+SECTORS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+def sector_of(ticker: Column) -> Column:
+    """A sector for a ticker that comes without one."""
+    return F.element_at(F.array(*map(F.lit, SECTORS)), (F.ascii(ticker) % 5 + 1).cast("int"))
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as ticks: symbol is the event's type, price its value, never below a cent."""
     return table(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("symbol"), F.greatest(F.col("value"), F.lit(0.01)).alias("price"), "user_id")

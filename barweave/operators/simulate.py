@@ -1,0 +1,217 @@
+"""Portfolio simulation: many runs at once, each a fold over its own days in one worker.
+
+Signals are computed once for all tickers and days; a run only reads its bars, with the signals on them. Runs
+(strategies, parameters, windows, exclusions) are rows of a table, so walk-forward, sweeps and exclusion reruns
+are more rows, folded in parallel."""
+
+from __future__ import annotations
+
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Settings:
+    capital: float = 100_000.0
+    risk_pct: float = 0.01
+    max_positions: int = 10
+    max_exposure: float = 0.8
+    max_sector_exposure: float = 1.0
+    slippage_bps: float = 5.0
+    commission_bps: float = 2.0
+    min_score: float = 75.0
+    strict_sizing: bool = False  # size entries by the close before instead of the day's own
+
+
+TRADES = (
+    "run_id string, ticker string, signal_ts date, entry_ts date, exit_ts date, entry double, exit double, stop double, target double, shares double,"
+    " gross double, fees double, slippage double, net double, r_multiple double, score double, exit_reason string, regime string"
+)
+EQUITY = "run_id string, ts date, cash double, equity double, open_positions int, exposure_pct double"
+
+
+def run_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """A row per run: run_id, strategy, start and end (dates, null: open), skip (tickers left out)."""
+    schema = "run_id string, strategy string, start date, end date, skip array<string>"
+    return spark.createDataFrame([(r["run_id"], r["strategy"], r.get("start"), r.get("end"), r.get("skip") or []) for r in rows], schema)
+
+
+def run_input(runs: DataFrame, bars: DataFrame, scored: DataFrame, sector=None) -> DataFrame:
+    """A row per run, ticker and day with the bar and, where there is one, the signal. Only tickers with a signal
+    in the run are read."""
+    sides = scored.select("ticker", "ts", "strategy", "entry", F.col("stop").alias("sig_stop"), F.col("target").alias("sig_target"), "score", "regime")
+    used = runs.join(sides.select("ticker", "strategy").distinct(), "strategy").where(~F.array_contains("skip", F.col("ticker")))
+    rows = used.join(bars, "ticker").where((F.col("start").isNull() | (F.col("ts") >= F.col("start"))) & (F.col("end").isNull() | (F.col("ts") <= F.col("end"))))
+    rows = rows.join(sides, ["ticker", "ts", "strategy"], "left")
+    return rows.select("run_id", "ticker", "ts", "open", "high", "low", "close", "entry", "sig_stop", "sig_target", "score", "regime", (sector if sector is not None else F.lit(None).cast("string")).alias("sector"))
+
+
+def fold(rows, s: Settings):
+    """Trades and equity of one run. A day: yesterday's signals fill at the open; stops and targets are checked,
+    also of what was just opened; signals of tickers not held are queued; the book is marked at the close.
+    What is left at the end is sold at its last close, after the last mark."""
+    slip, fee = s.slippage_bps / 1e4, s.commission_bps / 1e4
+    cash, held, queue, price = s.capital, {}, {}, {}
+    trades, marks = [], []
+
+    def worth(prices):
+        return sum(p["shares"] * prices.get(t, p["entry"]) for t, p in held.items())
+
+    def close(ticker, at, day, reason):
+        nonlocal cash
+        p = held.pop(ticker)
+        got = at * (1 - slip)
+        cost = got * p["shares"] * fee
+        cash += got * p["shares"] - cost
+        gross = (got - p["entry"]) * p["shares"]
+        net = gross - p["fees"] - cost
+        risk = p["entry"] - p["stop"]
+        trades.append((ticker, p["signal_ts"], p["entry_ts"], day, p["entry"], got, p["stop"], p["target"], p["shares"], gross, p["fees"] + cost, p["slippage"] + (at - got) * p["shares"], net, net / (risk * p["shares"]) if risk > 0 else None, p["score"], reason, p["regime"]))
+
+    days = {}
+    for r in rows.sort_values(["ts", "ticker"], kind="stable").itertuples(index=False):
+        days.setdefault(r.ts, {})[r.ticker] = r
+    last_day = max(days, default=None)
+    for day, bars in days.items():
+        before = dict(price)
+        price.update({t: r.close for t, r in bars.items()})
+        sizing = before if s.strict_sizing else price
+        for ticker, q in queue.items():
+            bar = bars.get(ticker)
+            if bar is None:
+                continue
+            equity = cash + worth(sizing)
+            shares = equity * s.risk_pct // (q.entry - q.sig_stop) if q.entry > q.sig_stop and equity > 0 else 0
+            cost = shares * bar.open * (1 + slip)
+            invested = worth(sizing) + cost
+            peers = cost + sum(p["shares"] * sizing.get(t, p["entry"]) for t, p in held.items() if p["sector"] == q.sector and q.sector)
+            if shares <= 0 or ticker in held or len(held) >= s.max_positions or cost > cash or equity <= 0 or invested > s.max_exposure * equity or (q.sector and peers > s.max_sector_exposure * equity):
+                continue
+            paid = bar.open * (1 + slip)
+            fees = paid * shares * fee
+            cash -= paid * shares + fees
+            held[ticker] = {"entry": paid, "shares": shares, "stop": bar.open - (q.entry - q.sig_stop), "target": bar.open + (q.sig_target - q.entry), "fees": fees, "slippage": (paid - bar.open) * shares, "signal_ts": q.ts, "entry_ts": day, "score": q.score, "regime": q.regime, "sector": q.sector}
+        queue = {}
+        for ticker in list(held):
+            bar, p = bars.get(ticker), held[ticker]
+            if bar is None:
+                continue
+            if bar.low <= p["stop"]:
+                close(ticker, min(bar.open, p["stop"]), day, "stop")
+            elif bar.high >= p["target"]:
+                close(ticker, p["target"], day, "target")
+        if day != last_day and len(held) < s.max_positions:
+            queue = {t: r for t, r in bars.items() if t not in held and r.entry == r.entry and r.score >= s.min_score}
+        value = worth(price)
+        marks.append((day, cash, cash + value, len(held), value / (cash + value) if cash + value > 0 else 0.0))
+    for ticker in list(held):
+        close(ticker, price[ticker], last_day, "end_of_data")
+    return trades, marks
+
+
+def simulate(runs: DataFrame, bars: DataFrame, scored: DataFrame, settings: Settings = Settings(), sector=None, equity: bool = False) -> DataFrame:
+    """Trades of all runs, or their equity curves. A run's days must follow each other in one worker; runs are
+    independent, and a run's input is its own bars alone."""
+    import pandas as pd
+
+    values = asdict(settings)
+
+    def run(key, rows):
+        trades, marks = fold(rows, Settings(**values))
+        out = marks if equity else trades
+        names = [c.split()[0] for c in (EQUITY if equity else TRADES).split(", ")]
+        frame = pd.DataFrame(out, columns=[n.strip() for n in names[1:]])
+        frame.insert(0, "run_id", key[0])
+        return frame
+
+    return run_input(runs, bars, scored, sector).groupBy("run_id").applyInPandas(run, EQUITY if equity else TRADES)
+
+
+def walk_forward_windows(days: DataFrame, history: int, size: int) -> DataFrame:
+    """(window, start, end): full windows of ``size`` days one after the other, after ``history`` days."""
+    from pyspark.sql import Window
+
+    ranked = days.select("ts").distinct().withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)  # one row per trading day
+    inside = ranked.where(F.col("i") >= history).withColumn("window", F.floor((F.col("i") - history) / size))
+    return inside.groupBy("window").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n")).where(F.col("n") == size).drop("n")
+
+
+@dataclass(frozen=True)
+class IntradaySettings:
+    capital: float = 100_000.0
+    risk_pct: float = 0.01
+    slots: int = 5
+    trail_pct: float = 0.02
+    slippage_bps: float = 5.0
+    commission_bps: float = 2.0
+    max_exposure: float = 1.0
+
+
+INTRADAY_TRADES = "run_id string, ticker string, strategy string, entry_ts timestamp, exit_ts timestamp, entry double, exit double, shares double, net double, r_multiple double, score double, exit_reason string"
+
+
+def fold_intraday(rows, s: IntradaySettings):
+    """Day by day: the best candidates of a bar take the slots that are left and fill at the next bar's open;
+    stops trail the high since the entry, this bar's included; all is sold at the day's last bar."""
+    slip, fee = s.slippage_bps / 1e4, s.commission_bps / 1e4
+    cash, trades = s.capital, []
+    for _, day in rows.groupby("ny_day", sort=True):
+        bars: dict = {}
+        for r in day.sort_values(["ts", "ticker", "strategy"], kind="stable").itertuples(index=False):
+            bars.setdefault(r.ts, {}).setdefault(r.ticker, []).append(r)
+        times = list(bars)
+        used, held, queue = 0, {}, {}
+        for ts in times:
+            now = {t: found[0] for t, found in bars[ts].items()}
+            for ticker, q in queue.items():
+                bar, risk = now.get(ticker), q.entry - q.sig_stop
+                if bar is None or ticker in held or risk <= 0:
+                    continue
+                equity = cash + sum(p["shares"] * now[t].close if t in now else p["shares"] * p["entry"] for t, p in held.items())
+                paid = bar.open * (1 + slip)
+                shares = min(equity * s.risk_pct // risk, s.max_exposure * cash // paid)
+                if shares <= 0:
+                    continue
+                cash -= paid * shares * (1 + fee)
+                held[ticker] = {"entry": paid, "shares": shares, "stop": bar.open - risk, "target": bar.open + (q.sig_target - q.entry), "top": bar.open, "ts": ts, "q": q, "risk": risk}
+            queue = {}
+            for ticker in list(held):
+                bar, p = now.get(ticker), held[ticker]
+                if bar is None:
+                    continue
+                p["top"] = max(p["top"], bar.high)
+                stop = max(p["stop"], p["top"] * (1 - s.trail_pct))
+                at, why = (min(bar.open, stop), "stop") if bar.low <= stop else (p["target"], "target") if bar.high >= p["target"] else (bar.close, "end_of_day") if ts == times[-1] else (None, "")
+                if at is not None:
+                    cash += _sell(trades, held.pop(ticker), ticker, at, ts, why, slip, fee)
+            found = sorted((r for g in bars[ts].values() for r in g if r.entry == r.entry and r.ticker not in held), key=lambda r: (-r.score, r.ticker, r.strategy))
+            for r in found[: max(0, s.slots - used)] if ts != times[-1] else []:
+                used += 1  # a slot is spent when chosen; a later choice for the same ticker takes its place
+                queue[r.ticker] = r
+        for ticker in list(held):  # no bar at the day's last time
+            cash += _sell(trades, p := held.pop(ticker), ticker, p["entry"], times[-1], "end_of_day", slip, fee)
+    return trades
+
+
+def _sell(trades, p, ticker, at, ts, why, slip, fee):
+    got = at * (1 - slip)
+    net = (got - p["entry"]) * p["shares"] - (got + p["entry"]) * p["shares"] * fee
+    trades.append((ticker, p["q"].strategy, p["ts"], ts, p["entry"], got, p["shares"], net, net / (p["risk"] * p["shares"]), p["q"].score, why))
+    return got * p["shares"] * (1 - fee)
+
+
+def simulate_intraday(rows: DataFrame, settings: IntradaySettings = IntradaySettings()) -> DataFrame:
+    """``rows``: run_id, ticker, ts, ny_day, open, high, low, close, strategy, entry, sig_stop, sig_target, score."""
+    import pandas as pd
+
+    values = asdict(settings)
+
+    def run(key, pdf):
+        names = [c.split()[0] for c in INTRADAY_TRADES.split(", ")][1:]
+        frame = pd.DataFrame(fold_intraday(pdf, IntradaySettings(**values)), columns=names)
+        frame.insert(0, "run_id", key[0])
+        return frame
+
+    return rows.groupBy("run_id").applyInPandas(run, INTRADAY_TRADES)

@@ -1,0 +1,96 @@
+"""Queries on portfolio simulations. A portfolio carries cash from day to day, which SQL cannot fold at a bearable
+cost; tests hold the fold against cases worked out by hand and its invariants."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barweave.functions import indicators as I
+from barweave.functions.scalars import r6
+from barweave.operators import calendar as C
+from barweave.operators import metrics as M
+from barweave.operators import signals as N
+from barweave.operators import simulate as U
+from barweave.operators import strategies as G
+from barweave.sources import bars as B
+
+from .catalogue_research import _rounded
+from .registry import query
+
+SETTINGS = U.Settings(min_score=50.0, max_exposure=1.0)
+NAMES = ("trend_pullback", "breakout", "momentum_continuation", "sma_crossover")
+
+
+def _aligned(spark, sf):
+    """Bars on common dates and the scored signals on them."""
+    bars = C.align(B.walk(spark, sf))
+    features = N.daily_context(bars, B.indices(spark, sf), "ALL", B.walk(spark, sf, "by_region"), B.sector_of(F.col("ticker")))
+    return bars, features
+
+
+def _runs(spark):
+    return U.run_table(spark, [{"run_id": n, "strategy": n} for n in NAMES])
+
+
+@query()
+def backtest_daily(spark, sf):
+    bars, features = _aligned(spark, sf)
+    out = U.simulate(_runs(spark), bars, N.scored_signals(features), SETTINGS, B.sector_of(F.col("ticker")))
+    return _rounded(out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("signal_ts", "entry_ts", "exit_ts")}))
+
+
+@query()
+def backtest_equity(spark, sf):
+    bars, features = _aligned(spark, sf)
+    out = U.simulate(_runs(spark), bars, N.scored_signals(features), SETTINGS, equity=True)
+    return _rounded(M.equity_metrics(out, "run_id", SETTINGS.capital))
+
+
+@query()
+def walk_forward(spark, sf):
+    """Each window of 126 days on its own capital: trades and metrics by window."""
+    bars, features = _aligned(spark, sf)
+    windows = U.walk_forward_windows(bars, 252, 126)
+    runs = windows.select(F.format_string("momentum_%02d", F.col("window")).alias("run_id"), F.lit("momentum_continuation").alias("strategy"), "start", "end", F.array().cast("array<string>").alias("skip"))
+    return _rounded(M.trade_metrics(U.simulate(runs, bars, N.scored_signals(features), SETTINGS), "run_id"))
+
+
+@query()
+def param_sweep(spark, sf):
+    """Momentum at five ADX floors, one batch of runs."""
+    bars, features = _aligned(spark, sf)
+    levels = {f"adx_{x}": G.momentum(x, f"adx_{x}") for x in (15, 20, 25, 30, 35)}
+    runs = U.run_table(spark, [{"run_id": n, "strategy": n} for n in levels])
+    return _rounded(M.trade_metrics(U.simulate(runs, bars, N.scored_signals(features, levels), SETTINGS), "run_id"))
+
+
+@query()
+def exclusion_reruns(spark, sf):
+    """The momentum run again without its 1 or 2 best tickers. The names to leave out, at most two, are chosen by
+    a first run and become columns of the runs table."""
+    bars, features = _aligned(spark, sf)
+    scored = N.scored_signals(features, {"momentum_continuation": G.DAILY["momentum_continuation"]})
+    base = U.run_table(spark, [{"run_id": "top_0", "strategy": "momentum_continuation"}])
+    best = U.simulate(base, bars, scored, SETTINGS).groupBy("ticker").agg(F.sum("net").alias("net"))
+    top = best.orderBy(F.desc("net"), "ticker").limit(2).agg(F.sort_array(F.collect_list(F.struct(-F.col("net"), "ticker"))).alias("x")).select(F.transform("x", lambda s: s["ticker"]).alias("names"))
+    counts = top.select("names", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
+    runs = counts.select(F.format_string("top_%d", "n").alias("run_id"), F.lit("momentum_continuation").alias("strategy"), F.lit(None).cast("date").alias("start"), F.lit(None).cast("date").alias("end"), F.when(F.col("n") > 0, F.slice("names", F.lit(1), F.greatest("n", F.lit(1)))).otherwise(F.array().cast("array<string>")).alias("skip"))
+    return _rounded(M.trade_metrics(U.simulate(runs, bars, scored, SETTINGS), "run_id"))
+
+
+@query()
+def backtest_intraday(spark, sf):
+    bars = B.intraday_bars(B.ticks(spark, sf))
+    features = N.intraday_context(bars)
+    found = G.signals(features, G.INTRADAY).select("ticker", "ts", "strategy", "entry", F.col("stop").alias("sig_stop"), F.col("target").alias("sig_target"), (F.col("confidence") * 100).alias("score"))
+    rows = I.session_vwap(bars).select(F.lit("intraday").alias("run_id"), "ticker", "ts", "ny_day", "open", "high", "low", "close").join(found, ["ticker", "ts"], "left")
+    out = U.simulate_intraday(rows.withColumn("strategy", F.coalesce("strategy", F.lit(""))))
+    return _rounded(out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in ("entry_ts", "exit_ts")}))
+
+
+@query()
+def walk_forward_consistency(spark, sf):
+    """Mean, deviation and their ratio of the windows' win rates and finite profit factors."""
+    rows = walk_forward(spark, sf).select(F.lit("momentum").alias("strategy"), "win_rate", "profit_factor")
+    long = rows.select("strategy", F.explode(F.array(F.struct(F.lit("win_rate").alias("metric"), F.col("win_rate").alias("value")), F.struct(F.lit("profit_factor").alias("metric"), F.col("profit_factor").alias("value")))).alias("x")).select("x.*")
+    return _rounded(M.summary(long, "metric", "value"))

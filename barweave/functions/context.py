@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import indicators as I
-from .indicators import W, frame
+from .indicators import by_ticker, frame
 from .scalars import clamp, div
 
 RS_BARS = 63
@@ -41,7 +41,7 @@ def index_regime(bars: DataFrame) -> DataFrame:
     """Per index and date: trend, momentum, drawdown, volatility and the composite."""
     out = I.add_windows(bars)
     trend = F.when(trend_of("close", "sma50", "sma200") == "bullish", 1.0).when(trend_of("close", "sma50", "sma200") == "bearish", -1.0).otherwise(0.0)
-    base = F.lag("close", 20).over(W)
+    base = F.lag("close", 20).over(by_ticker())
     roc = div(F.col("close") - base, base) * 100
     top = F.max("close").over(frame(-59, 0))
     out = out.withColumns({"trend_score": trend, "momentum_score": F.coalesce(clamp(roc / 10, -1.0, 1.0), F.lit(0.0)), "drawdown": F.coalesce(div(F.col("close") - top, top), F.lit(0.0))})
@@ -58,7 +58,7 @@ def market_regime(indices: DataFrame) -> DataFrame:
 
 
 def _period_return(n: int) -> Column:
-    base = F.lag("close", n).over(W)
+    base = F.lag("close", n).over(by_ticker())
     return div(F.col("close") - base, base)
 
 

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from .scalars import div
 
-W = Window.partitionBy("ticker").orderBy("ts")
+
+def by_ticker():
+    return Window.partitionBy("ticker").orderBy("ts")
 
 
 def frame(first: int, last: int):
-    return W.rowsBetween(first, last)
+    return by_ticker().rowsBetween(first, last)
 
 
 def rn() -> Column:
-    return F.row_number().over(W)
+    return F.row_number().over(by_ticker())
 
 
 def sma(x: str, n: int) -> Column:
@@ -30,7 +32,7 @@ def sma_nullable(x: str, n: int) -> Column:
 
 
 def roc(n: int = 12) -> Column:
-    base = F.lag("close", n).over(W)
+    base = F.lag("close", n).over(by_ticker())
     return div(F.col("close") - base, base) * 100
 
 
@@ -40,7 +42,7 @@ def relative_volume(n: int = 20) -> Column:
 
 
 def obv() -> Column:
-    change = F.signum(F.col("close") - F.lag("close").over(W))
+    change = F.signum(F.col("close") - F.lag("close").over(by_ticker()))
     return change * F.col("volume")
 
 
@@ -55,7 +57,7 @@ def add_windows(bars: DataFrame) -> DataFrame:
         | {
             "bb_std": std,
             "roc12": roc(12),
-            "log_return": F.log(div(F.col("close"), F.lag("close").over(W))),
+            "log_return": F.log(div(F.col("close"), F.lag("close").over(by_ticker()))),
             "vol_sma20": sma("volume", 20),
             "rel_volume": relative_volume(20),
             "_signed_volume": obv(),
@@ -177,7 +179,7 @@ def add_recursive(bars: DataFrame, point_in_time: bool = False) -> DataFrame:
     out = bars.groupBy("ticker").applyInPandas(run, schema)
     out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in RECURSIVE})
     if point_in_time:
-        n = F.row_number().over(W)
+        n = F.row_number().over(by_ticker())
         out = out.withColumns({c: F.when(n >= 29, F.col(c)) for c in ("plus_di", "minus_di", "adx14")} | {"atr14": F.when(n >= 15, F.col("atr14"))})
     return out
 
@@ -210,4 +212,4 @@ def opening_range(bars: DataFrame, n: int = 3) -> DataFrame:
 def features_intraday(bars: DataFrame) -> DataFrame:
     """The snapshot of intraday bars: only VWAP and the opening range start anew each day."""
     out = opening_range(session_vwap(add_recursive(bars)))
-    return out.withColumns({"rn": rn(), "rel_volume12": relative_volume(12), "prior_high20": F.max("high").over(frame(-20, -1)), "vwap_ago": F.lag("vwap", 6).over(W), "rsi_before": F.lag("rsi14").over(W)})
+    return out.withColumns({"rn": rn(), "rel_volume12": relative_volume(12), "prior_high20": F.max("high").over(frame(-20, -1)), "vwap_ago": F.lag("vwap", 6).over(by_ticker()), "rsi_before": F.lag("rsi14").over(by_ticker())})

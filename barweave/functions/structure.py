@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import W, frame
+from .indicators import by_ticker, frame
 
 SWING = 3
 
@@ -26,7 +26,7 @@ def add_swings(bars: DataFrame, n: int = SWING) -> DataFrame:
     out = bars.withColumns({"swing_high": _swing("high", True, n), "swing_low": _swing("low", False, n)})
     pair = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("p"), F.last(c, True).over(past).alias("q")))
     out = out.withColumns({"_h": pair("swing_high"), "_l": pair("swing_low")})
-    out = out.withColumns({"_h": F.lag("_h", n).over(W), "_l": F.lag("_l", n).over(W)})
+    out = out.withColumns({"_h": F.lag("_h", n).over(by_ticker()), "_l": F.lag("_l", n).over(by_ticker())})
     out = out.withColumns({"_h": F.last("_h", True).over(so_far), "_l": F.last("_l", True).over(so_far)})
     return out.withColumns({"last_sh": F.col("_h.p"), "prev_sh": F.col("_h.q"), "last_sl": F.col("_l.p"), "prev_sl": F.col("_l.q")}).drop("_h", "_l")
 
@@ -50,18 +50,18 @@ def add_pattern_frames(features: DataFrame) -> DataFrame:
     point = lambda c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("rn").alias("n"), F.col(c).alias("p")))).over(box)
     out = features.withColumns(
         {
-            "prev_close": F.lag("close").over(W),
+            "prev_close": F.lag("close").over(by_ticker()),
             "resistance20": F.max("high").over(prior),
             "support20": F.min("low").over(prior),
             "hi20": full(20, F.max("high").over(now20)),
             "lo20": full(20, F.min("low").over(now20)),
             "hi15p": full(16, F.max("high").over(prior15)),
             "lo15p": full(16, F.min("low").over(prior15)),
-            "prev_sma20": F.lag("sma20").over(W),
-            "prev_sma50": F.lag("sma50").over(W),
-            "prev_sma200": F.lag("sma200").over(W),
-            "imp_low": F.lag("low", 14).over(W),
-            "imp_high": F.lag("high", 14).over(W),
+            "prev_sma20": F.lag("sma20").over(by_ticker()),
+            "prev_sma50": F.lag("sma50").over(by_ticker()),
+            "prev_sma200": F.lag("sma200").over(by_ticker()),
+            "imp_low": F.lag("low", 14).over(by_ticker()),
+            "imp_high": F.lag("high", 14).over(by_ticker()),
             "imp_max": full(15, F.max("high").over(impulse)),
             "imp_min": full(15, F.min("low").over(impulse)),
             "flag_high": F.max("high").over(flag),

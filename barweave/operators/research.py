@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.functions.indicators import W
+from barweave.functions.indicators import by_ticker
 
 
 def trade_features(trades: DataFrame, features: DataFrame, *columns: str) -> DataFrame:
@@ -17,7 +17,7 @@ def trade_features(trades: DataFrame, features: DataFrame, *columns: str) -> Dat
 def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """Adds how far price ran for and against each trade while it was held, in per cent of the entry. A trade
     meets its bars by equality on their numbers, so each costs the bars it was held for."""
-    numbered = bars.withColumn("rn", F.row_number().over(W)).select("ticker", "rn", "high", "low")
+    numbered = bars.withColumn("rn", F.row_number().over(by_ticker())).select("ticker", "rn", "high", "low")
     key = [c for c in trades.columns]
     held = trades.withColumn("rn", F.explode(F.sequence("entry_rn", "exit_rn"))).join(numbered, ["ticker", "rn"])
     out = held.groupBy(*key).agg(F.max("high").alias("_h"), F.min("low").alias("_l"))

@@ -56,7 +56,7 @@ def trade_outcomes(found: DataFrame, bars: DataFrame, horizon: int = 60, slippag
     reaches the stop or the target, moved with the entry; else at the close of the last bar in the horizon.
 
     A signal meets its bars by equality on (ticker, bar number), so the join costs the horizon's bars."""
-    numbered = bars.withColumn("rn", F.row_number().over(I.W)).select("ticker", "rn", "ts", "open", "high", "low", "close")
+    numbered = bars.withColumn("rn", F.row_number().over(I.by_ticker())).select("ticker", "rn", "ts", "open", "high", "low", "close")
     first = numbered.select("ticker", F.col("rn").alias("entry_rn"), F.col("ts").alias("entry_ts"), F.col("open").alias("entry_open"))
     entered = found.withColumn("entry_rn", F.col("rn") + 1).join(first, ["ticker", "entry_rn"])
     shift = F.col("entry_open") - F.col("entry")

@@ -209,5 +209,5 @@ def rebased_compare(spark, sf):
 
     back = Window.partitionBy("ticker").orderBy(F.desc("ts"))
     rows = B.walk(spark, sf).withColumn("back", F.row_number().over(back)).where("back <= 126")
-    base = F.first("close").over(I.W.rowsBetween(Window.unboundedPreceding, 0))
+    base = F.first("close").over(I.by_ticker().rowsBetween(Window.unboundedPreceding, 0))
     return out(rows.withColumn("rebased", (F.col("close") / base - 1) * 100), "rebased")

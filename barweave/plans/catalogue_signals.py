@@ -43,7 +43,7 @@ def support_resistance(spark, sf):
 
 @query(f"WITH {O.walk()}, g AS (SELECT *, (open - lag(close) OVER w) / nullif(lag(close) OVER w, 0) AS gap_pct FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts)) SELECT {KEY}, {cols('gap_pct')}, CASE WHEN gap_pct >= 0.02e0 THEN 'gap_up' WHEN gap_pct <= -0.02e0 THEN 'gap_down' ELSE 'none' END AS gap FROM g")
 def gap(spark, sf):
-    rows = B.walk(spark, sf).withColumn("gap_pct", F.try_divide(F.col("open") - F.lag("close").over(I.W), F.lag("close").over(I.W)))
+    rows = B.walk(spark, sf).withColumn("gap_pct", F.try_divide(F.col("open") - F.lag("close").over(I.by_ticker()), F.lag("close").over(I.by_ticker())))
     return out(rows.withColumn("gap", F.when(F.col("gap_pct") >= 0.02, "gap_up").when(F.col("gap_pct") <= -0.02, "gap_down").otherwise("none")), "gap_pct", "gap")
 
 

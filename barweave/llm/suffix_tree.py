@@ -1,7 +1,7 @@
 """Substring dedup on words: prefix-partitioned suffix trees over candidate suffixes.
 
-The suffix at each word is known by a path: for each depth d a byte that hashes its first d words, and at the
-last depth 64 bits of the whole window. Suffixes are split by variable-length prefixes: the first word's byte,
+The suffix at each word is known by a path: for each depth d some bits that hash its first d words (a byte at the
+first two depths, then four bits), and at the last depth 64 bits of the whole window. Suffixes are split by variable-length prefixes: the first word's byte,
 two words' bytes where that prefix is too frequent, the whole path where both are; neighbouring small prefixes
 share a group. A group's suffixes in path order are the leaves of its subtree, and the common depths of
 neighbours its internal nodes; those as deep as the window are the repeats. Deeper branching cannot change
@@ -28,15 +28,28 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def paths(codes: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix the bytes at depths 1 to depth - 1, and the 64-bit name of its first ``depth`` words."""
+    """For each suffix its steps at depths 1 to depth - 1, and the 64-bit name of its first ``depth`` words."""
     path = np.empty((len(start), depth - 1), dtype=np.uint8)
     value = codes[start].copy()
     for d in range(depth - 1):
-        path[:, d] = mix(value) >> np.uint64(56)
+        path[:, d] = mix(value) >> np.uint64(56 if d < 2 else 60)
         value = value * _K + codes[start + d + 1]
     return path, mix(value)
 
 
+def narrow(path: np.ndarray) -> np.ndarray:
+    """Paths with two of the small steps to a byte."""
+    steps = path[:, 2:]
+    if steps.shape[1] % 2:
+        steps = np.hstack([steps, np.zeros((len(path), 1), dtype=np.uint8)])
+    return np.hstack([path[:, :2], steps[:, ::2] << 4 | steps[:, 1::2]])
+
+
+def widen(narrowed: np.ndarray, depth: int) -> np.ndarray:
+    steps = np.stack([narrowed[:, 2:] >> 4, narrowed[:, 2:] & 15], axis=2).reshape(len(narrowed), -1)
+    return np.hstack([narrowed[:, :2], steps])[:, : depth - 1]
+
+
 def prefix_counts(blocks: DataFrame, kind: Kind) -> np.ndarray:
     """How many suffixes have each pair of first bytes, over all texts: 2**16 sums, whatever the input."""
     import pyarrow as pa
@@ -46,8 +59,8 @@ def prefix_counts(blocks: DataFrame, kind: Kind) -> np.ndarray:
         for batch in batches:
             for row in batch.to_pylist():
                 codes = open_block(kind, row["ids"], row["sizes"], row["data"]).codes
-                if len(codes) > 1:
-                    path, _ = paths(codes, np.arange(len(codes) - 2), 3) if len(codes) > 2 else (np.zeros((0, 2), dtype=np.uint8), None)
+                if len(codes) > 2:
+                    path, _ = paths(codes, np.arange(len(codes) - 2), 3)
                     sums += np.bincount(path[:, 0].astype(np.int64) << 8 | path[:, 1], minlength=1 << 16)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["prefix", "n"])
@@ -148,7 +161,7 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = 5,
                 payloads = []
                 for a, z in zip(cut, np.append(cut[1:], len(order))):
                     at = order[a:z]
-                    payloads.append(pack(path[at], name[at], ids[at], start[at].astype(np.uint32)))
+                    payloads.append(pack(narrow(path[at]), name[at], ids[at], np.diff(start[at], prepend=0)))
                 yield rows(grp[order[cut]], row["block_id"], payloads)
 
     def rows(grp, block_id, payloads):
@@ -157,9 +170,10 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = 5,
     def resolve(group: pd.DataFrame) -> pd.DataFrame:
         if group["grp"].iloc[0] < 0:
             return group[["block_id", "payload"]].rename(columns={"payload": "runs"})
-        got = [unpack(p, np.uint8, np.uint64, np.int64, np.uint32) for p in group["payload"]]
-        path = np.concatenate([p[0] for p in got]).reshape(-1, window - 1)
-        name, ids, start = (np.concatenate([p[i] for p in got]) for i in (1, 2, 3))
+        got = [unpack(p, np.uint8, np.uint64, np.int64, np.int64) for p in group["payload"]]
+        name, ids = (np.concatenate([p[i] for p in got]) for i in (1, 2))
+        start = np.concatenate([np.cumsum(p[3]) for p in got])
+        path = widen(np.concatenate([p[0] for p in got]).reshape(len(name), -1), window)
         hits = repeated_suffixes(path, name, ids)
         place = start[hits].astype(np.int64)
         owner = np.searchsorted(np.cumsum([len(p[1]) for p in got]), hits, side="right")

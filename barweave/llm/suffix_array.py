@@ -18,11 +18,12 @@ from .common import byte_codes, span_hashes
 from .repeats import Kind, anchor_replies, best_of_copies, buckets_for, candidates, covered, merged, open_block, pack, pack_blocks, reduce_to_runs, text_of, unpack
 
 WINDOW = 50
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 6 << 20
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` (uint8) in the order of their first ``depth`` bytes at least, by two-stage sorting."""
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of ``text`` (uint8) in the order of their first ``depth`` bytes at least, by two-stage sorting:
+    all, or those ``wanted`` and the few more that their induction starts from."""
     n = len(text)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
@@ -32,9 +33,18 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     step[-1] = -1
     decided = np.flatnonzero(step)
     small = step[decided[np.searchsorted(decided, np.arange(n))]] > 0
+    # A wanted suffix of type A needs all up to the next one of type B.
+    need = np.ones(n, dtype=bool)
+    if wanted is not None:
+        next_b = np.minimum.accumulate(np.where(small, np.arange(n), n)[::-1])[::-1]
+        at = np.flatnonzero(wanted)
+        edge = np.zeros(n + 1, dtype=np.int32)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, np.minimum(next_b[at] + 1, n), -1)
+        need = np.cumsum(edge[:-1]) > 0
     # Stage one: sort the type B suffixes directly.
     padded = np.concatenate([text, np.zeros(depth, dtype=np.uint8)])
-    b = np.flatnonzero(small)
+    b = np.flatnonzero(small & need)
     rows = np.lib.stride_tricks.sliding_window_view(padded, depth)[b]
     b = b[np.argsort(np.ascontiguousarray(rows).view(f"S{depth}").ravel(), kind="stable")]
     del rows
@@ -42,12 +52,14 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     # in the bucket of its own first byte, where type A stands before type B.
     b_from = np.searchsorted(text[b], np.arange(257))
     queues: list[list[np.ndarray]] = [[] for _ in range(256)]
-    queues[text[n - 1]].append(np.array([n - 1]))  # the last suffix follows the empty one
+    if need[n - 1]:
+        queues[text[n - 1]].append(np.array([n - 1]))  # the last suffix follows the empty one
+    large = need & ~small
     out = []
 
     def induce(suffixes: np.ndarray, c: int) -> np.ndarray:
         before = suffixes[suffixes > 0] - 1
-        before = before[~small[before]]
+        before = before[large[before]]
         first = text[before]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]
@@ -71,7 +83,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         if len(mine):
             out.append(mine)
             induce(mine, c)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else b
 
 
 def common_prefixes(text: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
@@ -92,7 +104,7 @@ def repeated_windows(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, windo
     np.add.at(whole, begin, 1)
     np.add.at(whole, begin + sizes - window + 1, -1)
     inside = np.cumsum(whole[:-1]) > 0
-    order = suffix_array(text, window)
+    order = suffix_array(text, window, inside)
     order = order[inside[order]]
     owner = ids[np.searchsorted(begin, order, side="right") - 1]
     first = np.flatnonzero(common_prefixes(text, order, window) < window)
@@ -102,7 +114,7 @@ def repeated_windows(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, windo
     return order[owner > least[np.cumsum(group)]] if len(order) else order
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 14, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes with ``with_text``), once
     each byte is removed that lies in a string of ``window`` bytes which also starts in a document with a
     smaller doc_id. Matches never cross documents and are judged on the input.

@@ -6,23 +6,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_texts, mix, stored, word_hashes
+from .common import byte_codes, id_and_text, map_texts, mix, word_hashes
+from .repeats import gram_hashes
 
 BUCKET_BITS = 16
+GRAM = 3
 #: At most so many labelled documents make the target model (smallest hashes of their ids first).
 MAX_TARGET_DOCS = 20_000
 #: Texts whose mean log ratio per n-gram is below this are rejected.
-THRESHOLD = -0.12
+THRESHOLD = -0.75
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SPACES = b" \t\n\x0b\x0c\r"
 
 
-def ngram_buckets(hashes: np.ndarray) -> np.ndarray:
-    """Buckets of the words and word pairs of a text."""
-    pairs = mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) if len(hashes) > 1 else hashes[:0]
-    return (np.concatenate([hashes, pairs]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def ngram_buckets(data: bytes) -> np.ndarray:
+    """Buckets of the runs of GRAM bytes of a text (of the whole text if it is shorter). Bytes rather than words:
+    a target of a few documents then knows nearly all n-grams of clean text."""
+    if not data:
+        return np.zeros(0, dtype=np.int64)
+    codes = byte_codes(data)
+    return (gram_hashes(codes, min(GRAM, len(codes))) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def base_counts(data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[int, int, int, int]:
@@ -64,7 +69,7 @@ def ngram_log_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         sums = np.zeros((2, size), dtype=np.int64)
         for batch in batches:
             for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.bincount(ngram_buckets(word_hashes((text or "").encode())[2]), minlength=size)
+                found = np.bincount(ngram_buckets((text or "").encode()), minlength=size)
                 sums[0] += found
                 if good:
                     sums[1] += found
@@ -85,7 +90,7 @@ def ngram_log_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def quality_verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", max_target_docs: int = MAX_TARGET_DOCS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
-    ``score`` is the mean log ratio over the words and word pairs of the whole text; ``kept`` is false if the
+    ``score`` is the mean log ratio over the n-grams of the whole text; ``kept`` is false if the
     base rules fail or the score is below ``threshold``. The same text always gets the same verdict under one
     model. A null or wordless text has counts 0, score 0 and fails by its length. Without any trusted label
     all scores are 0. Repeated rows each give a row; other columns are ignored but for those in ``keep``; an
@@ -102,7 +107,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRE
                 starts, ends, hashes = word_hashes(data)
                 n = len(starts)
                 counts = base_counts(data, starts, ends, hashes)
-                score = float(weights[ngram_buckets(hashes)].mean()) if n else 0.0
+                score = float(weights[ngram_buckets(data)].mean()) if n else 0.0
                 failed = n < 50 or 100 * counts[3] > 50 * n
                 rows.append((n, *counts, failed, not failed and score >= threshold, score))
             return rows

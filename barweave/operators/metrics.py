@@ -103,3 +103,13 @@ def summary(values: DataFrame, by: str, column: str) -> DataFrame:
     x = F.when(~F.col(column).isin(float("inf"), float("-inf")), F.col(column))
     mean, std = _or0(F.avg(x)), _or0(F.stddev_pop(x))
     return values.groupBy(by).agg(mean.alias("mean"), std.alias("std"), _or0(std / F.nullif(F.abs(mean), F.lit(0.0))).alias("cv"))
+
+
+def evidence(trades: DataFrame, by: str, consistent: Column | None = None, robust: Column | None = None) -> DataFrame:
+    """How much a sample can say: a point each for size, stocks, years, regimes, consistency, robustness."""
+    rows = trades.groupBy(by).agg(F.count("*").alias("trades"), F.count_distinct("ticker").alias("tickers"), F.count_distinct(F.year("entry_ts")).alias("years"), F.count_distinct("regime").alias("regimes"))
+    points = sum(((F.col(c) >= least).cast("int") for c, least in (("trades", 50), ("tickers", 15), ("years", 4), ("regimes", 3))), F.lit(0))
+    for extra in (consistent, robust):
+        points = points if extra is None else points + F.coalesce(extra.cast("int"), F.lit(0))
+    level = F.when((F.col("trades") < 20) | (F.col("tickers") < 5), "INSUFFICIENT_SAMPLE").when(points <= 1, "WEAK_EVIDENCE").when(points <= 3, "PROMISING").otherwise("STRONGER_EVIDENCE")
+    return rows.withColumn("evidence", level)

@@ -88,3 +88,10 @@ def parse_tickers(rows: DataFrame, column: str, most: int = 50) -> DataFrame:
     names = F.array_distinct(F.filter(F.transform(F.split(column, ","), lambda t: F.upper(F.trim(t))), lambda t: t != ""))
     good = F.forall(names, lambda t: t.rlike("^[A-Z][A-Z0-9.]{0,5}$")) & (F.size(names) <= most)
     return rows.withColumn("tickers", F.when(good, names))
+
+
+def top_by_liquidity(bars: DataFrame, n: int = 500) -> DataFrame:
+    """The n tickers with the highest mean volume over 30 bars."""
+    w = Window.partitionBy("ticker").orderBy(F.desc("ts"))
+    rows = bars.withColumn("back", F.row_number().over(w)).where("back <= 30").groupBy("ticker").agg(F.avg("volume").alias("avg_volume"))
+    return rows.where("avg_volume > 0").orderBy(F.desc("avg_volume"), "ticker").limit(n)

@@ -102,3 +102,19 @@ def temporal_split(trades: DataFrame, by: str, order: tuple[str, ...]) -> DataFr
     """Adds ``half``: 1 for the earlier half by order, else 2."""
     w, whole = Window.partitionBy(by).orderBy(*order), Window.partitionBy(by)
     return trades.withColumn("half", F.when(F.row_number().over(w) <= F.floor(F.count("*").over(whole) / 2), 1).otherwise(2))
+
+
+def win_rate_by_category(trades: DataFrame, category: Column, net: str = "net", least: int = 10) -> DataFrame:
+    """Win rates by category; small ones are marked, not left out."""
+    rows = trades.withColumn("category", category).where("category is not null").groupBy("category")
+    return rows.agg(F.count("*").alias("n"), F.avg((F.col(net) > 0).cast("double")).alias("win_rate")).withColumn("sufficient", F.col("n") >= least)
+
+
+def integrity(trades: DataFrame, signals: DataFrame) -> DataFrame:
+    """One row of counts: trades, missing scores and outcomes, repeated keys, signals that were never entered."""
+    key = ("ticker", "strategy", "signal_ts")
+    by = trades.groupBy(*key).agg(F.count("*").alias("n"), F.count("score").alias("s"), F.count("net").alias("o"))
+    own = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("trades"), F.coalesce(F.sum(F.col("n") - F.col("s")), F.lit(0)).alias("without_score"), F.coalesce(F.sum(F.col("n") - F.col("o")), F.lit(0)).alias("without_outcome"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))
+    entered = trades.select("ticker", "strategy", F.col("signal_ts").alias("ts")).distinct()
+    rest = signals.join(entered, ["ticker", "strategy", "ts"], "left_anti").agg(F.count("*").alias("not_entered"))
+    return own.join(F.broadcast(rest))  # one row each

@@ -13,7 +13,7 @@ from barweave.streaming import quotes as Z
 
 from . import oracle as O
 from .catalogue_bars import cols
-from .catalogue_signals import OUTCOMES, outcomes, scored  # noqa: F401
+from .catalogue_signals import OUTCOMES, SCORED, outcomes, scored
 from .registry import query
 
 CAPITAL = 10_000.0
@@ -97,12 +97,24 @@ def wilson(spark, sf):
 
 
 @query(
-    f"""{OUTCOMES}, c AS (SELECT strategy, count(*) AS n, count(DISTINCT ticker) AS tickers, avg(net) AS e FROM oc GROUP BY strategy)
-SELECT strategy, n AS trades, tickers, CASE WHEN n < 20 OR tickers < 5 THEN 'insufficient' WHEN e > 0 THEN 'positive' ELSE 'negative' END AS evidence FROM c"""
+    f"""{OUTCOMES}, c AS (SELECT strategy, count(*) AS n, count(DISTINCT ticker) AS tickers, count(DISTINCT year(entry_ts)) AS years, count(DISTINCT regime) AS regimes FROM oc GROUP BY strategy),
+p AS (SELECT *, (n >= 50)::INT + (tickers >= 15)::INT + (years >= 4)::INT + (regimes >= 3)::INT AS points FROM c)
+SELECT strategy, n AS trades, tickers, years, regimes, CASE WHEN n < 20 OR tickers < 5 THEN 'INSUFFICIENT_SAMPLE' WHEN points <= 1 THEN 'WEAK_EVIDENCE' WHEN points <= 3 THEN 'PROMISING' ELSE 'STRONGER_EVIDENCE' END AS evidence FROM p"""
 )
 def evidence(spark, sf):
-    rows = outcomes(spark, sf).groupBy("strategy").agg(F.count("*").alias("trades"), F.count_distinct("ticker").alias("tickers"), F.avg("net").alias("e"))
-    return rows.select("strategy", "trades", "tickers", F.when((F.col("trades") < 20) | (F.col("tickers") < 5), "insufficient").when(F.col("e") > 0, "positive").otherwise("negative").alias("evidence"))
+    return M.evidence(outcomes(spark, sf), "strategy")
+
+
+@query(f"{OUTCOMES} SELECT regime AS category, count(*) AS n, {O.r6('avg((net > 0)::INT)', 'win_rate')}, count(*) >= 10 AS sufficient FROM oc WHERE regime IS NOT NULL GROUP BY regime")
+def win_rate_by_category(spark, sf):
+    return _rounded(R.win_rate_by_category(outcomes(spark, sf), F.col("regime")))
+
+
+@query(f"{OUTCOMES} SELECT count(*) AS trades, count(*) FILTER (WHERE score IS NULL) AS without_score, count(*) FILTER (WHERE net IS NULL) AS without_outcome, count(*) - count(DISTINCT (ticker, strategy, signal_ts)) AS repeated, (SELECT count(*) FROM sc) - count(*) AS not_entered FROM oc")
+def integrity_checks(spark, sf):
+    features = N.walk_context(spark, sf)
+    found = N.scored_signals(features)
+    return R.integrity(N.trade_outcomes(found, B.walk(spark, sf)), found)
 
 
 FEATURES = ("rsi14", "adx14", "rel_volume", "bb_width", "roc12", "hist_vol20", "stoch_k")
@@ -272,3 +284,55 @@ def window_limiter(spark, sf):
     """Fixed-window counts per client that are over the limit."""
     rows = B.ticks(spark, sf).groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("requests")).where("requests > 1")
     return rows.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "requests")
+
+
+@query(f"SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round({_PX} + 1.3e-9, 6) AS price FROM events QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id) = 1")
+def first_tick_per_time(spark, sf):
+    """Of ticks of one time, the first by id stays."""
+    rows = B.first_per_timestamp(B.ticks(spark, sf).withColumnRenamed("symbol", "ticker"), F.col("event_id"))
+    return rows.select(F.col("ticker").alias("symbol"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r6("price").alias("price"))
+
+
+@query(f"WITH n AS (SELECT event_type AS symbol, arg_max({_PX}, row(ts, event_id)) AS price, max(ts) AS ts FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND event_type <> 'purchase' GROUP BY 1), o AS (SELECT event_type AS symbol, arg_max({_PX}, row(ts, event_id)) AS price, max(ts) AS ts FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1) SELECT o.symbol, round(coalesce(n.price, o.price) + 1.3e-9, 6) AS price, n.symbol IS NULL AS stale FROM o LEFT JOIN n ON n.symbol = o.symbol")
+def quotes_with_stale(spark, sf):
+    """Fresh quotes, the last known one where there is none."""
+    rows = B.ticks(spark, sf)
+    cut = F.to_timestamp(F.lit("2024-01-20"))
+    fresh, known = Z.latest_quote(rows.where((F.col("ts") >= cut) & (F.col("symbol") != "purchase"))), Z.latest_quote(rows.where(F.col("ts") < cut))
+    return Z.with_stale(fresh, known).select("symbol", r6("price").alias("price"), "stale")
+
+
+@query(f"WITH {O.walk('by_supplier')}, x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM bars), s AS (SELECT ticker, avg(volume) FILTER (WHERE back <= 30) AS avg_volume FROM x GROUP BY ticker) SELECT ticker, round(avg_volume + 1.3e-9, 6) AS avg_volume FROM s WHERE avg_volume > 0 ORDER BY avg_volume DESC, ticker LIMIT 50")
+def liquidity_universe(spark, sf):
+    """The 50 tickers with the highest volume over 30 bars."""
+    from barweave.operators.quality import top_by_liquidity
+
+    return _rounded(top_by_liquidity(B.walk(spark, sf, "by_supplier"), 50))
+
+
+@query(f"{SCORED} SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strategy, least(floor(10000e0 * 0.01 / (entry - stop)), floor(2000e0 / entry))::BIGINT AS shares FROM sc WHERE least(floor(10000e0 * 0.01 / (entry - stop)), floor(2000e0 / entry)) > 0")
+def order_sizing(spark, sf):
+    """Shares by risk, capped by the money for one position; orders of no share are skipped."""
+    from barweave.functions.scalars import position_size
+
+    shares = F.least(position_size(F.lit(10_000.0), 0.01, F.col("entry"), F.col("stop")), F.floor(2000.0 / F.col("entry"))).cast("long")
+    return scored(spark, sf).withColumn("shares", shares).where("shares > 0").select("ticker", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "strategy", "shares")
+
+
+@query(f"""{SCORED} SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strategy, (alignment = 0)::BIGINT + coalesce((regime IN ('bearish', 'strong_bearish', 'high_volatility'))::BIGINT, 0) + coalesce((rs_adjustment < 0)::BIGINT, 0) + coalesce((rsi14 > 75)::BIGINT, 0) + coalesce((hist_vol20 > 0.6)::BIGINT, 0) AS context_risks,
+ (alignment = 1)::BIGINT + coalesce((regime IN ('bullish', 'strong_bullish'))::BIGINT, 0) + coalesce((rs_adjustment > 0)::BIGINT, 0) AS context_reasons FROM sc""")
+def explanations(spark, sf):
+    """How many reasons and risks the context adds to each signal."""
+    from barweave.operators.strategies import add_explanation
+
+    rows = add_explanation(scored(spark, sf))
+    return rows.select("ticker", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "strategy", (F.size("risks") - F.size("warnings")).cast("long").alias("context_risks"), (F.size("reasons") - F.size("evidence")).cast("long").alias("context_reasons"))
+
+
+@query("SELECT source, count(*) AS rows, count(*) FILTER (WHERE regexp_full_match(upper(trim(source)), '[A-Z][A-Z0-9.]{0,5}')) AS valid FROM documents GROUP BY source")
+def ticker_parsing(spark, sf):
+    """Sources of documents read as tickers: trimmed, upper-cased, checked."""
+    from barweave.operators.quality import parse_tickers
+
+    rows = parse_tickers(B.table(spark, sf, "documents").select("source"), "source")
+    return rows.groupBy("source").agg(F.count("*").alias("rows"), F.count("tickers").alias("valid"))

@@ -17,6 +17,13 @@ def latest_quote(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").agg(F.max_by("price", F.struct("ts", "event_id")).alias("price"), F.max("ts").alias("ts"), F.count("*").alias("ticks"))
 
 
+def with_stale(fresh: DataFrame, known: DataFrame) -> DataFrame:
+    """Every known symbol with its fresh quote, or the known one marked stale."""
+    now = fresh.select("symbol", F.col("price").alias("_p"), F.col("ts").alias("_t"))
+    rows = known.join(now, "symbol", "left")
+    return rows.select("symbol", F.coalesce("_p", "price").alias("price"), F.coalesce("_t", "ts").alias("ts"), F.col("_t").isNull().alias("stale"))
+
+
 def condition_met(alert: str = "condition", price: str = "price", threshold: str = "threshold") -> Column:
     """``above``/``below`` on the price, ``pct_above``/``pct_below`` on the per cent change; a null never fires."""
     c, p, t = F.col(alert), F.col(price), F.col(threshold)

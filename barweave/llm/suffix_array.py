@@ -32,16 +32,14 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     step[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1])
     step[-1] = -1
     decided = np.flatnonzero(step)
-    small = step[decided[np.searchsorted(decided, np.arange(n))]] > 0
+    small = np.repeat(step[decided] > 0, np.diff(decided, prepend=-1))
     # A wanted suffix of type A needs all up to the next one of type B.
     need = np.ones(n, dtype=bool)
     if wanted is not None:
         next_b = np.minimum.accumulate(np.where(small, np.arange(n), n)[::-1])[::-1]
         at = np.flatnonzero(wanted)
-        edge = np.zeros(n + 1, dtype=np.int32)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, np.minimum(next_b[at] + 1, n), -1)
-        need = np.cumsum(edge[:-1]) > 0
+        ends = np.bincount(np.minimum(next_b[at] + 1, n), minlength=n + 1)
+        need = np.cumsum(wanted - ends[:-1]) > 0
     # Stage one: sort the type B suffixes directly.
     padded = np.concatenate([text, np.zeros(depth, dtype=np.uint8)])
     b = np.flatnonzero(small & need)
@@ -100,13 +98,11 @@ def common_prefixes(text: np.ndarray, suffixes: np.ndarray, depth: int) -> np.nd
 def repeated_windows(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
     """Positions in ``text``, segments of ``sizes`` end to end, of windows that a segment of a smaller id also has."""
     begin = np.cumsum(sizes) - sizes
-    whole = np.zeros(len(text) + 1, dtype=np.int32)
-    np.add.at(whole, begin, 1)
-    np.add.at(whole, begin + sizes - window + 1, -1)
-    inside = np.cumsum(whole[:-1]) > 0
+    segment = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    inside = np.arange(len(text)) <= (begin + sizes - window)[segment]
     order = suffix_array(text, window, inside)
     order = order[inside[order]]
-    owner = ids[np.searchsorted(begin, order, side="right") - 1]
+    owner = ids[segment[order]]
     first = np.flatnonzero(common_prefixes(text, order, window) < window)
     least = np.minimum.reduceat(owner, first) if len(first) else owner
     group = np.zeros(len(order), dtype=np.int64)
@@ -175,7 +171,12 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20,
         segment = np.searchsorted(offset, hits, side="right") - 1
         place = begin[segment] + hits - offset[segment]
         owner = np.searchsorted(np.cumsum([len(p[1]) for p in parts]), segment, side="right")
-        out = [(b, pack(*merged(place[owner == i], place[owner == i] + window))) for i, b in enumerate(group["block_id"]) if (owner == i).any()]
+        order = np.argsort(owner, kind="stable")
+        place, owner = place[order], owner[order]
+        cut = np.flatnonzero(np.diff(owner, prepend=-1))
+        out = []
+        for a, z in zip(cut, np.append(cut[1:], len(owner))):
+            out.append((group["block_id"].iloc[owner[a]], pack(*merged(place[a:z], place[a:z] + window))))
         return pd.DataFrame(out, columns=["block_id", "runs"])
 
     def finish(batches):

@@ -193,7 +193,7 @@ def sorted_anchors(values: np.ndarray, texts: np.ndarray, buckets: int):
     return index, (ranked[first] >> np.uint64(40)).astype(np.int64), ranked[first] & np.uint64((1 << 40) - 1), several
 
 
-def anchor_replies(blocks: DataFrame, kind: Kind, buckets: int) -> DataFrame:
+def anchor_replies(blocks: DataFrame, kind: Kind, buckets: int, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """(block_id, replies): for each block and bucket, two bits for each distinct anchor in order: whether more
     than one text has it, and whether it is hot."""
     import pandas as pd
@@ -222,7 +222,7 @@ def anchor_replies(blocks: DataFrame, kind: Kind, buckets: int) -> DataFrame:
         several = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n) for x, n in zip(group["several"], sizes)])
         _, index, counts = np.unique(low.view("<u8").ravel(), return_inverse=True, return_counts=True)
         counts = counts[index]
-        repeated, hot = (counts > 1) | (several > 0), counts > HOT_BLOCKS
+        repeated, hot = (counts > 1) | (several > 0), counts > hot_blocks
         at = np.concatenate([[0], np.cumsum(sizes)])
         bits = [pack(np.packbits(repeated[a:b]), np.packbits(hot[a:b])) for a, b in zip(at, at[1:])]
         return pd.DataFrame({"block_id": group["block_id"], "bucket": group["bucket"], "bits": bits})

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_codes, span_hashes
-from .repeats import Kind, anchor_replies, best_of_copies, buckets_for, candidates, covered, merged, open_block, pack, pack_blocks, reduce_to_runs, text_of, unpack
+from .repeats import HOT_BLOCKS, Kind, anchor_replies, best_of_copies, buckets_for, candidates, covered, merged, open_block, pack, pack_blocks, reduce_to_runs, text_of, unpack
 
 WINDOW = 50
 GROUP_BYTES = 6 << 20
@@ -110,7 +110,7 @@ def repeated_windows(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, windo
     return order[owner > least[np.cumsum(group)]] if len(order) else order
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20, hot_blocks: int = HOT_BLOCKS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes with ``with_text``), once
     each byte is removed that lies in a string of ``window`` bytes which also starts in a document with a
     smaller doc_id. Matches never cross documents and are judged on the input.
@@ -118,7 +118,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20,
     A null text counts as empty. A null id counts as larger than any other. Rows that share an id never
     remove each other's bytes. Other columns are ignored; an empty table gives no rows. Texts of any length
     are taken whole. Copies in a block are settled there, so a group of copies sends a row per block; anchors
-    in very many blocks are dealt out window by window."""
+    in more than ``hot_blocks`` blocks are dealt out window by window."""
     import pandas as pd
     import pyarrow as pa
 
@@ -197,7 +197,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20,
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    replies = anchor_replies(blocks, kind, buckets)
+    replies = anchor_replies(blocks, kind, buckets, hot_blocks)
     sent = blocks.join(replies, "block_id").mapInArrow(send, "grp long, block_id long, payload binary")
     runs = reduce_to_runs(sent, resolve)
     done = blocks.join(runs, "block_id", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -64,13 +64,10 @@ def test_empty_tables(nothing):
     assert T.remove_repeated_words(nothing).count() == 0 and A.remove_repeated_bytes(nothing).count() == 0
 
 
-def test_hot_anchors_are_dealt_window_by_window(monkeypatch, docs):
-    from barweave.llm import repeats
-
+def test_hot_anchors_are_dealt_window_by_window(docs):
     part = docs.limit(30)
     want = Counter(map(tuple, A.remove_repeated_bytes(part).collect()))
-    monkeypatch.setattr(repeats, "HOT_BLOCKS", 0)
-    assert Counter(map(tuple, A.remove_repeated_bytes(part).collect())) == want
+    assert Counter(map(tuple, A.remove_repeated_bytes(part, hot_blocks=0).collect())) == want
 
 
 def test_suffix_array():

@@ -23,11 +23,13 @@ def trend_of(close: str, fast: str, slow: str) -> Column:
     )
 
 
-def add_timeframes(features: DataFrame) -> DataFrame:
-    """Daily and weekly trend and how far they agree; the running week closes at the row's own close."""
+def add_timeframes(features: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    """Daily and weekly trend and how far they agree; the running week closes at the row's own close. Weeks come
+    from ``bars`` where given, so that the features are not computed twice."""
     week = F.date_trunc("week", "ts").cast("date")
     rows = features.withColumn("week", week)
-    weeks = rows.groupBy("ticker", "week").agg(F.max_by("close", "ts").alias("week_close"))
+    daily = (bars if bars is not None else features).withColumn("week", week)
+    weeks = daily.groupBy("ticker", "week").agg(F.max_by("close", "ts").alias("week_close"))
     w = I.Window.partitionBy("ticker").orderBy("week")
     past = lambda n: F.when(F.count("week_close").over(w.rowsBetween(-n, -1)) == n, F.sum("week_close").over(w.rowsBetween(-n, -1)))
     sums = weeks.select("ticker", "week", past(49).alias("past49"), past(199).alias("past199"))

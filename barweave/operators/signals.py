@@ -18,7 +18,7 @@ def daily_context(bars: DataFrame, indices: DataFrame, benchmark: str, sectors:
     """Features, structure, pattern frames, trends of both time frames, regime and relative strength per bar.
     Everything is causal, so a row is what a series that ends there gives."""
     out = S.add_pattern_frames(S.add_structure(I.features_daily(bars)))
-    out = X.add_timeframes(out)
+    out = X.add_timeframes(out, bars)
     base = indices.where(F.col("ticker") == benchmark)
     out = X.relative_strength(out, base, sectors, sector)
     out = out.join(X.market_regime(indices).select("ts", "regime"), "ts", "left")

@@ -12,9 +12,8 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import byte_codes, span_hashes
+from .common import span_hashes
 from .repeats import HOT_BLOCKS, Kind, anchor_replies, best_of_copies, buckets_for, candidates, covered, merged, open_block, pack, pack_blocks, reduce_to_runs, text_of, unpack
 
 WINDOW = 50

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barweave.functions import indicators as I
-from barweave.functions.scalars import r6
 from barweave.operators import calendar as C
 from barweave.operators import metrics as M
 from barweave.operators import signals as N

@@ -8,14 +8,16 @@ agrees on that mask. So every pair within the radius meets in some table.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_texts, stored
+from .common import byte_codes, id_and_text, map_texts, mix, stored, word_hashes
 from .graph import connected_components
+from .repeats import gram_hashes
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPLIT = re.compile(rb"[\x20\x09-\x0D]+")
@@ -108,3 +110,128 @@ def simhash_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id",
     ids = labels.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = labels.join(ids, "component").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: The near-duplicate mode: words to a shingle, the least Jaccard similarity, bits between fingerprints. A pair at
+#: 0.8 differs at some 10 bits with a deviation of 3, so this radius keeps all but a vanishing part.
+NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 23
+#: So many of the commonest shingles are known by their rank; it only sets the order of prefixes.
+MAX_COMMON = 50_000
+#: Bits of the map that tells most texts without candidates from those with some.
+MAP_BITS = 1 << 22
+
+
+def shingle_set(text: str | None, words: int) -> tuple[int, np.ndarray]:
+    """A hash of the lower-cased words of a text; its distinct shingles' hashes, sorted (of the whole text if it
+    has fewer words)."""
+    _, _, found = word_hashes((text or "").encode().translate(_LOWER))
+    if not len(found):
+        return 0, np.zeros(0, dtype=np.uint64)
+    places = np.arange(1, len(found) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    whole = int(np.bitwise_xor.reduce(mix(found + places)).view(np.int64))
+    return whole, np.unique(gram_hashes(found, min(words, len(found))))
+
+
+def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles, sorted, and their places from the rarest on. Counts are by batch, and a batch sends
+    only what several of its texts have; at most MAX_COMMON rows come to the driver."""
+    import pyarrow as pa
+
+    def count(batches):
+        for batch in batches:
+            sets = [shingle_set(t, words)[1] for t in batch.column(0).to_pylist()]
+            values, counts = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), return_counts=True)
+            often = counts >= 4
+            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["g", "n"])
+
+    sums = texts.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    found = [r["g"] for r in sums.orderBy(F.desc("n"), "g").limit(MAX_COMMON).collect()]
+    values = np.array(found, dtype=np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], (len(values) - np.arange(len(values)))[order]
+
+
+def near_duplicate_components(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, component_id (the smallest doc_id reachable over links, itself included). Texts link if
+    the Jaccard similarity of their ``words``-word shingles is ``similarity`` or more.
+
+    Texts of the same lower-cased words meet in an aggregation first. Two sets at a Jaccard similarity t share one
+    of the first n - ceil(t n) + 1 shingles of each in any common order; the order puts common shingles last, so
+    these prefixes share little else. Pairs with a shared prefix shingle whose fingerprints are within
+    ``radius`` are compared exactly. That goes in two steps, so that a group of m near copies makes O(m) pairs: each
+    text with a few pivots, then what shares a shingle but no component yet. A null text counts as empty, a null id
+    is never a component's id, repeated rows each give a row."""
+    spark = docs.sparkSession
+    texts = id_and_text(docs, id_col, text_col)
+    common = spark.sparkContext.broadcast(_common_shingles(texts, words))
+
+    def judge():
+        values, places = common.value
+
+        def one(found):
+            rows = []
+            for text in found:
+                whole, grams = shingle_set(text, words)
+                n = len(grams)
+                place = np.zeros(n, dtype=np.int64)
+                if n and len(values):
+                    at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
+                    place = np.where(values[at] == grams, places[at], 0)
+                first = np.lexsort((grams, place))[: n - math.ceil(similarity * n - 1e-9) + 1]
+                rows.append((whole, fingerprint(grams), n, grams[first].view(np.int64)))
+            return rows
+
+        return one
+
+    prints = stored(map_texts(texts, "node long, fp long, n int, prefix array<bigint>", judge))
+    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min_by("prefix", F.coalesce("doc_id", F.lit(0))).alias("prefix"))
+    rows = stored(nodes.select("node", "fp", "n", F.explode("prefix").alias("g")))
+    pivot = F.min(F.struct(F.xxhash64("node", F.col("g").bitwiseAND(F.lit(7))).alias("turn"), "node", "fp", "n"))
+    stars = rows.groupBy("g").agg(pivot.alias("x"), F.count("*").alias("m")).where("m > 1").select("g", F.col("x.node").alias("b"), F.col("x.fp").alias("b_fp"), F.col("x.n").alias("b_n"))
+    shared = stored(rows.join(stars, "g"))
+    near = f"bit_count(fp ^ b_fp) <= {radius} and least(n, b_n) >= {similarity} * greatest(n, b_n) - 1e-9"
+    links = _alike(texts, shared.where(f"node <> b and {near}"), words, similarity)
+    components = connected_components(links)
+    grouped = shared.select("g", "node", "fp", "n").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = stored(grouped)
+    split = grouped.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
+    left = stored(grouped.join(split, "g", "left_semi"))
+    right = left.select("g", F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
+    rest = left.join(right, (left["g"] == right["g"]) & (F.col("component") < F.col("b_component")) & F.expr(near))
+    links = links.unionByName(_alike(texts, rest, words, similarity))
+    components = connected_components(links)
+    labels = prints.select("doc_id", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return labels.join(ids, "component").select("doc_id", "component_id")
+
+
+def _alike(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (node, b) whose sets of shingles have the similarity, as edges (a, b). Sets are made anew, for
+    the texts that a bit map of the candidates holds."""
+    pairs = stored(pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    slots = ends.select(F.col("node").bitwiseAND(F.lit(MAP_BITS - 1)).alias("x")).select(F.expr("cast(shiftright(x, 6) as int)").alias("slot"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    held = np.zeros(MAP_BITS >> 6, dtype=np.int64)
+    for r in slots.collect():  # at most MAP_BITS / 64 rows
+        held[r["slot"]] = r["bits"]
+    sent = texts.sparkSession.sparkContext.broadcast(held)
+
+    def judge():
+        bits = sent.value
+
+        def one(found):
+            rows = []
+            for text in found:
+                node, grams = shingle_set(text, words)
+                x = node & (MAP_BITS - 1)
+                wanted = (int(bits[x >> 6]) >> (x & 63)) & 1
+                rows.append((node, grams.view(np.int64)) if wanted else (None, None))
+            return rows
+
+        return one
+
+    sets = map_texts(texts, "node long, grams array<bigint>", judge).where("node is not null")
+    sets = stored(sets.join(ends.distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("grams").alias("grams")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return stored(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import corpus_pipeline
 from barweave.llm import decontaminate, pii
@@ -52,3 +53,80 @@ def test_operators_return_the_contracts_columns(spark):
     assert set(found) == set(want)
     for name, columns in want.items():
         assert set(columns.split()) <= found[name]
+
+
+def test_near_dedup_stage_links_what_brute_force_links(spark):
+    """Copies of a text at a 5-word Jaccard similarity of 0.7 to 1, a chain of them, exact copies and others."""
+    import random
+
+    from barweave.llm import stages
+    from barweave.llm.simhash import near_duplicate_components, shingle_set
+
+    random.seed(3)
+    made = lambda n: [f"w{random.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for _ in range(12):
+        base = made(random.choice((60, 150, 400)))
+        rows.append(base)
+        for changes in range(1, 6):  # each changed word takes at most five shingles
+            copy = list(base)
+            for at in random.sample(range(len(base)), max(1, changes * len(base) // 200)):
+                copy[at] = "changed"
+            rows.append(copy)
+    link = made(200)
+    for i in range(8):  # neighbours are near, the ends are not
+        rows.append(list(link))
+        link[20 * i : 20 * i + 10] = made(10)
+    rows += [made(100) for _ in range(10)] + [list(rows[0])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    sets = [set(shingle_set(" ".join(w), 5)[1].tolist()) for w in rows]
+    component = list(range(len(rows)))
+    near = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                near += sets[a] != sets[b]
+                old, new = max(component[a], component[b]), min(component[a], component[b])
+                component = [new if c == old else c for c in component]
+    assert near > 40
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_components(docs).collect()}
+    assert got == dict(enumerate(component))
+    assert {r["doc_id"] for r in stages.keep_one_of_each(docs).collect()} == set(component)
+
+
+def test_near_dedup_edges(spark, edge_docs, nothing):
+    from barweave.llm.simhash import near_duplicate_components
+
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_components(edge_docs).collect()}
+    assert got[0] == got[1] == got[2] == got[3] == 0 and got[100] == 8 and got[101] == 101 and got[None] is None
+    assert near_duplicate_components(nothing).count() == 0
+
+
+def brute_near_components(rows, least=0.8):
+    """Components over pairs with a 5-word Jaccard similarity, by an inverted index of all shingles; ids distinct."""
+    sets = {}
+    for i, text in rows:
+        words = [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or "")) if w]
+        k = min(5, len(words))
+        sets[i] = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if k else {()}
+    holders, overlap = {}, {}
+    for i in sorted(sets):
+        for g in sets[i]:
+            for j in holders.setdefault(g, []):
+                overlap[j, i] = overlap.get((j, i), 0) + 1
+            holders[g].append(i)
+    component = {i: i for i in sets}
+    pairs = [(a, b) for (a, b), n in overlap.items() if n >= least * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in pairs:
+        old, new = max(component[a], component[b]), min(component[a], component[b])
+        component = {i: new if c == old else c for i, c in component.items()} if old != new else component
+    return component, sum(sets[a] != sets[b] for a, b in pairs)
+
+
+def test_near_dedup_on_the_table(spark):
+    from barweave.llm.simhash import near_duplicate_components
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    component, near = brute_near_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    assert near > 5
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicate_components(docs).collect()} == component

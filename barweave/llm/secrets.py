@@ -27,10 +27,11 @@ _ASSIGN = re.compile(
 #: Greedy runs with a lower bound match what the unbounded run matches when that is long enough.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: Further credential contexts: a key word that ends in one of these, a separator, a value without white space.
-CONTEXT_WORDS = ("pwd", "pass", "passphrase", "passcode", "credential", "credentials", "auth", "private_key", "access_key", "client_key", "bearer")
+#: Credential contexts: a key word that ends in one of these, a separator, a value without white space. The words of
+#: ``assign`` are among them, for values whose characters its pattern does not take.
+CONTEXT_WORDS = (*_ASSIGN_WORDS, "pwd", "pass", "passphrase", "passcode", "credential", "credentials", "auth", "private_key", "access_key", "client_key", "bearer")
 _CONTEXT = re.compile(
-    r"(?<![A-Za-z])(?:" + "|".join(map(_either_case, sorted(CONTEXT_WORDS, key=len, reverse=True))) + r""")["']?\x20*(?:[:=]|=>)\x20*["']?([^\s"'<>,;]{6,256})"""
+    r"(?<![A-Za-z])(?:" + "|".join(map(_either_case, sorted(CONTEXT_WORDS, key=len, reverse=True))) + r""")["']?\x20*(?:[:=]|=>)\x20*["']?([^\s"'<>,;]{6,})"""
 )
 _CONTEXT_HINT = re.compile("|".join(map(re.escape, CONTEXT_WORDS)))
 
@@ -57,27 +58,32 @@ def _adjacent(a: str, b: str) -> bool:
     return p is not None and q is not None and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
-@lru_cache(maxsize=20_000)
 def guess_cost(value: str) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value`` into words, dates, repeats, keyboard
-    walks and brute-force spans."""
-    n, low = len(value), value.lower()
+    walks and brute-force spans. Linear in the value's length."""
+    return _short_cost(value) if len(value) <= 256 else _cost(value)
+
+
+def _cost(value: str) -> float:
+    n, low = len(value), "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start, cost
     for i in range(n):
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             if rank := _RANK.get(low[i:j]):
                 upper = sum(c.isupper() for c in value[i:j])
                 spans[j].append((i, math.log10(rank + 1) + 0.3 * min(upper, 3)))
-        j = i + 1
-        while j < n and low[j] == low[i]:
-            j += 1
-        if j - i >= 3 and (i == 0 or low[i - 1] != low[i]):
-            spans[j].append((i, CHARACTER_COST + math.log10(j - i)))
-        j = i + 1
-        while j < n and _adjacent(low[j - 1], low[j]):
-            j += 1
-        if j - i >= 4 and (i == 0 or not _adjacent(low[i - 1], low[i])):
-            spans[j].append((i, math.log10(len(_PLACE)) + 0.5 * (j - i)))
+        if i == 0 or low[i - 1] != low[i]:
+            j = i + 1
+            while j < n and low[j] == low[i]:
+                j += 1
+            if j - i >= 3:
+                spans[j].append((i, CHARACTER_COST + math.log10(j - i)))
+        if i == 0 or not _adjacent(low[i - 1], low[i]):
+            j = i + 1
+            while j < n and _adjacent(low[j - 1], low[j]):
+                j += 1
+            if j - i >= 4:
+                spans[j].append((i, math.log10(len(_PLACE)) + 0.5 * (j - i)))
         if low[i].isdigit() and (m := _DATE.match(low, i)):
             spans[m.end()].append((i, DATE_COST))
     for size in range(2, min(8, n // 2) + 1):  # repeats of a block
@@ -102,6 +108,9 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+_short_cost = lru_cache(maxsize=20_000)(_cost)
+
+
 def find_spans(text: str, min_cost: float) -> tuple[list[tuple[int, int, int]], list[float]]:
     """All spans (start, kind index, end) in order; the guess costs of the base ``assign`` values."""
     found: list[tuple[int, int, int]] = []
@@ -113,7 +122,7 @@ def find_spans(text: str, min_cost: float) -> tuple[list[tuple[int, int, int]],
             if len(m[2]) >= 6:
                 found.append((m.start(), 0, m.end()))
                 taken.append(m.span(2))
-                costs.append(guess_cost(m[2][:64]))
+                costs.append(guess_cost(m[2]))
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
@@ -121,7 +130,7 @@ def find_spans(text: str, min_cost: float) -> tuple[list[tuple[int, int, int]],
         covered = sorted((s, e) for s, _, e in found)
         for m in _CONTEXT.finditer(text):
             s, e = m.span(1)
-            if not any(a < e and s < b for a, b in covered) and any(c.isdigit() for c in m[1]) and guess_cost(m[1][:64]) >= min_cost:
+            if not any(a < e and s < b for a, b in covered) and guess_cost(m[1]) >= min_cost:
                 found.append((s, 3, e))
     return sorted(found), costs
 
@@ -129,9 +138,9 @@ def find_spans(text: str, min_cost: float) -> tuple[list[tuple[int, int, int]],
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = 10.0) -> DataFrame:
     """One row per row of ``docs`` with its secret spans.
 
-    Base kinds ``assign``, ``access`` and ``hex`` come from the patterns alone. Values in further credential
-    contexts become ``guess`` spans if their cheapest segmentation takes at least 10**min_cost guesses and
-    they hold a digit. ``max_cost`` is the largest guess cost among the ``assign`` values (null if none).
+    Base kinds ``assign``, ``access`` and ``hex`` come from the patterns alone. Values in credential
+    contexts that no base span overlaps become ``guess`` spans if their cheapest segmentation takes at least
+    10**min_cost guesses. ``max_cost`` is the largest guess cost among the ``assign`` values (null if none).
 
     A null text counts as empty: no spans, base_sha256 of the empty string. Repeated rows each give a row; a
     null id is kept; other columns of ``docs`` are ignored; an empty table gives no rows. Offsets are code

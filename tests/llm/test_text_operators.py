@@ -51,6 +51,20 @@ def test_guess_cost_order(weak, strong):
     assert secrets.guess_cost(weak) < secrets.guess_cost(strong)
 
 
+def test_guess_spans_of_assign_words_long_values_and_no_digits():
+    import random
+
+    random.seed(7)
+    spans = lambda text: [x for x in secrets.find_spans(text, 10.0)[0]]
+    assert spans('password = "x#9Kq!v2$Lm8&Zt4"') == [(12, 3, 28)]
+    assert spans('token: "$2b$12$KIXQ8mJv0pZ"') == [(8, 3, 26)]
+    assert spans("password = abcdef#9Kq!v2$Lm8") == [(0, 0, 17)]  # a base span overlaps
+    long = "".join(random.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJ$%") for _ in range(804))
+    assert spans("auth: " + long) == [(6, 3, 810)]
+    assert spans("pwd: " + "z" * 64 + "q$X9zLw#T7vKp!r") == [(5, 3, 84)]
+    assert spans("pwd: kXqzWvJpTbLm") == [(5, 3, 17)] and spans("pwd: " + "z" * 20000) == []
+
+
 # --- personal data ------------------------------------------------------------------------------------------
 
 PLAIN = {

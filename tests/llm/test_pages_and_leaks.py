@@ -76,15 +76,110 @@ def test_blocks(page, blocks):
     assert H.main_blocks(page) == blocks
 
 
-def test_style_tree_drops_what_repeats_on_a_host(spark):
-    rows = [(i, f"http://h.example/{i}", f"<div class='box'>Same words on all pages</div><div class='body'>Story number {i} of its own</div>") for i in range(8)]
-    rows += [(100 + i, f"http://g{i}.example/", "<div class='box'>Same words on all pages</div>") for i in range(3)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in H.extract_main_text(pages).collect()}
-    assert all(got[i] == f"Story number {i} of its own" for i in range(8))
-    assert all(got[100 + i] == "Same words on all pages" for i in range(3))  # one page of a host shows nothing
-    low = {r["path"]: r["importance"] for r in H.style_tree(pages).where("host = 'h.example'").collect()}
-    assert low["/div.box"] < 0.2 < 0.8 < low["/div.body"]
+def test_markup_words_do_not_delete_content():
+    assert H.main_blocks('<article><h1>T</h1><div class="related-work"><p>content</p></div><section id="search"><p>On search</p></section></article>') == ["T", "content", "On search"]
+    assert H.main_blocks("<article>Teaser</article><div>main story</div>") == ["Teaser", "main story"]
+    assert H.main_blocks('<article><p>one</p><div class="related-posts">x</div><div data-id="ad">two</div><p style="display: none">y</p></article>') == ["one", "two"]
+
+
+def hosts(spark):
+    """A host with an unnamed notice in its articles and a story in an unnamed box, one without articles, small hosts,
+    and one whose pages are copies and near copies."""
+    article = "<nav>m{i}</nav><article><h1>Title</h1><div class='x'><p>Same notice on all pages</p></div><div class='x'><p>Story {i} of its own</p></div><p>All pages say this</p></article>"
+    boxes = "<div class='box'>Same words on all pages</div><div class='body'>Story number {i} of its own</div>"
+    rows = [(i, f"http://h.example/{i}", article.format(i=i)) for i in range(8)]
+    rows += [(100 + i, f"http://b.example/{i}", boxes.format(i=i)) for i in range(8)]
+    rows += [(200 + i, f"http://g{i}.example/", boxes.format(i=i)) for i in range(3)]
+    rows += [(300 + i, f"http://c.example/{i}", f"<article><h1>Title {i % 2}</h1><div><p>One story, copied often</p></div></article>") for i in range(40)]
+    rows += [(400 + i, f"http://n.example/{i}", f"<article><h1>Title {i}</h1><div><p>One story, copied often</p></div></article>") for i in range(40)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_style_tree_removes_template_wherever_it_stands(spark):
+    pages = hosts(spark)
+    got = {r["page_id"]: r["text"].split("\n\n") for r in H.extract_main_text(pages).collect()}
+    for i in range(8):
+        assert got[i] == ["Title", f"Story {i} of its own", "All pages say this"]
+        assert got[100 + i] == [f"Story number {i} of its own"]
+    for i in range(3):  # one page of a host shows nothing
+        assert got[200 + i] == ["Same words on all pages", f"Story number {i} of its own"]
+    for i in range(40):  # two different pages show nothing; where only titles would be left, nothing is template
+        assert got[300 + i] == [f"Title {i % 2}", "One story, copied often"]
+        assert got[400 + i] == [f"Title {i}", "One story, copied often"]
+    without = {r["page_id"]: r["text"].split("\n\n") for r in H.extract_main_text(pages, importance=0.0).collect()}
+    assert {i for i in got if got[i] != without[i]} == {*range(8), *range(100, 108)}
+
+
+def test_style_tree_against_brute_force(spark):
+    """Entropies from plain lists of (page, content, presentation) for each node."""
+    import math
+    from collections import Counter, defaultdict
+
+    pages = hosts(spark)
+    seen = defaultdict(set)
+    for r in pages.collect():
+        page = H.parse(r["html"])
+        for at in range(1, len(page.name)):
+            seen[re.search("://([^/]*)", r["url"])[1], page.name[at] - (1 << 63)].add((page.content[0], page.content[at], page.style[at]))
+    got = {(r["host"], r["node"]): (r["pages"], r["importance"]) for r in H.style_tree(pages).collect()}
+    assert got and set(got) <= set(seen)
+
+    def entropy(values):
+        m = len(values)
+        return -sum(n / m * math.log(n / m) for n in Counter(values).values()) / math.log(max(m, 2)) if m > 1 else 1.0
+
+    for key, (m, importance) in got.items():
+        rows = list(seen[key])
+        assert m == len(rows)
+        assert abs(importance - 0.9 * entropy([r[1] for r in rows]) - 0.1 * entropy([r[2] for r in rows])) < 1e-9
+
+
+def plain_article(page):
+    """The blocks of the article of a page of the test tables, by the parser of the standard library."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.inside = [""], False
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag == "br":
+                self.out[-1] += " "
+            elif tag in ("p", "h1", "article"):
+                self.out.append("")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            if tag in ("p", "h1", "article"):
+                self.out.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.out[-1] += data
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    blocks = [re.sub("[ \t\n\r\f\v]+", " ", b).strip(" \t\n\r\f\v") for b in reader.out]
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_pages_on_the_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: plain_article(r["html"]) for r in pages.collect()}
+    assert {r["page_id"]: r["text"] for r in H.extract_main_text(pages).collect()} == want
+    assert H.style_tree(pages).count() > 100
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a ="', "<b>x</i>", "<div><b>", "<div>x", "<li><p>", "<p><span class=ad>", "<!-- ", "</title ", "<title></title ", "&#", "<td>", "<a b='", "</"])
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    began = time.time()
+    H.main_blocks("<i><article>" + piece * (300_000 // len(piece)))
+    assert time.time() - began < 5
 
 
 def test_pages_edges(spark):

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts
 
@@ -35,7 +37,7 @@ _CONTEXT = re.compile(
 )
 _CONTEXT_HINT = re.compile("|".join(map(re.escape, CONTEXT_WORDS)))
 
-#: Words that people choose, most common first, for the dictionary's ranks.
+#: Words that people choose, most common first; before the words that the corpus itself has.
 COMMON_WORDS = (
     "password 123456 qwerty admin welcome letmein login master dragon monkey football baseball sunshine princess "
     "iloveyou shadow secret hello freedom whatever trustno1 superman batman summer winter spring autumn love "
@@ -43,14 +45,22 @@ COMMON_WORDS = (
     "and this that with from here enter insert please time year day world house computer internet company system "
     "server database network account private public service access manager office"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
+#: So many of the corpus' commonest words of DICTIONARY_SIZES letters are in the dictionary, by their rank.
+DICTIONARY_WORDS, DICTIONARY_SIZES = 20_000, (3, 24)
 #: Rows of a keyboard.
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, i) for r, row in enumerate(KEY_ROWS) for i, c in enumerate(row)}
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?\d{1,2}[-/._]?\d{1,2}|\d{1,2}[-/._]?\d{1,2}[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-#: log10 of the cost of one more segment, of a brute-forced character, of a date.
-SEGMENT_COST, CHARACTER_COST, DATE_COST = 0.3, 1.0, math.log10(365 * 120)
+#: How dates are written (YYYYMMDD, DDMMYYYY, MMDDYYYY with or without separators, a year alone).
+DATES = tuple(re.compile(p) for p in (r"(?:19|20)[0-9]{2}([-/._]?)[0-9]{1,2}\1[0-9]{1,2}", r"[0-9]{1,2}([-/._]?)[0-9]{1,2}\1(?:19|20)[0-9]{2}", r"(?:19|20)[0-9]{2}"))
+#: log10 of the cost of one more segment, of a brute-forced character, of how often a unit repeats, of a date.
+SEGMENT_COST, CHARACTER_COST, REPEAT_COST, DATE_COST = 0.3, 1.0, 1.0, math.log10(365 * 120)
+#: log10 of the cost of where a walk starts, of each of its steps, of each capital of a word (three at most).
+WALK_START, WALK_STEP, CAPITAL_COST = math.log10(sum(map(len, KEY_ROWS))), 0.5, 0.3
+MIN_REPEAT, MIN_WALK, MAX_UNIT, LONGEST_DATE = 3, 4, 8, 10
+
+
+#: A-Z to a-z: what is looked up is as long as the value.
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _adjacent(a: str, b: str) -> bool:
@@ -58,100 +68,151 @@ def _adjacent(a: str, b: str) -> bool:
     return p is not None and q is not None and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of ``value`` into words, dates, repeats, keyboard
-    walks and brute-force spans. Linear in the value's length."""
-    return _short_cost(value) if len(value) <= 256 else _cost(value)
-
-
-def _cost(value: str) -> float:
-    n, low = len(value), "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
-    spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start, cost
-    for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            if rank := _RANK.get(low[i:j]):
-                upper = sum(c.isupper() for c in value[i:j])
-                spans[j].append((i, math.log10(rank + 1) + 0.3 * min(upper, 3)))
-        if i == 0 or low[i - 1] != low[i]:
-            j = i + 1
-            while j < n and low[j] == low[i]:
-                j += 1
-            if j - i >= 3:
-                spans[j].append((i, CHARACTER_COST + math.log10(j - i)))
-        if i == 0 or not _adjacent(low[i - 1], low[i]):
-            j = i + 1
-            while j < n and _adjacent(low[j - 1], low[j]):
-                j += 1
-            if j - i >= 4:
-                spans[j].append((i, math.log10(len(_PLACE)) + 0.5 * (j - i)))
-        if low[i].isdigit() and (m := _DATE.match(low, i)):
-            spans[m.end()].append((i, DATE_COST))
-    for size in range(2, min(8, n // 2) + 1):  # repeats of a block
-        i = 0
-        while i + 2 * size <= n:
-            j = i + size
-            while low[j : j + size] == low[i : i + size]:
-                j += size
-            if j - i >= 2 * size:
-                spans[j].append((i, CHARACTER_COST * size + math.log10((j - i) // size)))
-                i = j
+class GuessCosts:
+    """Guess costs under a dictionary: words with their ranks.
+
+    A segment is a word of the dictionary; a date; a unit of 1 to MAX_UNIT characters that repeats (one character
+    MIN_REPEAT times, others twice at least, the last time may be cut short); a walk of MIN_WALK keys or more, each
+    next to the one before; or any characters by brute force. Each segment after the first costs SEGMENT_COST more.
+    The minimum is over all segmentations. It is linear in the length: of all starts that a repeat, a walk or a
+    brute-force segment to a place can have, only the cheapest matters, and that is carried along."""
+
+    def __init__(self, words: list[str] | tuple[str, ...] = ()):
+        self.rank: dict[str, int] = {}
+        for word in (*COMMON_WORDS, *words):
+            self.rank.setdefault(word, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+        self.heads = {w[:3] for w in self.rank}
+        self.short = lru_cache(maxsize=20_000)(self.whole)
+
+    def __call__(self, value: str) -> float:
+        """log10 of the guesses for the cheapest segmentation of the whole value."""
+        return self.short(value) if len(value) <= 256 else self.whole(value)
+
+    def word_cost(self, value: str) -> float | None:
+        """The cost of a segment as a word; None if it is none."""
+        rank = self.rank.get(value.translate(_LOWER))
+        return None if rank is None else math.log10(rank + 1) + CAPITAL_COST * min(3, sum("A" <= c <= "Z" for c in value))
+
+    def whole(self, value: str) -> float:
+        n, low = len(value), value.translate(_LOWER)
+        best = [math.inf] * (n + 1)  # the cheapest way to each place
+        best[0] = 0.0
+        brute = math.inf  # the cheapest way here that ends in brute force
+        walked, walk = 0, math.inf  # keys side by side up to here; the cheapest start of a walk, less its steps
+        matched = [0] * (MAX_UNIT + 1)  # characters up to here that equal those a unit before
+        repeat = [math.inf] * (MAX_UNIT + 1)  # the cheapest start of a repeat of each unit
+        for j in range(1, n + 1):
+            i, c = j - 1, low[j - 1]
+            begun = best[i] + (SEGMENT_COST if i else 0.0)
+            if low[i : i + 3] in self.heads:  # words that start here
+                for end in range(i + 3, min(n, i + self.longest) + 1):
+                    if low[i:end] in self.rank:
+                        best[end] = min(best[end], begun + self.word_cost(value[i:end]))
+            brute = min(brute, begun) + CHARACTER_COST
+            least = min(best[j], brute)
+            if walked and _adjacent(low[i - 1], c):
+                walked += 1
             else:
-                i += 1
-    best = [0.0] + [math.inf] * n
-    brute = [True] + [False] * n  # whether the cheapest way here ends in a brute-force span
-    for j in range(1, n + 1):
-        best[j] = best[j - 1] + CHARACTER_COST + (0.0 if brute[j - 1] else SEGMENT_COST)
-        brute[j] = True
-        for i, cost in spans[j]:
-            if (total := best[i] + cost + (SEGMENT_COST if i else 0.0)) < best[j]:
-                best[j], brute[j] = total, False
-    return best[n]
-
-
-_short_cost = lru_cache(maxsize=20_000)(_cost)
-
-
-def find_spans(text: str, min_cost: float) -> tuple[list[tuple[int, int, int]], list[float]]:
+                walked, walk = int(c in _PLACE), math.inf
+            if walked >= MIN_WALK:
+                start = j - MIN_WALK
+                walk = min(walk, best[start] + (SEGMENT_COST if start else 0.0) - WALK_STEP * start)
+                least = min(least, walk + WALK_START + WALK_STEP * j)
+            for unit in range(1, min(MAX_UNIT, i) + 1):
+                if c != low[i - unit]:
+                    matched[unit], repeat[unit] = 0, math.inf
+                    continue
+                matched[unit] += 1
+                needed = unit if unit > 1 else MIN_REPEAT - 1
+                if matched[unit] >= needed:
+                    start = j - needed - unit
+                    repeat[unit] = min(repeat[unit], best[start] + (SEGMENT_COST if start else 0.0))
+                    least = min(least, repeat[unit] + CHARACTER_COST * unit + REPEAT_COST)
+            if "0" <= c <= "9":
+                for start in range(max(0, j - LONGEST_DATE), j - 3):
+                    cost = best[start] + (SEGMENT_COST if start else 0.0) + DATE_COST
+                    if cost < least and is_date(low[start:j]):
+                        least = cost
+            best[j] = least
+        return best[n]
+
+
+def is_date(text: str) -> bool:
+    return any(p.fullmatch(text) for p in DATES)
+
+
+def is_walk(text: str) -> bool:
+    low = text.translate(_LOWER)
+    return len(low) >= MIN_WALK and all(map(_adjacent, low, low[1:]))
+
+
+def is_repeat(text: str, unit: int) -> bool:
+    low = text.translate(_LOWER)
+    return len(low) >= (2 * unit if unit > 1 else MIN_REPEAT) and low[unit:] == low[:-unit]
+
+
+def find_spans(text: str, min_cost: float, guess_cost: GuessCosts) -> tuple[list[tuple[int, int, int]], list[float]]:
     """All spans (start, kind index, end) in order; the guess costs of the base ``assign`` values."""
     found: list[tuple[int, int, int]] = []
     costs: list[float] = []
     low = text.lower()
-    taken: list[tuple[int, int]] = []
     if any(w in low for w in _ASSIGN_WORDS):
         for m in _ASSIGN.finditer(text):
             if len(m[2]) >= 6:
                 found.append((m.start(), 0, m.end()))
-                taken.append(m.span(2))
                 costs.append(guess_cost(m[2]))
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    found.sort()
     if _CONTEXT_HINT.search(low):
-        covered = sorted((s, e) for s, _, e in found)
+        starts, ends, reach = [], [], 0  # of the base spans, in order, with how far they reach
+        for s, _, e in found:
+            reach = max(reach, e)
+            starts.append(s), ends.append(reach)
         for m in _CONTEXT.finditer(text):
             s, e = m.span(1)
-            if not any(a < e and s < b for a, b in covered) and guess_cost(m[1]) >= min_cost:
+            before = bisect_left(starts, e)
+            if not (before and ends[before - 1] > s) and guess_cost(m[1]) >= min_cost:
                 found.append((s, 3, e))
     return sorted(found), costs
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = 10.0) -> DataFrame:
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY_WORDS) -> list[str]:
+    """The ``most`` commonest words of running text, over all documents, the commonest first (among equals by
+    spelling): letters a-z with at most the first one capital, a space before them that no colon or equals sign
+    precedes, so that values in credential contexts do not make themselves words. Only counts are shuffled."""
+    few, many = DICTIONARY_SIZES
+    pattern = rf"(?<=[^:=\x20]\x20)[A-Za-z][a-z]{{{few - 1},{many - 1}}}(?![A-Za-z0-9_=:/+-])"
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(pattern), F.lit(0))).alias("w"))
+    counts = words.groupBy(F.lower("w").alias("w")).count()
+    return [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(most).collect()]  # at most ``most`` rows
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = 10.0, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
     """One row per row of ``docs`` with its secret spans.
 
     Base kinds ``assign``, ``access`` and ``hex`` come from the patterns alone. Values in credential
     contexts that no base span overlaps become ``guess`` spans if their cheapest segmentation takes at least
-    10**min_cost guesses. ``max_cost`` is the largest guess cost among the ``assign`` values (null if none).
-
-    A null text counts as empty: no spans, base_sha256 of the empty string. Repeated rows each give a row; a
-    null id is kept; other columns of ``docs`` are ignored; an empty table gives no rows. Offsets are code
-    points, the end exclusive. No shuffle: each row is judged by itself.
+    10**min_cost guesses; values are judged whole, whatever their length. The dictionary is a list of common words and
+    the corpus' own ``dictionary_words`` commonest ones. ``max_cost`` is the largest guess cost among the ``assign``
+    values (null if none).
+
+    A null text counts as empty: no spans, base_sha256 of the empty string. Texts of any length are scanned whole, in
+    time linear in their length. Repeated rows each give a row; a null id is kept; other columns of ``docs`` are
+    ignored; an empty table gives no rows. Offsets are code points, the end exclusive. No shuffle of texts: each row
+    is judged by itself.
     """
+    words = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text_col, dictionary_words))
 
     def judge():
+        guess_cost = GuessCosts(words.value)
+
         def one(texts):
             rows = []
             for text in texts:
-                spans, costs = find_spans(text or "", min_cost)
+                spans, costs = find_spans(text or "", min_cost, guess_cost)
                 names = [f"{KINDS[k]}:{s}:{e}" for s, k, e in spans]
                 base = [x for x, (_, k, _) in zip(names, spans) if k < 3]
                 count = [sum(k == i for _, k, _ in spans) for i in range(4)]

@@ -48,21 +48,70 @@ def test_secrets_guess_spans(spark):
 
 @pytest.mark.parametrize("weak, strong", [("password", "pqzsword"), ("qwertyui", "qmxrtkvi"), ("19991231", "83716294"), ("aaaaaaaa", "akxqzmwv"), ("abcabcabc", "abcxyzmkq")])
 def test_guess_cost_order(weak, strong):
-    assert secrets.guess_cost(weak) < secrets.guess_cost(strong)
+    cost = secrets.GuessCosts()
+    assert cost(weak) < cost(strong)
+
+
+def brute_cost(value, costs):
+    """The least cost over all segmentations, by trying every last segment."""
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        ways = []
+        for i in range(j):
+            part = value[i:j]
+            kinds = [secrets.CHARACTER_COST * len(part)]
+            if (word := costs.word_cost(part)) is not None:
+                kinds.append(word)
+            if secrets.is_date(part):
+                kinds.append(secrets.DATE_COST)
+            if secrets.is_walk(part):
+                kinds.append(secrets.WALK_START + secrets.WALK_STEP * len(part))
+            kinds += [secrets.CHARACTER_COST * u + secrets.REPEAT_COST for u in range(1, secrets.MAX_UNIT + 1) if secrets.is_repeat(part, u)]
+            ways.append(best[i] + min(kinds) + (secrets.SEGMENT_COST if i else 0.0))
+        best.append(min(ways))
+    return best[-1]
+
+
+def test_guess_cost_is_the_least_over_all_segmentations():
+    import random
+
+    random.seed(11)
+    costs = secrets.GuessCosts(["sun", "sunday", "dayz", "ababa"])
+    values = ["İİİa2024", "İİİabababab9", "Sunday19991231qwertyQWE", "passwordpassword", "ababababasunday", "12121999", "1-2-2024x1-2/2024", "aaaaqwerty", "poiuytrewqq"]
+    pieces = ["pass", "word", "sun", "day", "z", "z", "qwe", "rty", "19", "99", "12", "-", "ab", "ab", "İ", "A", "S", "#", "0"]
+    values += ["".join(random.choices(pieces, k=random.randrange(1, 12))) for _ in range(400)]
+    for value in values:
+        assert abs(costs(value) - brute_cost(value, costs)) < 1e-9, value
 
 
 def test_guess_spans_of_assign_words_long_values_and_no_digits():
     import random
+    import time
 
     random.seed(7)
-    spans = lambda text: [x for x in secrets.find_spans(text, 10.0)[0]]
+    costs = secrets.GuessCosts()
+    spans = lambda text: secrets.find_spans(text, 10.0, costs)[0]
     assert spans('password = "x#9Kq!v2$Lm8&Zt4"') == [(12, 3, 28)]
     assert spans('token: "$2b$12$KIXQ8mJv0pZ"') == [(8, 3, 26)]
     assert spans("password = abcdef#9Kq!v2$Lm8") == [(0, 0, 17)]  # a base span overlaps
-    long = "".join(random.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJ$%") for _ in range(804))
-    assert spans("auth: " + long) == [(6, 3, 810)]
+    strong = "".join(random.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJ$%") for _ in range(10_000))
+    assert spans("auth: " + strong) == [(6, 3, 10_006)] and spans("pwd=" + strong[:320]) == [(4, 3, 324)]
     assert spans("pwd: " + "z" * 64 + "q$X9zLw#T7vKp!r") == [(5, 3, 84)]
     assert spans("pwd: kXqzWvJpTbLm") == [(5, 3, 17)] and spans("pwd: " + "z" * 20000) == []
+    assert spans("pass=İİİa2024") == [] and len(spans("auth=İxİqİzİwİkİxq9")) == 1
+    began = time.time()
+    many = spans("pwd: kXqzWvJpTbLm 0123456789abcdef01234567 " * 10_000)
+    assert len(many) == 20_000 and time.time() - began < 5
+
+
+def test_corpus_words_make_the_dictionary(spark):
+    text = "the Cat sat on the mat and the cat ran; auth: implementation pwd: zqkwjvxhrt"
+    df = spark.createDataFrame([(i, text) for i in range(3)] + [(9, None)], "doc_id long, text string")
+    assert secrets.corpus_words(df) == ["the", "cat", "and", "mat", "ran", "sat"]
+    assert secrets.corpus_words(df, most=2) == ["the", "cat"] and secrets.corpus_words(df.limit(0)) == []
+    rows = [(1, "we saw the implementation here"), (2, "auth: implementation"), (3, "auth: zqkwjvxhrtpl")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "", 3: "guess:6:18"}
 
 
 # --- personal data ------------------------------------------------------------------------------------------

@@ -107,8 +107,8 @@ def test_guess_spans_of_assign_words_long_values_and_no_digits():
 def test_corpus_words_make_the_dictionary(spark):
     text = "the Cat sat on the mat and the cat ran; auth: implementation pwd: zqkwjvxhrt"
     df = spark.createDataFrame([(i, text) for i in range(3)] + [(9, None)], "doc_id long, text string")
-    assert secrets.corpus_words(df) == ["the", "cat", "and", "mat", "ran", "sat"]
-    assert secrets.corpus_words(df, most=2) == ["the", "cat"] and secrets.corpus_words(df.limit(0)) == []
+    assert secrets.corpus_words(df) == ["cat", "the", "and", "mat", "ran", "sat"]
+    assert secrets.corpus_words(df, most=2) == ["cat", "the"] and secrets.corpus_words(df.limit(0)) == []
     rows = [(1, "we saw the implementation here"), (2, "auth: implementation"), (3, "auth: zqkwjvxhrtpl")]
     got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "", 2: "", 3: "guess:6:18"}

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, as all contracts define it.
@@ -17,19 +17,19 @@ MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """A fresh folder below ``spark.checkpoint.dir``, removed when the application ends. Where that is unset, a
+    temporary folder in local mode; on a cluster that would be seen by one machine alone, so it is an error."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="barweave-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/barweave-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        context.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/barweave-{uuid.uuid4().hex}"
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -41,6 +41,19 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Names a row: rows of the same id and text share it."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def fresh(name: str, *taken: DataFrame) -> str:
+    """A column name that none of the tables has, whatever the case."""
+    names = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that the operators use, named ``doc_id`` and ``text``; a null text stays null."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -98,9 +111,17 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words of a text."""
+    """Starts, ends and 64-bit hashes of the words of a text. A hash is a sum of mixed values of the bytes with their
+    places in the word: unlike a polynomial modulo a power of two, it has no structure that words could share."""
     starts, ends = word_spans(data)
-    return starts, ends, span_hashes(byte_codes(data), starts, ends)
+    if not len(starts):
+        return starts, ends, np.zeros(0, dtype=np.uint64)
+    first, last = int(starts[0]), int(ends[-1])
+    place = np.arange(first, last, dtype=np.int64) - np.repeat(starts, np.diff(starts, append=last))
+    values = mix(_BYTE_CODES[np.frombuffer(data, dtype=np.uint8)[first:last]] + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    acc = np.zeros(last - first + 1, dtype=np.uint64)
+    np.cumsum(values, out=acc[1:])
+    return starts, ends, mix(acc[ends - first] - acc[starts - first] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

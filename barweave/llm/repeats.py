@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import MASK64, byte_codes, id_and_text, mix, shared_dir, sliding_min, word_hashes
 
 BLOCK_BYTES = 4 << 20
+#: Text to a task of a shuffle.
+TASK_BYTES = 16 << 20
 #: Anchors in more blocks than this are hot: their windows are dealt out one by one, by their whole content.
 HOT_BLOCKS = 2_000
 _CHUNK = 1 << 22
@@ -193,7 +195,7 @@ def sorted_anchors(values: np.ndarray, texts: np.ndarray, buckets: int):
     return index, (ranked[first] >> np.uint64(40)).astype(np.int64), ranked[first] & np.uint64((1 << 40) - 1), several
 
 
-def anchor_replies(blocks: DataFrame, kind: Kind, buckets: int, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def anchor_replies(blocks: DataFrame, kind: Kind, buckets: int, size: int, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """(block_id, replies): for each block and bucket, two bits for each distinct anchor in order: whether more
     than one text has it, and whether it is hot."""
     import pandas as pd
@@ -228,8 +230,8 @@ def anchor_replies(blocks: DataFrame, kind: Kind, buckets: int, hot_blocks: int
         return pd.DataFrame({"block_id": group["block_id"], "bucket": group["bucket"], "bits": bits})
 
     sent = blocks.mapInArrow(send, "bucket long, block_id long, low binary, several binary")
-    answers = sent.groupBy("bucket").applyInPandas(answer, "block_id long, bucket long, bits binary")
-    return answers.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("replies"))
+    answers = dealt(sent, "bucket", size).groupBy("bucket").applyInPandas(answer, "block_id long, bucket long, bits binary")
+    return dealt(answers, "block_id", size).groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("replies"))
 
 
 @dataclass
@@ -279,27 +281,33 @@ def covered(n: int, runs: list[bytes]) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def best_of_copies(name: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def best_of_copies(name: np.ndarray, ids: np.ndarray, equal) -> tuple[np.ndarray, np.ndarray]:
     """Of items with equal names in a block: which to send (all of the smallest id), and which the block
-    itself shows to have a copy under a smaller id."""
+    itself shows to have a copy under a smaller id; ``equal(a, b)`` says which pairs of items are equal in content, and
+    only those count."""
     order = np.lexsort((ids, name))
     ranked = name[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = ranked[1:] != ranked[:-1]
-    least = ids[order][new][np.cumsum(new) - 1]
-    beaten = np.empty(len(order), dtype=bool)
-    beaten[order] = ids[order] > least
+    head = order[new][np.cumsum(new) - 1]
+    later = ids[order] > ids[head]
+    beaten = np.zeros(len(order), dtype=bool)
+    beaten[order[later]] = equal(order[later], head[later])
     return ~beaten, beaten
 
 
-def buckets_for(blocks: DataFrame, per_bucket: int) -> int:
-    """Buckets so that each has about ``per_bucket`` bytes of text; at least 8."""
-    total = blocks.agg(F.sum(F.length("data").cast("long"))).first()[0] or 0  # about a third of the text
-    return max(8, -(-3 * total // per_bucket))
+def text_bytes(blocks: DataFrame) -> int:
+    """About how many bytes of text the blocks hold."""
+    return 3 * (blocks.agg(F.sum(F.length("data").cast("long"))).first()[0] or 0)  # data is about a third of the text
 
 
-def reduce_to_runs(sent: DataFrame, resolve) -> DataFrame:
+def dealt(df: DataFrame, by: str, size: int) -> DataFrame:
+    """Rows dealt out by a column to partitions whose number grows with the text, so that a task's share does not."""
+    return df.repartition(max(8, -(-size // TASK_BYTES)), by)
+
+
+def reduce_to_runs(sent: DataFrame, resolve, size: int) -> DataFrame:
     """``sent`` (grp, block_id, payload) → (block_id, runs): what ``resolve`` finds in each group, gathered by
     block. Rows with a negative ``grp`` hold runs already."""
-    found = sent.groupBy("grp").applyInPandas(resolve, "block_id long, runs binary")
-    return found.groupBy("block_id").agg(F.collect_list("runs").alias("runs"))
+    found = dealt(sent, "grp", size).groupBy("grp").applyInPandas(resolve, "block_id long, runs binary")
+    return dealt(found, "block_id", size).groupBy("block_id").agg(F.collect_list("runs").alias("runs"))

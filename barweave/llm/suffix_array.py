@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import span_hashes
-from .repeats import HOT_BLOCKS, Kind, anchor_replies, best_of_copies, buckets_for, candidates, covered, merged, open_block, pack, pack_blocks, reduce_to_runs, text_of, unpack
+from .repeats import HOT_BLOCKS, Kind, anchor_replies, best_of_copies, candidates, covered, dealt, merged, open_block, pack, pack_blocks, reduce_to_runs, text_bytes, text_of, unpack
 
 WINDOW = 50
 GROUP_BYTES = 6 << 20
@@ -123,8 +123,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20,
 
     kind = Kind(words=False, length=window, k=gram)
     blocks = pack_blocks(docs, id_col, text_col)
-    buckets = buckets_for(blocks, 4 * GROUP_BYTES)
-    groups = buckets_for(blocks, GROUP_BYTES)
+    size = text_bytes(blocks)
+    buckets, groups = (max(8, -(-size // per)) for per in (4 * GROUP_BYTES, GROUP_BYTES))
 
     def send(batches):
         for batch in batches:
@@ -140,7 +140,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20,
                 end = found.start[np.append(head[1:], len(new)) - 1] + window
                 ids = block.ids[text_of(block, start)]
                 name = span_hashes(block.codes, start, end)
-                keep, beaten = best_of_copies(name, ids)
+                raw = np.frombuffer(block.data, dtype=np.uint8)
+                keep, beaten = best_of_copies(name, ids, lambda a, b: equal_bytes(raw, start, end, a, b))
                 if beaten.any():
                     yield rows([-1 - row["block_id"] % groups], row["block_id"], [pack(*merged(start[beaten], end[beaten]))])
                 anchor = found.anchor[head]
@@ -148,7 +149,6 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20,
                 order = np.flatnonzero(keep)
                 order = order[np.argsort(grp[order], kind="stable")]
                 cut = np.flatnonzero(np.diff(grp[order], prepend=-1))
-                raw = np.frombuffer(block.data, dtype=np.uint8)
                 payloads = []
                 for a, z in zip(cut, np.append(cut[1:], len(order))):
                     s, e = start[order[a:z]], end[order[a:z]]
@@ -196,10 +196,11 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20,
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    replies = anchor_replies(blocks, kind, buckets, hot_blocks)
-    sent = blocks.join(replies, "block_id").mapInArrow(send, "grp long, block_id long, payload binary")
-    runs = reduce_to_runs(sent, resolve)
-    done = blocks.join(runs, "block_id", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    replies = anchor_replies(blocks, kind, buckets, size, hot_blocks)
+    placed = dealt(blocks, "block_id", size)
+    sent = placed.join(replies, "block_id").mapInArrow(send, "grp long, block_id long, payload binary")
+    runs = reduce_to_runs(sent, resolve, size)
+    done = placed.join(runs, "block_id", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done if with_text else done.drop("kept")
 
 
@@ -212,3 +213,16 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out[0] = starts[0]
     out[np.cumsum(sizes)[:-1]] = starts[1:] - ends[:-1] + 1
     return np.cumsum(out)
+
+
+def equal_bytes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the segments ``a`` have the bytes of their partners in ``b``."""
+    same = end[a] - start[a] == end[b] - start[b]
+    for lo in range(0, len(a), 1 << 16):  # a part at a time bounds the memory
+        part = np.flatnonzero(same[lo : lo + (1 << 16)]) + lo
+        if len(part):
+            x, y = a[part], b[part]
+            sizes = end[x] - start[x]
+            agree = raw[ranges(start[x], end[x])] == raw[ranges(start[y], end[y])]
+            same[part] = np.logical_and.reduceat(agree, np.cumsum(sizes) - sizes)
+    return same

@@ -5,7 +5,8 @@ first two depths, then four bits), and at the last depth 64 bits of the whole wi
 two words' bytes where that prefix is too frequent, the whole path where both are; neighbouring small prefixes
 share a group. A group's suffixes in path order are the leaves of its subtree, and the common depths of
 neighbours its internal nodes; those as deep as the window are the repeats. Deeper branching cannot change
-which words a repeat covers, so paths end there.
+which words a repeat covers, so paths end there. Windows count as equal if all steps and the name agree, some 120 bits of
+hashes of different prefixes; copies in a block are compared word by word.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix
-from .repeats import Kind, anchor_replies, best_of_copies, buckets_for, candidates, covered, merged, open_block, pack, pack_blocks, reduce_to_runs, text_of, unpack
+from .repeats import Kind, anchor_replies, best_of_copies, candidates, covered, dealt, merged, open_block, pack, pack_blocks, reduce_to_runs, text_bytes, text_of, unpack
 
 WINDOW = 13
 GROUP_BYTES = 24 << 20
@@ -135,7 +136,8 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = 5,
 
     kind = Kind(words=True, length=window, k=gram)
     blocks = pack_blocks(docs, id_col, text_col)
-    buckets = buckets_for(blocks, 4 * GROUP_BYTES)
+    size = text_bytes(blocks)
+    buckets = max(8, -(-size // (4 * GROUP_BYTES)))
     base, parts, groups = split_prefixes(prefix_counts(blocks, kind), group_suffixes)
     tables = docs.sparkSession.sparkContext.broadcast((base, parts))  # 2**16 entries each, whatever the input
 
@@ -150,7 +152,8 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = 5,
                 start = found.start
                 path, name = paths(block.codes, start, window)
                 ids = block.ids[text_of(block, start)]
-                keep, beaten = best_of_copies(name, ids)
+                codes = block.codes
+                keep, beaten = best_of_copies(name, ids, lambda a, b: np.logical_and.reduce([codes[start[a] + d] == codes[start[b] + d] for d in range(window)]))
                 if beaten.any():
                     yield rows([-1 - row["block_id"] % groups], row["block_id"], [pack(*merged(start[beaten], start[beaten] + window))])
                 prefix = path[:, 0].astype(np.int64) << 8 | path[:, 1]
@@ -201,8 +204,9 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = 5,
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    replies = anchor_replies(blocks, kind, buckets)
-    sent = blocks.join(replies, "block_id").mapInArrow(send, "grp long, block_id long, payload binary")
-    runs = reduce_to_runs(sent, resolve)
-    done = blocks.join(runs, "block_id", "left").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    replies = anchor_replies(blocks, kind, buckets, size)
+    placed = dealt(blocks, "block_id", size)
+    sent = placed.join(replies, "block_id").mapInArrow(send, "grp long, block_id long, payload binary")
+    runs = reduce_to_runs(sent, resolve, size)
+    done = placed.join(runs, "block_id", "left").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done if with_text else done.drop("kept")

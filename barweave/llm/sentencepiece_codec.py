@@ -37,7 +37,9 @@ class PieceModel:
             raise ValueError("only BPE models with an identity normaliser and byte fallback are supported")
         self.prefix = MARK if spec.add_dummy_prefix else ""
         self.remember = remember
-        normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (1, 4, 5)}
+        if any(p.type == 4 for p in model.pieces):
+            raise ValueError("user-defined pieces are not supported")
+        normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (1, 5)}
         if any(MARK in p.lstrip(MARK) for p in normal):
             raise ValueError("a piece goes on over white space")
         self.pieces = [p.piece for p in model.pieces]
@@ -76,7 +78,6 @@ class PieceModel:
         # Ids of words (chunks with one mark before them), of this generation and the one before.
         self.words: dict[str, str] = {}
         self.older: dict[str, str] = {}
-        self.odd: set[str] = set()  # words that decoding does not give back
 
     def _last_merge(self, piece: str, normal: dict[str, int]) -> tuple[int, int] | None:
         ids = [normal.get(c) for c in piece]
@@ -174,7 +175,7 @@ class PieceModel:
                 out.append(_utf8(bytes(raw)))
                 raw.clear()
 
-        if not any(map(self.special.__contains__, ids)):
+        if self.special.isdisjoint(ids):
             text = "".join(map(self.pieces.__getitem__, ids)).replace(MARK, " ")
             return text[1:] if self.prefix and text.startswith(" ") else text
         for i in ids:
@@ -197,32 +198,30 @@ class PieceModel:
         flush()
         return "".join(out)
 
+    def ids_text(self, text: str) -> str:
+        """The decimal ids of a text, joined by commas."""
+        if self.prefix != MARK or not text or MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+            return ",".join(map(str, self.encode(text)))
+        return ",".join(self._ids_of_words(text.split(" ")))
+
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, sha256 of the ids, sha256 of the decoded text."""
-        if not text:
+        """Number of ids, sha256 of the ids, sha256 of the text decoded from them."""
+        joined = self.ids_text(text)
+        if not joined:
             return 0, EMPTY, EMPTY
-        if self.prefix != MARK or MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
-            ids = self.encode(text)
-            return len(ids), _sha(",".join(map(str, ids))), _sha(self.decode(ids))
-        words = text.split(" ")
-        joined = ",".join(self._ids_of_words(words))
-        if not self.odd or self.odd.isdisjoint(words):  # each word decodes to itself
-            return joined.count(",") + 1, _sha(joined), _sha(text)
-        return joined.count(",") + 1, _sha(joined), _sha(self.decode([int(x) for x in joined.split(",")]))
+        ids = list(map(int, joined.split(",")))
+        return len(ids), _sha(joined), _sha(self.decode(ids))
 
     def _ids_of_words(self, words: list[str]) -> list[str]:
         found = list(map(self.words.get, words))
         if None in found:
-            pieces, text_of = self.pieces, self.text_of
+            text_of = self.text_of
             for at, ids in enumerate(found):
                 if ids is None:
                     word = words[at]
                     ids = self.words.get(word) or self.older.get(word)
                     if ids is None:
-                        made = self.encode_chunk(MARK + word)
-                        if "".join([pieces[i] for i in made]) != MARK + word and self.decode(made) != word:
-                            self.odd.add(word)
-                        ids = ",".join([text_of[i] for i in made])
+                        ids = ",".join([text_of[i] for i in self.encode_chunk(MARK + word)])
                     if len(self.words) >= self.remember:
                         self.older, self.words = self.words, {}
                     self.words[word] = found[at] = ids
@@ -285,15 +284,21 @@ def sentencepiece_digest(docs: DataFrame, model_path: str | None = None, id_col:
 
 
 def sentencepiece_encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the ids and the text decoded from them. Nulls and repeats as in ``sentencepiece_digest``."""
+    """Per row: what ``sentencepiece_digest`` gives, the ids and the text decoded from them. Nulls and repeats as
+    there."""
 
     def judge():
         model = load(model_path or default_model_path())
 
         def one(texts):
-            found = [model.encode(t or "") for t in texts]
-            return [(ids, model.decode(ids)) for ids in found]
+            rows = []
+            for text in texts:
+                joined = model.ids_text(text or "")
+                ids = list(map(int, joined.split(","))) if joined else []
+                decoded = model.decode(ids)
+                rows.append((len(ids), _sha(joined), _sha(decoded), ids, decoded))
+            return rows
 
         return one
 
-    return map_texts(id_and_text(docs, id_col, text_col), "ids array<int>, decoded string", judge)
+    return map_texts(id_and_text(docs, id_col, text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string", judge)

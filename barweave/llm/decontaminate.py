@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_key, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -90,11 +90,6 @@ def similarity(a: str, b: str) -> Column:
     )
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Names a row: rows of the same id and text share it."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
 def _starts(min_similarity: float) -> Column:
     """Starts of all windows that hold enough of the positions ``at``: a window of w shingles and an item of m have a
     similarity of s only if s / (1 + s) * (m + w) shingles of the window are the item's."""

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, id_and_text, map_texts, mix, stored, word_hashes
+from .common import id_and_text, map_texts, mix, row_key, stored, word_hashes
 from .graph import connected_components
 from .repeats import gram_hashes
 
@@ -77,36 +77,36 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (node, fp), fp distinct → edges (a, b) that join all fingerprints at 2 or fewer bits.
+def near_links(prints: DataFrame) -> DataFrame:
+    """``prints`` (fp), distinct → edges (a, b) that join all fingerprints at 2 or fewer bits.
 
     Covering tables give the candidates. In a bucket that more than one fingerprint shares, each one goes to
     its midpoints, itself and itself with one bit outside the mask flipped: two fingerprints share a midpoint
-    exactly if they differ at 2 or fewer bits, and all that share one hang on its smallest node. So a bucket
+    exactly if they differ at 2 or fewer bits, and all that share one hang on the smallest of them. So a bucket
     of m fingerprints makes O(m) rows, never its pairs."""
     masks = covering_masks(2)
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
-    rows = nodes.select("node", "fp", F.explode(tables).alias("x")).select("node", "fp", "x.t", "x.key")
+    rows = prints.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
     shared = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
     flips = F.create_map(*[x for t, m in enumerate(masks) for x in (F.lit(t), F.array(F.lit(0).cast("long"), *[F.lit(_long(1 << b)) for b in range(64) if not (m >> b) & 1]))])
-    points = stored(rows.join(shared, ["t", "key"], "left_semi").select("node", "fp", F.explode(flips[F.col("t")]).alias("bit")).select("node", F.col("fp").bitwiseXOR(F.col("bit")).alias("z")).distinct())
-    stars = points.groupBy("z").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("z", "b")
-    return points.join(stars, "z").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    points = stored(rows.join(shared, ["t", "key"], "left_semi").select("fp", F.explode(flips[F.col("t")]).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("z")).distinct())
+    stars = points.groupBy("z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("z", "b")
+    return points.join(stars, "z").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def simhash_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (16 lowercase hex digits), component_id (the smallest doc_id reachable over
     links of 2 or fewer differing bits, itself included).
 
-    A null text counts as empty; empty texts have fingerprint zero and are linked like any other. Repeated
-    rows each give a row. A null id takes part through its text but is never a component's id (null only if
-    all ids reachable are null). Other columns are ignored; an empty table gives no rows. Exact copies meet
-    in an aggregation first, so groups of copies cost nothing later."""
+    A null text counts as empty; empty texts have fingerprint zero and are linked like any other; texts of any length
+    are taken whole. Repeated rows each give a row; rows that share an id are linked by their texts alone. A null id
+    takes part through its text but is never a component's id (null only if all ids reachable are null). Other
+    columns are ignored; an empty table gives no rows. Exact copies meet in an aggregation first, so groups of copies
+    cost nothing later."""
     prints = stored(simhash_fingerprints(docs, words, id_col, text_col))
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")).select("fp", "least", F.coalesce("least", F.col("fp").bitwiseOR(F.lit(-(1 << 63)))).alias("node")))
-    components = connected_components(near_links(nodes.select("node", "fp")))
-    # A component's node is the smallest; nodes without any id are negative, so ids are looked for among the rest.
-    labels = nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")))
+    components = connected_components(near_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    labels = nodes.join(components, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = labels.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = labels.join(ids, "component").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -151,18 +151,18 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
     return values[order], (len(values) - np.arange(len(values)))[order]
 
 
-def near_duplicate_components(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, component_id (the smallest doc_id reachable over links, itself included). Texts link if
-    the Jaccard similarity of their ``words``-word shingles is ``similarity`` or more.
+def near_duplicate_rows(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, key (the ``row_key`` of the row), component (a name of its group). Texts link if the Jaccard
+    similarity of their ``words``-word shingles is ``similarity`` or more.
 
     Texts of the same lower-cased words meet in an aggregation first. Two sets at a Jaccard similarity t share one
     of the first n - ceil(t n) + 1 shingles of each in any common order; the order puts common shingles last, so
     these prefixes share little else. Pairs with a shared prefix shingle whose fingerprints are within
     ``radius`` are compared exactly. That goes in two steps, so that a group of m near copies makes O(m) pairs: each
-    text with a few pivots, then what shares a shingle but no component yet. A null text counts as empty, a null id
-    is never a component's id, repeated rows each give a row."""
+    text with a few pivots, then what shares a shingle but no component yet. A null text counts as empty; texts of any
+    length are taken whole; repeated rows each give a row; other columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
-    texts = id_and_text(docs, id_col, text_col)
+    texts = id_and_text(docs, id_col, text_col).withColumn("key", row_key())
     common = spark.sparkContext.broadcast(_common_shingles(texts, words))
 
     def judge():
@@ -183,7 +183,7 @@ def near_duplicate_components(docs: DataFrame, words: int = NEAR_WORDS, similari
 
         return one
 
-    prints = stored(map_texts(texts, "node long, fp long, n int, prefix array<bigint>", judge))
+    prints = stored(map_texts(texts, "node long, fp long, n int, prefix array<bigint>", judge, keep=("doc_id", "key")))
     nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min_by("prefix", F.coalesce("doc_id", F.lit(0))).alias("prefix"))
     rows = stored(nodes.select("node", "fp", "n", F.explode("prefix").alias("g")))
     pivot = F.min(F.struct(F.xxhash64("node", F.col("g").bitwiseAND(F.lit(7))).alias("turn"), "node", "fp", "n"))
@@ -200,7 +200,14 @@ def near_duplicate_components(docs: DataFrame, words: int = NEAR_WORDS, similari
     rest = left.join(right, (left["g"] == right["g"]) & (F.col("component") < F.col("b_component")) & F.expr(near))
     links = links.unionByName(_alike(texts, rest, words, similarity))
     components = connected_components(links)
-    labels = prints.select("doc_id", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = prints.select("doc_id", "key", "node").join(components, "node", "left")
+    return labels.select("doc_id", "key", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicate_components(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, component_id (the smallest doc_id reachable over links, itself included; null if no row of the
+    component has an id). Links, nulls and repeats are those of ``near_duplicate_rows``."""
+    labels = stored(near_duplicate_rows(docs, words, similarity, radius, id_col, text_col))
     ids = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return labels.join(ids, "component").select("doc_id", "component_id")
 

@@ -17,45 +17,73 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("ssn", "iban", "person")
 KINDS = BASE_KINDS + MORE_KINDS
 
+#: Gazetteers.
+TOP_DOMAINS = "com org net edu gov mil int info io co de fr es it uk us nl eu ch at be pl se no dk fi pt ru cn jp in br au ca mx ie nz za kr tr gr cz ro hu ua il sg hk ar cl app dev biz me tv".split()
+DIAL_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 54 55 61 62 63 64 65 66 81 82 84 86 90 91 351 352 353 358 420".split()
+IBAN_COUNTRIES = "AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR".split()
+TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Don Doña Sr Sra".split()
+GIVEN_NAMES = "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Lisa Matthew Nancy Anthony Betty Mark Sandra Paul Emily Hans Peter Klaus Jürgen Stefan Ursula Petra Sabine Monika Jean Pierre Michel Jacques Marie Sophie Isabelle Nathalie José Antonio Manuel Francisco Carmen Ana Luis Pedro Lucía Javier".split()
+SURNAMES = "smith johnson williams brown jones garcia miller davis rodriguez martinez hernandez wilson anderson taylor thomas moore jackson martin lee thompson white harris clark ramirez lewis robinson walker young allen king wright scott hill flores green adams baker hall rivera nelson carter mitchell roberts turner phillips campbell parker evans edwards collins stewart morris murphy cook rogers müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann koch richter klein wolf neumann schwarz zimmermann braun dubois bernard durand moreau petit leroy roux fournier girard bonnet lefebvre mercier lopez gonzalez perez sanchez fernandez gomez diaz torres ruiz jimenez alvarez romero navarro".split()
+CONTEXT = "mail|e-mail|contact|write to|call|tel|phone|fax|mobile|card|visa|mastercard|payment|iban|account|bank|ssn|social security|passport|born|address|name|server|host|login|ip"
+AGAINST = "version|build|release|isbn|issn|sku|order no|invoice|serial|model|figure|section|chapter|patent"
+
 #: Possessive groups run as loops in Java, so long runs take no stack; the look-behinds only bar starts in the
-#: middle of a run that already failed at its start.
+#: middle of a run that already failed at its start. A card is a run of 14 digits or more: shorter ones never count.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "person": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20\p{Lu}[\p{L}'-]++",
+    "person": r"(?<![\p{L}\p{N}])(?=\p{Lu})(?:(?:" + "|".join(TITLES) + r")\.?|" + "|".join(GIVEN_NAMES) + r")\x20\p{Lu}[\p{L}'-]++",
 }
 #: A text without this has no match.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+", "ssn": "[0-9]-[0-9]{2}-[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "person": r"(?:Mrs?|Ms|Dr|Prof)\.?\x20"}
-
-#: Gazetteers.
-TOP_DOMAINS = "com org net edu gov mil int info io co de fr es it uk us nl eu ch at be pl se no dk fi pt ru cn jp in br au ca mx".split()
-DIAL_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 54 55 61 62 63 64 65 66 81 82 84 86 90 91 351 352 353 358 420".split()
-IBAN_COUNTRIES = "AT BE CH CZ DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split()
-SURNAMES = "smith johnson williams brown jones garcia miller davis rodriguez martinez wilson anderson taylor thomas moore jackson martin lee white harris clark lewis young king wright hill green adams baker nelson carter mitchell roberts turner phillips campbell parker evans edwards collins müller schmidt schneider fischer weber meyer wagner becker hoffmann dubois bernard durand moreau lopez gonzalez perez sanchez fernandez".split()
-CONTEXT = "mail|e-mail|contact|write to|call|tel|phone|fax|mobile|card|visa|mastercard|payment|iban|account|bank|ssn|social security|passport|born|address|name|server|host|login|ip"
-AGAINST = "version|build|release|isbn|issn|sku|order no|invoice|serial|model|figure|section|chapter|patent"
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9](?:[\\x20-]?[0-9]){13}", "phone": r"\+", "ssn": "[0-9]-[0-9]{2}-[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "person": PATTERNS["person"]}
 
 _MARK, _OTHER = "\ue000", "\ue001"
-_FOUND = "array<struct<start:int,end:int,text:string>>"
+_FOUND = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
+#: Characters before a match that the labeler of contexts reads, back to the match before at most.
+CONTEXT_CHARS = 40
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine) -> Column:
+    """The running combination of an array's values, by doubling: n log n steps, no array grows by one."""
+
+    def step(k: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1), k)
+
+    def double(s: Column, k: Column) -> Column:
+        wider = F.transform(s, lambda x, i: F.when(i >= step(k), combine(x, F.get(s, i - step(k)))).otherwise(x))
+        return F.when(F.size(s) > step(k), wider).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(29)), values, double)
 
 
 def matches(text: str, kind: str) -> Column:
-    """Positions (code points) and texts of the matches of a kind's pattern: the text is split at marks put
-    around them, and the lengths of the pieces are added up."""
+    """Positions (code points) and texts of the matches of a kind's pattern, the characters before and after each: the
+    text is split at marks put around the matches, and the lengths of the pieces are added up."""
     marked = F.regexp_replace(text, F.lit(PATTERNS[kind]), F.lit(f"{_MARK}$0{_MARK}"))
-    pieces = F.split(marked, _MARK)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(_FOUND).alias("out"))
+    none = F.array().cast(_FOUND)
+
+    def found(pieces: Column) -> Column:
+        def at(ends: Column) -> Column:
+            def one(j: Column) -> Column:  # of the pieces, those at odd places are matches
+                return F.struct(
+                    F.get(ends, j - 1).alias("start"), F.get(ends, j).alias("end"), F.get(pieces, j).alias("text"),
+                    F.right(F.get(pieces, j - 1), F.lit(CONTEXT_CHARS)).alias("before"), F.left(F.get(pieces, j + 1), F.lit(1)).alias("after"),
+                )
+
+            return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), one)
 
-    def step(s: Column, x: Column) -> Column:
-        end = s["at"] + F.length(x)
-        here = F.struct(s["at"].alias("start"), end.alias("end"), x.alias("text"))
-        return F.struct(end.alias("at"), (s["i"] + 1).alias("i"), F.when(s["i"] % 2 == 1, F.array_append(s["out"], here)).otherwise(s["out"]).alias("out"))
+        return F.when(F.size(pieces) > 2, let(running(F.transform(pieces, F.length), lambda x, y: x + y), at)).otherwise(none)
 
-    return F.when(F.regexp_like(text, F.lit(HINTS[kind])), F.aggregate(pieces, zero, step, lambda s: s["out"])).otherwise(F.array().cast(_FOUND))
+    return F.when(F.regexp_like(text, F.lit(HINTS[kind])), let(F.split(marked, _MARK), found)).otherwise(none)
 
 
 def _digits(text: Column) -> Column:
@@ -83,11 +111,11 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _votes(kind: str, text: str, m: Column) -> Column:
+def _votes(kind: str, m: Column) -> Column:
     """The votes of the labelers on a candidate: pattern, gazetteer, context, borders."""
     body = m["text"]
-    before = F.lower(F.substr(F.col(text), F.greatest(m["start"] - 39, F.lit(1)), F.least(m["start"], F.lit(40))))
-    around = F.concat(F.substr(F.col(text), m["start"], F.when(m["start"] > 0, 1).otherwise(0)), F.lit(" "), F.substr(F.col(text), m["end"] + 1, F.lit(1)))
+    before = F.lower(m["before"])
+    around = F.concat(F.right(m["before"], F.lit(1)), F.lit(" "), m["after"])
     never = F.lit(False)
     if kind == "email":
         listed = F.lower(F.regexp_extract(body, r"\.([A-Za-z0-9-]+)$", 1)).isin(TOP_DOMAINS)
@@ -110,7 +138,8 @@ def _votes(kind: str, text: str, m: Column) -> Column:
         pattern, gazetteer = _vote((size >= 15) & (size <= 31), size > 34), _vote(known, ~known)
     else:
         known = F.lower(F.regexp_extract(body, r"([\p{L}'-]+)$", 1)).isin(SURNAMES)
-        pattern, gazetteer = F.lit(0), _vote(known, never)
+        titled = F.regexp_like(body, F.lit("^(?:" + "|".join(TITLES) + r")\b"))
+        pattern, gazetteer = _vote(titled, never), _vote(known, never)
     context = _vote(F.regexp_like(before, F.lit(rf"(?<!\p{{L}})(?:{CONTEXT})(?!\p{{L}})")), F.regexp_like(before, F.lit(rf"(?<!\p{{L}})(?:{AGAINST})(?!\p{{L}})")))
     glued = F.regexp_like(around, F.lit(r"[\p{L}\p{N}@/]"))
     return F.struct(pattern.cast("int").alias("pattern"), gazetteer.cast("int").alias("gazetteer"), context.cast("int").alias("context"), _vote(~glued, glued).cast("int").alias("border"))
@@ -119,15 +148,27 @@ def _votes(kind: str, text: str, m: Column) -> Column:
 LABELERS = ("pattern", "gazetteer", "context", "border")
 
 
+def _shape(m: Column) -> list[Column]:
+    """What the classifier reads of a candidate's own text: the power of two of its length; its digits (none, some,
+    half or more, all); what stands right before it (nothing or space, a sign that announces a value, another one)."""
+    body = m["text"]
+    n, digits = F.length(body), F.length(_digits(body))
+    last = F.right(m["before"], F.lit(1))
+    size = F.least(F.floor(F.log2(n.cast("double"))).cast("int"), F.lit(7))
+    share = F.when(digits == 0, 0).when(2 * digits < n, 1).when(digits < n, 2).otherwise(3)
+    lead = F.when(F.regexp_like(last, F.lit(r"^\s?$")), 0).when(F.regexp_like(last, F.lit(r"^[:=(<\"']$")), 1).otherwise(2)
+    return [size.alias("size"), share.cast("int").alias("digits"), lead.cast("int").alias("lead")]
+
+
 def candidates(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> DataFrame:
-    """The ``keep`` columns and ``spans``: array of (start, kind, end, size, votes) in order, kind by index."""
+    """The ``keep`` columns and ``spans``: array of (start, kind, end, size, digits, lead, votes) in order, kind by
+    index. ``docs`` has no columns ``spans`` and ``_clean``."""
     clean = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _MARK, _OTHER)  # as long, and in no pattern
-    rows = docs.withColumn("_text", clean)
+    rows = docs.withColumn("_clean", clean)
 
     def listed(no: int, kind: str) -> Column:
-        found = F.filter(matches("_text", kind), lambda m: valid(kind, m["text"]))
-        size = lambda m: F.least(F.floor(F.log2((m["end"] - m["start"]).cast("double"))).cast("int"), F.lit(7))
-        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(no).alias("kind"), m["end"].alias("end"), size(m).alias("size"), _votes(kind, "_text", m).alias("votes")))
+        found = F.filter(matches("_clean", kind), lambda m: valid(kind, m["text"]))
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(no).alias("kind"), m["end"].alias("end"), *_shape(m), _votes(kind, m).alias("votes")))
 
     lists = [listed(no, kind) for no, kind in enumerate(KINDS)]
     return rows.select(*keep, F.array_sort(F.concat(*lists)).alias("spans"))
@@ -142,14 +183,24 @@ class SpanModel:
 
     def probability(self, span: Column) -> Column:
         w = self.weights
-        score = F.lit(w.get("one", 0.0)) + F.element_at(F.array(*[F.lit(w.get(f"kind{i}", 0.0)) for i in range(len(KINDS))]), span["kind"] + 1) + F.lit(w.get("size", 0.0)) * span["size"]
+
+        def weight(name: str, values, index: Column) -> Column:
+            return F.element_at(F.array(*[F.lit(w.get(f"{name}{v}", 0.0)) for v in values]), index)
+
+        score = F.lit(w.get("one", 0.0)) + weight("kind", range(len(KINDS)), span["kind"] + 1) + F.lit(w.get("size", 0.0)) * span["size"]
+        score += weight("digits", range(4), span["digits"] + 1) + weight("lead", range(3), span["lead"] + 1)
         for name in LABELERS:
-            score += F.element_at(F.array(*[F.lit(w.get(f"{name}{v}", 0.0)) for v in (-1, 0, 1)]), span["votes"][name] + 2)
+            score += weight(name, (-1, 0, 1), span["votes"][name] + 2)
         return 1 / (1 + F.exp(-score))
 
 
-def _features(kind: int, size: int, votes: tuple[int, ...]) -> list[tuple[str, float]]:
-    return [("one", 1.0), (f"kind{kind}", 1.0), ("size", float(size)), *[(f"{n}{v}", 1.0) for n, v in zip(LABELERS, votes)]]
+#: What the classifier reads besides the votes.
+SHAPE = ("kind", "size", "digits", "lead")
+
+
+def _features(shape: tuple[int, ...], votes: tuple[int, ...]) -> list[tuple[str, float]]:
+    kind, size, digits, lead = shape
+    return [("one", 1.0), (f"kind{kind}", 1.0), ("size", float(size)), (f"digits{digits}", 1.0), (f"lead{lead}", 1.0), *[(f"{n}{v}", 1.0) for n, v in zip(LABELERS, votes)]]
 
 
 def expectation_maximisation(patterns: list[tuple[int, tuple[int, ...], float]], rounds: int = 50) -> tuple[list[float], dict]:
@@ -184,21 +235,21 @@ def expectation_maximisation(patterns: list[tuple[int, tuple[int, ...], float]],
 
 
 def fit_span_model(spans: DataFrame, steps: int = 300) -> SpanModel:
-    """Votes are counted by pattern over all candidates; the classifier is a logistic regression on kind, size
-    and votes, trained on the posteriors, each weighted by the logarithm of its count."""
-    names = [f"s.votes.{n}" for n in LABELERS]
-    counted = spans.select(F.explode("spans").alias("s")).groupBy(F.col("s.kind").alias("kind"), F.col("s.size").alias("size"), *[F.col(n).alias(n[8:]) for n in names]).count()
-    rows = sorted((r["kind"], r["size"], tuple(r[n] for n in LABELERS), float(r["count"])) for r in counted.collect())
-    post, table = expectation_maximisation([(k, v, n) for k, _, v, n in rows])
+    """Votes are counted by pattern over all candidates; the classifier is a logistic regression on kind, the shape of
+    the text and votes, trained on the posteriors, each weighted by the logarithm of its count."""
+    keys = [F.col(f"s.{n}").alias(n) for n in SHAPE] + [F.col(f"s.votes.{n}").alias(n) for n in LABELERS]
+    counted = spans.select(F.explode("spans").alias("s")).groupBy(*keys).count()
+    rows = sorted((tuple(r[n] for n in SHAPE), tuple(r[n] for n in LABELERS), float(r["count"])) for r in counted.collect())
+    post, table = expectation_maximisation([(shape[0], v, n) for shape, v, n in rows])
     reliability = {}
     for i, name in enumerate(LABELERS):
         if table:
-            share = sum(n * p for (_, _, _, n), p in zip(rows, post)) / max(1.0, sum(r[3] for r in rows))
+            share = sum(n * p for (_, _, n), p in zip(rows, post)) / max(1.0, sum(r[2] for r in rows))
             right = [share * table[i, 1, 1], (1 - share) * table[i, 0, -1]]
             wrong = [(1 - share) * table[i, 0, 1], share * table[i, 1, -1]]
             reliability[name] = tuple(r / (r + w) if r + w else 0.5 for r, w in zip(right, wrong))
     weights: dict[str, float] = {}
-    cases = [(_features(k, s, v), p, math.log1p(n)) for (k, s, v, n), p in zip(rows, post)]
+    cases = [(_features(shape, v), p, math.log1p(n)) for (shape, v, n), p in zip(rows, post)]
     mass = sum(c[2] for c in cases) or 1.0
     for _ in range(steps):
         slope: dict[str, float] = {}
@@ -231,7 +282,7 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5, id_col: str = "d
 
     A null text counts as empty. Repeated rows each give a row; a null id is kept; other columns are ignored;
     an empty table gives no rows. Offsets are code points, the end exclusive; texts of any length are taken
-    whole. Texts are read once; what is written to the shared folder are ids and spans."""
+    whole, in nearly linear time. Texts are read once; what is written to the shared folder are ids and spans."""
     spans = stored(candidates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ("doc_id",), "text"))
     model = fit_span_model(spans)
     rows = spans.withColumn("all", kept_spans(model, threshold)).withColumn("base", F.filter("spans", lambda s: s["kind"] < len(BASE_KINDS)))
@@ -239,21 +290,44 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5, id_col: str = "d
     return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), (F.size("all") - F.size("base")).cast("long").alias("n_more"))
 
 
-def mask_personal_data(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span of personal data replaced by its kind in angle brackets; overlapping spans
-    become one, named after the first. A null text stays null. Same columns in the same order."""
-    columns = docs.columns
-    model = fit_span_model(stored(candidates(docs.select(F.col(text_col)), (), text_col)))
-    rows = candidates(docs, tuple(columns), text_col).withColumn("spans", kept_spans(model, threshold))
+#: Masking cuts texts in pieces of so many characters, so that a part of a text is found without reading up to it.
+CUT = 256
+
+
+def _part(cuts: Column, start: Column, end: Column) -> Column:
+    """The characters of [start, end) of a text in pieces of CUT."""
+    first = F.floor(start / CUT).cast("int")
+    last = F.floor((end - 1) / CUT).cast("int")
+    joined = F.array_join(F.slice(cuts, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(start < end, F.substr(joined, start - first * CUT + 1, end - start)).otherwise(F.lit(""))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with each of the spans, at least one, replaced by its kind; in time linear in the text."""
     kinds = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.col(text_col)
 
-    def step(s: Column, x: Column) -> Column:
-        piece = F.array(F.substr(text, s["at"] + 1, x["start"] - s["at"]), F.element_at(kinds, x["kind"] + 1))
-        apart = x["start"] >= s["at"]
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(apart, F.concat(s["out"], piece)).otherwise(s["out"]).alias("out"))
+    def build(cuts: Column) -> Column:
+        def joined(reach: Column) -> Column:
+            def one(s: Column, j: Column) -> Column:
+                done = F.when(j > 0, F.get(reach, j - 1)).otherwise(0)
+                return F.when(s["start"] >= done, F.concat(_part(cuts, done, s["start"]), F.element_at(kinds, s["kind"] + 1))).otherwise(F.lit(""))
+
+            return F.concat(F.array_join(F.transform(spans, one), ""), _part(cuts, F.element_at(reach, -1), F.length(text)))
+
+        return let(running(F.transform(spans, lambda s: s["end"]), F.greatest), joined)
 
-    masked = F.aggregate("spans", zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.length(text))))
-    out = F.when(text.isNull() | (F.size("spans") == 0), text).otherwise(masked)
-    return rows.select(*[out.alias(c) if c == text_col else F.col(c) for c in columns])
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), build)
+
+
+def mask_personal_data(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` with each span of personal data replaced by its kind in angle brackets; overlapping spans
+    become one, named after the first; a column ``n_chars`` is set to the new length. A null text stays null. Repeated
+    rows are masked alike; other columns, whatever their names, are handed on; an empty table gives an empty one. Texts
+    are matched once: rows and their spans are written to the shared folder, the model is fitted to the spans."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    text = dict(zip(map(str.lower, docs.columns), names))[text_col.lower()]
+    found = stored(candidates(docs.toDF(*names), tuple(names), text))
+    rows = found.withColumn("spans", kept_spans(fit_span_model(found), threshold))
+    out = rows.withColumn(text, F.when(F.size("spans") > 0, masked(F.col(text).cast("string"), F.col("spans"))).otherwise(F.col(text)))
+    length = {n: F.length(text).cast(docs.schema[c].dataType).alias(n) for c, n in zip(docs.columns, names) if c.lower() == "n_chars"}
+    return out.select(*[length.get(n, F.col(n)) for n in names]).toDF(*docs.columns)

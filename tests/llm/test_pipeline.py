@@ -1,13 +1,15 @@
 import hashlib
 import re
 
+import pytest
+
 import corpus_pipeline
-from barweave.llm import pii
+from barweave.llm import pii, stages
 from barweave.llm.quality import quality_verdicts
 from barweave.llm.sentencepiece_codec import default_model_path
 
 from .test_pages_and_leaks import brute_leaks
-from .test_text_operators import brute_components
+from .test_text_operators import brute_masked
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,27 +21,77 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert stage(spark, docs.limit(40), SF).columns == names
 
 
+def base_kept(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+    grams = {}
+    for j in range(len(words) - 2):
+        grams.setdefault(tuple(words[j : j + 3]), []).append(j)
+    covered = {j + k for found in grams.values() if len(found) > 1 for j in found for k in range(3)}
+    return len(words) >= 50 and 100 * len(covered) <= 50 * len(words)
+
+
 def test_run_against_brute_force(spark):
+    """Each stage by plain Python on what the one before kept; the quality score and the span model are those of the
+    operators, which tests of their own hold against brute force."""
     import sentencepiece
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     good = {r["doc_id"] for r in quality_verdicts(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").collect()}
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in good]
-    firsts = {i for i, _, c in brute_components(rows) if i == c}
-    rows = [x for x in rows if x[0] in firsts]
+    assert all(base_kept(t) for _, t in rows)
+    component, _ = brute_near_components(rows)
+    rows = [x for x in rows if component[x[0]] == x[0]]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaks = {d for d, _ in brute_leaks(rows, items)}
     rows = [x for x in rows if x[0] not in leaks]
-    masked = pii.mask_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = {r["doc_id"]: [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=default_model_path())
     want = {}
-    for r in masked.collect():
-        ids = library.encode(r["text"])
-        want[r["doc_id"]] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()}
+    for i, text in rows:
+        ids = library.encode(brute_masked(text, spans[i]))
+        want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), ids, library.decode(ids))
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["ids"], r["decoded"]) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want and len(got) > 10
 
 
+#: Columns named like those that the operators make, in documents with ids that repeat or lack.
+CLASHES = ("kept", "score", "spans", "key", "n", "component", "node", "_0", "_clean", "shelf", "content", "item_id", "similarity")
+
+
+def clashing(spark, with_n_chars=True):
+    long = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(4)]
+    texts = [(1, long[0]), (1, long[1]), (2, long[0]), (2, long[0]), (None, long[2]), (None, long[2]), (None, long[0]), (3, None), (4, ""), (5, " "), (6, long[3] + " mail a@b.co " + "y" * 20_000), (7, "w0x0 w0x1")]
+    rows = [(i, t, *[f"{c}{no}" if no != 3 else f"{c}2" for c in CLASHES], 0) for no, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES) + ", n_chars int")
+    return docs if with_n_chars else docs.drop("n_chars")
+
+
+@pytest.mark.parametrize("n_chars", [True, False])
+def test_stages_bear_nulls_repeats_and_clashing_columns(spark, n_chars):
+    docs = clashing(spark, n_chars)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, " ".join(f"w3x{j}" for j in range(30))), (2, None)], "item_id long, text string")
+    seen = lambda df: sorted([(r["doc_id"], (r["text"] or "")[:4], r["kept"]) for r in df.collect()], key=repr)
+    whole = seen(docs)
+    good = stages.keep_good(docs, labels)
+    assert good.columns == docs.columns and seen(good) == [x for x in whole if x[1] and x[1].strip() and x[0] != 7]
+    one = stages.keep_one_of_each(docs)
+    kept = seen(one)
+    assert one.columns == docs.columns
+    assert [x[0] for x in kept] == [1, 1, 3, 6, 7, None] and {x[2] for x in kept} <= {"kept0", "kept1", "kept4", "kept5", "kept7", "kept10", "kept11"}
+    clean = stages.keep_uncontaminated(docs, items)
+    assert clean.columns == docs.columns and seen(clean) == [x for x in whole if x[0] != 6]
+    hidden = stages.mask(docs)
+    assert hidden.dtypes == docs.dtypes and seen(hidden) == whole
+    text = {r["doc_id"]: r for r in hidden.collect()}[6]
+    assert " mail <EMAIL> " in text["text"] and (not n_chars or text["n_chars"] == len(text["text"]))
+    coded = stages.encode(docs)
+    assert coded.count() == len(whole) and {"ids", "decoded", "n_tokens"} <= set(coded.columns)
+    nothing = docs.limit(0)
+    for df in (stages.keep_good(nothing, labels), stages.keep_one_of_each(nothing), stages.keep_uncontaminated(nothing, items), stages.mask(nothing), stages.encode(nothing)):
+        assert df.count() == 0
+
+
 def test_operators_return_the_contracts_columns(spark):
     from barweave.llm.queries import queries
 
@@ -58,7 +110,6 @@ def test_near_dedup_stage_links_what_brute_force_links(spark):
     """Copies of a text at a 5-word Jaccard similarity of 0.7 to 1, a chain of them, exact copies and others."""
     import random
 
-    from barweave.llm import stages
     from barweave.llm.simhash import near_duplicate_components, shingle_set
 
     random.seed(3)

@@ -26,17 +26,30 @@ def brute_url(url):
             best = (action, text)
     if best:
         return host, path, best[1], best[0]
-    blocked = any(re.search(r.pattern, f"{host} {path}") for r in U.PATTERN_RULES)
+    blocked = any(re.search(r.pattern, f"{host}#{path}") for r in U.PATTERN_RULES)
     return host, path, None, "block" if blocked else "allow"
 
 
-URLS = [None, "", "no scheme", "http://EXAMPLE.com/en/7x", "http://xcom/en/", "https://a.example.net/de/88?x", "https://a.example.net/DE/8", "http://casino-win.example.org", "http://notcasino.example.org/", "http://a.com?q=/en/", "http://com/en/", "ftp://u@x.org/es/#f", "http://x.example.de/ads/1", "http://É.com/en/", "http://a.net:80/de/1"]
+URLS = [None, "", "no scheme", "http://EXAMPLE.com/en/7x", "http://xcom/en/", "https://a.example.net/de/88?x", "https://a.example.net/DE/8", "http://casino-win.example.org", "http://notcasino.example.org/", "http://a.com?q=/en/", "http://com/en/", "ftp://u@x.org/es/#f", "http://x.example.de/ads/1", "http://É.com/en/", "http://a.net:80/de/1", "http://x y.com/en/a", "http://a b/c d/ads/", "http://x\ny.com/en/\n7"]
 
 
 def test_urls_against_brute_force(spark):
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate([*URLS, URLS[3]])], "page_id long, url string, rule string")
-    got = {r["page_id"]: tuple(r)[1:5] for r in U.filter_urls(pages).collect()}
-    assert got == {i: brute_url(u) for i, u in enumerate([*URLS, URLS[3]])}
+    want = {i: brute_url(u) for i, u in enumerate([*URLS, URLS[3]])}
+    assert {r["page_id"]: tuple(r)[1:5] for r in U.filter_urls(pages).collect()} == want
+    joined = U.filter_urls(pages, literal_rules=0)
+    assert {r["page_id"]: tuple(r)[1:5] for r in joined.collect()} == want
+    assert sorted(map(tuple, joined.collect()), key=repr) == sorted(map(tuple, U.filter_urls(pages).collect()), key=repr)
+
+
+def test_many_rules(spark):
+    """20,000 host rules and one without a literal: more than any plan holds."""
+    rules = tuple(U.host_rule("block", f"site{i}.example/") for i in range(20_000))
+    odd = U.Rule("block", "zz", ())
+    pages = spark.createDataFrame([(i, f"http://www.site{i * 7}.example/{'zz' if i == 9 else ''}") for i in range(5000)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["n_candidates"]) for r in U.filter_urls(pages, rules, (odd,)).collect()}
+    want = {i: (f"site{i * 7}.example/", "block", 2) if i * 7 < 20_000 else (None, "allow", 1) for i in range(5000)}
+    assert got == want
 
 
 def test_urls_on_the_table(spark):

@@ -284,16 +284,58 @@ def test_quality_counts_and_verdicts(spark, edge_docs, docs):
         assert all(not r["kept"] for r in rows if r["base_failed"])
 
 
-def test_quality_keeps_good_and_drops_bad():
-    from pyspark.sql import SparkSession
+def test_quality_scores_against_brute_force(spark, edge_docs, docs):
+    """Counts in plain dictionaries, one n-gram and one word at a time; only the hash to a bucket is the operator's."""
+    import math
+    from collections import Counter
+    from functools import lru_cache
 
-    spark = SparkSession.getActiveSession()
-    sf = "/root/testdata/sf0.01"
-    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0")
+    from barweave.llm import quality as Q
+    from barweave.llm.common import word_hashes
+
+    gram = lru_cache(None)(lambda g: int(Q.ngram_buckets(g)[0]))
+    word = lru_cache(None)(lambda w: int(Q.word_buckets(word_hashes(w)[2])[0]))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    both = edge_docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    trusted = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and r["toxic"] == 0}
+    assert {r["doc_id"] for r in Q.target_documents(labels).collect()} == trusted
+    assert Q.target_documents(labels, 5).count() == 5
+
+    def parts(text):
+        data = (text or "").encode()
+        k = min(3, len(data))
+        return [gram(data[i : i + k]) for i in range(len(data) - k + 1)] if data else [], [word(w) for w in re.split(b"[\x20\x09-\x0d]+", data) if w]
+
+    rows = [(i, *parts(t), t) for i, t in pairs(both)]
+    ratios = []
+    for at, prior in ((1, 20.0), (2, 1.0)):
+        raw = Counter(b for r in rows for b in r[at])
+        good = Counter(b for r in rows if r[0] in trusted for b in r[at])
+        share = sum(good.values()) / sum(raw.values())
+        ratios.append({b: math.log((good[b] + prior) / (share * n + prior)) for b, n in raw.items()})
+    want = []
+    for i, grams, words, text in rows:
+        score = sum(ratios[0][b] for b in grams) / len(grams) if words else 0.0
+        words_score = sum(x for b in words if (x := ratios[1][b]) < -2.5) / len(words) if words else 0.0
+        want.append((repr(i), round(score, 9), round(words_score, 9), not base_quality(text)[5] and score >= -0.3 and words_score >= -0.03))
+    got = [(repr(r["doc_id"]), round(r["score"], 9), round(r["word_score"], 9), r["kept"]) for r in quality_verdicts(both, labels).collect()]
+    assert [(a, round(b, 6), round(c, 6), d) for a, b, c, d in sorted(got)] == [(a, round(b, 6), round(c, 6), d) for a, b, c, d in sorted(want)]
+
+
+ABUSE = "idiot trash pathetic worthless disgusting stupid clown scum loser moron".split()
+
+
+def test_quality_keeps_good_and_drops_bad(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     # Held out: the model sees labels of even ids only.
-    got = quality_verdicts(spark.read.parquet(f"{sf}/documents.parquet"), labels.where("doc_id % 2 = 0")).where("not base_failed").join(labels.where("doc_id % 2 = 1"), "doc_id")
-    rates = {r["quality"]: r["rate"] for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("rate")).collect()}
-    assert rates[1] > 0.95 and rates[0] < 0.05
+    rude = F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w.isin(ABUSE))) >= 2
+    texts = docs.select("doc_id", rude.alias("rude"))
+    got = quality_verdicts(docs, labels.where("doc_id % 2 = 0")).where("not base_failed").join(labels.where("doc_id % 2 = 1"), "doc_id").join(texts, "doc_id")
+    rates = {tuple(r)[:3]: (r["rate"], r["n"]) for r in got.groupBy("quality", "toxic", "rude").agg(F.avg(F.col("kept").cast("double")).alias("rate"), F.count("*").alias("n")).collect()}
+    print(rates)
+    assert rates[1, 0, False][0] > 0.97 and rates[0, 0, False][0] < 0.05 and rates[1, 1, True][0] < 0.1
 
 
 # --- SentencePiece ------------------------------------------------------------------------------------------

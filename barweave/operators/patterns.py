@@ -14,7 +14,7 @@ def c01(x: str) -> str:
 
 @dataclass(frozen=True)
 class Pattern:
-    """``hit`` may be null, which counts as false; ``confidence`` holds where it hits, else 0."""
+    """Rules read the feature row. ``hit`` may be null, which counts as false; ``confidence`` holds where it hits, else 0."""
 
     hit: str
     confidence: str
@@ -46,7 +46,7 @@ _BULL = "(imp_max - imp_low) / nullif(imp_low, 0)"
 _BEAR = "(imp_high - imp_min) / nullif(imp_high, 0)"
 _FLAG = "coalesce((flag_high - flag_low) / nullif((flag_high + flag_low) / 2, 0), 1e0)"
 _DRY = "flag_volume < imp_volume"
-_LOWEST, _HIGHEST = "least(l2, l3)", "greatest(h2, h3)"
+_LOWEST, _HIGHEST = "CASE WHEN l2 IS NOT NULL THEN least(l2, l3) END", "CASE WHEN h2 IS NOT NULL THEN greatest(h2, h3) END"
 _LOW_GAP, _HIGH_GAP = "abs(l3 - l2) / nullif(l2, 0)", "abs(h3 - h2) / nullif(h2, 0)"
 _PEAK, _TROUGH = f"(peak - {_LOWEST}) / nullif({_LOWEST}, 0)", f"({_HIGHEST} - trough) / nullif({_HIGHEST}, 0)"
 _WIDTH = "CASE WHEN width_max = width_min THEN 0e0 ELSE (bb_width - width_min) / nullif(width_max - width_min, 0) END"
@@ -58,7 +58,7 @@ PATTERNS: dict[str, Pattern] = {
     "breakdown": Pattern(
         "close < support20 AND rel_volume >= 1.5", f"0.5e0 * {c01('(support20 - close) / nullif(support20, 0) / 0.02e0')} + 0.5e0 * {c01('rel_volume / 2.25e0')}", "support20 * 1.02e0"
     ),
-    "breakout_from_consolidation": Pattern(f"{_TIGHT} <= 0.08e0 AND {_BASE.hit}", f"0.5e0 * {c01(f'1 - {_TIGHT} / 0.08e0')} + 0.5e0 * ({_BASE.confidence})", _BASE.invalidation),
+    "breakout_from_consolidation": Pattern(f"{_TIGHT} <= 0.08e0 AND {_BASE.hit}", f"0.5e0 * {c01(f'1 - {_TIGHT} / 0.08e0')} + 0.5e0 * ({_BASE.confidence})", f"CASE WHEN {_BASE.hit} THEN {_BASE.invalidation} END", True),
     "breakout_with_volume": _breakout(2.0),
     "pullback_to_ema21": _pullback("ema21"),
     "pullback_to_sma50": _pullback("sma50"),
@@ -72,8 +72,8 @@ PATTERNS: dict[str, Pattern] = {
         f"{_BEAR} >= 0.15e0 AND {_FLAG} <= 0.1e0 AND coalesce((flag_high - imp_min) / nullif(imp_high - imp_min, 0), 1e0) <= 0.5e0 AND {_DRY}",
         f"0.4e0 * {c01(f'{_BEAR} / 0.225e0')} + 0.3e0 * {c01(f'1 - {_FLAG} / 0.1e0')} + 0.3e0", "flag_high",
     ),
-    "double_bottom": Pattern(f"{_LOW_GAP} <= 0.03e0 AND {_PEAK} >= 0.05e0 AND close > peak", f"0.4e0 * {c01(f'1 - {_LOW_GAP} / 0.03e0')} + 0.3e0 * {c01(f'{_PEAK} / 0.1e0')} + 0.3e0", _LOWEST),
-    "double_top": Pattern(f"{_HIGH_GAP} <= 0.03e0 AND {_TROUGH} >= 0.05e0 AND close < trough", f"0.4e0 * {c01(f'1 - {_HIGH_GAP} / 0.03e0')} + 0.3e0 * {c01(f'{_TROUGH} / 0.1e0')} + 0.3e0", _HIGHEST),
+    "double_bottom": Pattern(f"{_LOW_GAP} <= 0.03e0 AND {_PEAK} >= 0.05e0 AND close > peak", f"0.4e0 * {c01(f'1 - {_LOW_GAP} / 0.03e0')} + 0.3e0 * {c01(f'{_PEAK} / 0.1e0')} + 0.3e0", _LOWEST, True),
+    "double_top": Pattern(f"{_HIGH_GAP} <= 0.03e0 AND {_TROUGH} >= 0.05e0 AND close < trough", f"0.4e0 * {c01(f'1 - {_HIGH_GAP} / 0.03e0')} + 0.3e0 * {c01(f'{_TROUGH} / 0.1e0')} + 0.3e0", _HIGHEST, True),
     "higher_low_reversal": Pattern("l2 < l1 AND l3 > l2", c01("(l3 - l2) / nullif(l2, 0) / 0.05e0"), "l2"),
     "volatility_contraction": Pattern(f"width_min IS NOT NULL AND {_WIDTH} <= 0.25e0", c01(f"1 - ({_WIDTH}) / 0.25e0"), "CAST(NULL AS DOUBLE)"),
     "support_bounce": Pattern(

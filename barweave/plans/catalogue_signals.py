@@ -14,6 +14,7 @@ from barweave.operators import strategies as G
 from barweave.sources import bars as B
 
 from . import oracle as O
+from . import oracle_rules as Q
 from .catalogue_bars import KEY, _hours, _RANGE, _VWAP, cols, out
 from .registry import query
 
@@ -58,10 +59,7 @@ def _patterns(*names: str):
     def run(spark, sf):
         return out(P.add_patterns(frames(spark, sf), *names), *[c for n in names for c in (n, f"{n}_confidence", f"{n}_invalidation")])
 
-    parts = []
-    for n in names:
-        hit, confidence, invalidation = P.rule_columns(n)
-        parts += [f"{hit} AS {n}", O.r6(confidence, f"{n}_confidence"), O.r6(invalidation, f"{n}_invalidation")]
+    parts = [column for n in names for column in Q.pattern_columns(n)]
     return f"{ST} SELECT {KEY}, {', '.join(parts)} FROM st", run
 
 
@@ -83,11 +81,8 @@ for _name, _names in {
 
 
 def _long_sql() -> str:
-    rows = []
-    for n in P.PATTERNS:
-        hit, confidence, invalidation = P.rule_columns(n)
-        rows.append(f"SELECT ticker, ts, '{n}' AS pattern, {confidence} AS c, {invalidation} AS i FROM st WHERE {hit}")
-    return f"{ST}, l AS ({' UNION ALL '.join(rows)}) SELECT pattern, count(*) AS hits, {O.r6('avg(c)', 'confidence')}, {O.r6('avg(i)', 'invalidation')} FROM l GROUP BY pattern"
+    rows = " UNION ALL ".join(map(Q.pattern_rows, Q.PATTERNS))
+    return f"{ST}, l AS ({rows}) SELECT pattern, count(*) AS hits, {O.r6('avg(c)', 'confidence')}, {O.r6('avg(i)', 'invalidation')} FROM l GROUP BY pattern"
 
 
 @query(_long_sql())
@@ -155,14 +150,6 @@ def relative_strength(spark, sf):
 CONTEXT = f"WITH RECURSIVE {O.features()}, {O.structure()}, {_timeframes('st')}, {_REGIME}, {_strength('tf')}, ctx AS (SELECT rs.*, rg.regime FROM rs LEFT JOIN rg ON rg.ts = rs.ts)"
 
 
-def _signal_sql(names, table: str, strategies) -> str:
-    rows = []
-    for n in names:
-        s = G.signal_sql(strategies[n])
-        rows.append(f"SELECT *, '{n}' AS strategy, {s['confidence']} AS confidence, {s['entry']} AS entry, {s['stop']} AS stop, {s['target']} AS target, {len(strategies[n].evidence)} AS n_evidence FROM {table} WHERE {s['setup']}")
-    return f"sg0 AS ({' UNION ALL '.join(rows)}), sg AS (SELECT *, (target - entry) / nullif(entry - stop, 0) AS risk_reward FROM sg0)"
-
-
 _SIGNAL = ("confidence", "entry", "stop", "target", "risk_reward")
 
 
@@ -170,7 +157,7 @@ def _daily(*names: str):
     def run(spark, sf):
         return out(G.signals(N.walk_context(spark, sf), {n: G.DAILY[n] for n in names}), "strategy", *_SIGNAL)
 
-    return f"{CONTEXT}, {_signal_sql(names, 'ctx', G.DAILY)} SELECT {KEY}, strategy, {cols(*_SIGNAL)} FROM sg", run
+    return f"{CONTEXT}, {Q.signals({n: Q.DAILY[n] for n in names}, 'ctx')} SELECT {KEY}, strategy, {cols(*_SIGNAL)} FROM sg", run
 
 
 for _name, _names in {"strat_trend_pullback": ("trend_pullback",), "strat_breakout": ("breakout",), "strat_momentum": ("momentum_continuation",), "strat_sma_cross": ("sma_crossover",), "strat_variants": ("neutral_quality", "bullish_gate")}.items():
@@ -188,7 +175,7 @@ def _intraday(*names: str):
         found = G.signals(N.intraday_context(B.intraday_bars(B.ticks(spark, sf))), {n: G.INTRADAY[n] for n in names})
         return found.select("ticker", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "strategy", *[(r6(c) + F.lit(0.0)).alias(c) for c in _SIGNAL])
 
-    return f"{_INTRADAY}, {_signal_sql(names, 'ic', G.INTRADAY)} SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M') AS ts, strategy, {cols(*_SIGNAL)} FROM sg", run
+    return f"{_INTRADAY}, {Q.signals({n: Q.INTRADAY[n] for n in names}, 'ic')} SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M') AS ts, strategy, {cols(*_SIGNAL)} FROM sg", run
 
 
 for _name, _names in {"strat_orb": ("opening_range_breakout",), "strat_mom_breakout": ("momentum_breakout",), "strat_vwap": ("vwap_trend_continuation",)}.items():
@@ -203,9 +190,7 @@ def features_intraday(spark, sf):
     return _hours(N.intraday_context(B.intraday_bars(B.ticks(spark, sf))), _FEATURES_I)
 
 
-SCORED = f"""{CONTEXT}, {_signal_sql(G.DAILY, 'ctx', G.DAILY)},
-sc0 AS (SELECT *, {', '.join(f'({sql}) * {G.WEIGHTS[k] * 100!r}e0 AS {k}' for k, sql in G.COMPONENTS.items())} FROM sg),
-sc AS (SELECT *, {' + '.join(G.COMPONENTS)} AS score FROM sc0)"""
+SCORED = f"{CONTEXT}, {Q.signals(Q.DAILY, 'ctx')}, {Q.scored()}"
 _CLASS = "CASE WHEN score >= 75 THEN 'BUY' WHEN score >= 50 THEN 'WATCH' ELSE 'AVOID' END AS class"
 
 
@@ -223,15 +208,13 @@ def ranked_signals(spark, sf):
     return out(N.ranked(scored(spark, sf)), "strategy", "score", "class", "rank")
 
 
-@query(f"{SCORED} SELECT {KEY}, strategy, {cols('score')}, {_CLASS} FROM sc QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY score DESC, ts DESC, strategy) = 1")
+@query(f"{SCORED} SELECT {KEY}, strategy, {cols('score')}, {_CLASS} FROM sc QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY score DESC, n_reasons DESC, ts DESC, strategy) = 1")
 def best_per_ticker(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("ticker").orderBy(F.desc("score"), F.desc("ts"), "strategy")
-    return out(scored(spark, sf).withColumn("_n", F.row_number().over(w)).where("_n = 1"), "strategy", "score", "class")
+    return out(N.best_per_ticker(scored(spark, sf)), "strategy", "score", "class")
 
 
-OUTCOMES = f"""{SCORED}, nb AS (SELECT ticker, ts, open, high, low, close, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS n FROM bars),
+def outcomes_sql(scored_sql: str) -> str:
+    return f"""{scored_sql}, nb AS (SELECT ticker, ts, open, high, low, close, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS n FROM bars),
 en AS (SELECT sc.ticker, strategy, sc.ts AS signal_ts, nb.ts AS entry_ts, nb.n AS entry_n, nb.open * (1 + 5e0 / 1e4) AS paid, stop + (nb.open - entry) AS stop, target + (nb.open - entry) AS target, score, regime FROM sc JOIN nb ON nb.ticker = sc.ticker AND nb.n = sc.rn + 1),
 mt AS (SELECT en.*, nb.ts, nb.n, CASE WHEN nb.low <= en.stop THEN 'stop' WHEN nb.high >= en.target THEN 'target' END AS reason, CASE WHEN nb.low <= en.stop THEN CASE WHEN nb.open < en.stop THEN nb.open ELSE en.stop END ELSE en.target END AS px, nb.close AS last_close
  FROM en JOIN nb ON nb.ticker = en.ticker AND nb.n BETWEEN en.entry_n AND en.entry_n + 59),
@@ -240,6 +223,9 @@ oc0 AS (SELECT * EXCLUDE (hit, fin), CASE WHEN hit IS NULL THEN fin[1] ELSE hit[
 oc AS (SELECT *, got - paid AS net, (got - paid) / nullif(paid - stop, 0) AS r_multiple, (got - paid) / nullif(paid, 0) * 100 AS return_pct, exit_n - entry_n + 1 AS bars_held FROM oc0)"""
 
 
+OUTCOMES = outcomes_sql(SCORED)
+
+
 def outcomes(spark, sf):
     features = N.walk_context(spark, sf)
     return N.trade_outcomes(N.scored_signals(features), B.walk(spark, sf))

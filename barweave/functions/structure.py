@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indicators import by_ticker, frame
+from .scalars import clamp01, div
 
 SWING = 3
 
@@ -79,3 +80,12 @@ def add_pattern_frames(features: DataFrame) -> DataFrame:
     return out.withColumns(
         {"l3": at("_lows", 1)["p"], "l2": at("_lows", 2)["p"], "l1": at("_lows", 3)["p"], "h3": at("_highs", 1)["p"], "h2": at("_highs", 2)["p"], "peak": between("_highs", "_lows"), "trough": between("_lows", "_highs")}
     ).drop("_highs", "_lows")
+
+
+def add_consolidation(bars: DataFrame, n: int = 20, most: float = 0.08) -> DataFrame:
+    """Adds the range of the last n bars (null with fewer), its size against the middle, whether that is at most
+    ``most``, and how sure: the tighter the surer, 0 beyond ``most``."""
+    full = F.count("ts").over(frame(-(n - 1), 0)) == n
+    out = bars.withColumns({"range_high": F.when(full, F.max("high").over(frame(-(n - 1), 0))), "range_low": F.when(full, F.min("low").over(frame(-(n - 1), 0)))})
+    out = out.withColumn("range_pct", div(F.col("range_high") - F.col("range_low"), (F.col("range_high") + F.col("range_low")) / 2))
+    return out.withColumns({"consolidates": F.coalesce(F.col("range_pct") <= most, F.lit(False)), "consolidation_confidence": F.coalesce(clamp01(1 - F.col("range_pct") / most), F.lit(0.0))})

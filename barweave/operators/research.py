@@ -67,6 +67,12 @@ def rank_statistics(rows: DataFrame, outcome: str, flag: str, features: tuple[st
     return ranked.groupBy("feature").agg(F.count("*").alias("n"), F.when(n >= 3, rho).alias("spearman"), auc.alias("auc"))
 
 
+def by_distance_from_half(stats: DataFrame) -> DataFrame:
+    """A row per feature with its place by the distance of the area under the curve from a half; unknown ones last."""
+    far = F.round(F.abs(F.coalesce("auc", F.lit(0.5)) - 0.5), 6)
+    return stats.withColumn("place", F.row_number().over(Window.orderBy(far.desc(), "feature")))  # one row per feature
+
+
 def ceil_deciles(rows: DataFrame, by: tuple[str, ...], value: str, order: tuple[str, ...], k: int = 10) -> DataFrame:
     """Adds ``decile``: buckets of ceil(n / k) rows, the last ones short or absent."""
     w, whole = Window.partitionBy(*by).orderBy(value, *order), Window.partitionBy(*by)

@@ -2,7 +2,7 @@
 
 
 def load() -> tuple[dict, dict]:
-    from . import catalogue_bars, catalogue_research, catalogue_signals, catalogue_simulation  # noqa: F401
+    from . import catalogue_backtest, catalogue_bars, catalogue_reports, catalogue_research, catalogue_signals  # noqa: F401
     from .registry import ORACLES, QUERIES
 
     return dict(QUERIES), dict(ORACLES)

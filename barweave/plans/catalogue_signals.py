@@ -42,6 +42,18 @@ def support_resistance(spark, sf):
     return out(rows, "resistance20", "support20", "hi20", "lo20", "range_pct", "consolidation")
 
 
+_RANGE20 = "CASE WHEN count(*) OVER t = 20 THEN {0} OVER t END"
+
+
+@query(
+    f"""WITH {O.walk()}, r AS (SELECT *, {_RANGE20.format('max(high)')} AS range_high, {_RANGE20.format('min(low)')} AS range_low FROM bars WINDOW t AS (PARTITION BY ticker ORDER BY ts ROWS 19 PRECEDING)),
+p AS (SELECT *, 2 * (range_high - range_low) / (range_high + range_low) AS range_pct FROM r)
+SELECT {KEY}, {cols('range_high', 'range_low', 'range_pct')}, range_pct IS NOT NULL AND range_pct <= 0.08e0 AS consolidates, {O.r6(f"coalesce({Q.clip('1 - range_pct / 0.08e0')}, 0e0)", 'consolidation_confidence')} FROM p"""
+)
+def consolidation_range(spark, sf):
+    return out(S.add_consolidation(B.walk(spark, sf)), "range_high", "range_low", "range_pct", "consolidates", "consolidation_confidence")
+
+
 @query(f"WITH {O.walk()}, g AS (SELECT *, (open - lag(close) OVER w) / nullif(lag(close) OVER w, 0) AS gap_pct FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts)) SELECT {KEY}, {cols('gap_pct')}, CASE WHEN gap_pct >= 0.02e0 THEN 'gap_up' WHEN gap_pct <= -0.02e0 THEN 'gap_down' ELSE 'none' END AS gap FROM g")
 def gap(spark, sf):
     rows = B.walk(spark, sf).withColumn("gap_pct", F.try_divide(F.col("open") - F.lag("close").over(I.by_ticker()), F.lag("close").over(I.by_ticker())))

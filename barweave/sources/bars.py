@@ -72,6 +72,13 @@ def sector_of(ticker: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SECTORS)), (F.ascii(ticker) % 5 + 1).cast("int"))
 
 
+def sector_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, sector) of the universe by_supplier: the region of a supplier's nation, null where its country is unknown."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("sector"))
+    return table(spark, sf_dir, "supplier").join(F.broadcast(place), "s_nationkey", "left").select(F.col("s_suppkey").cast("string").alias("ticker"), "sector")  # a row per nation
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as ticks: symbol is the event's type, price its value, never below a cent."""
     return table(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("symbol"), F.greatest(F.col("value"), F.lit(0.01)).alias("price"), "user_id")

@@ -24,34 +24,57 @@ def with_stale(fresh: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("symbol", F.coalesce("_p", "price").alias("price"), F.coalesce("_t", "ts").alias("ts"), F.col("_t").isNull().alias("stale"))
 
 
-def condition_met(alert: str = "condition", price: str = "price", threshold: str = "threshold") -> Column:
-    """``above``/``below`` on the price, ``pct_above``/``pct_below`` on the per cent change; a null never fires."""
-    c, p, t = F.col(alert), F.col(price), F.col(threshold)
-    return F.coalesce(F.when(c.isin("above", "pct_above"), p >= t).otherwise(p <= t), F.lit(False))
+def with_change(ticks: DataFrame, closes: DataFrame) -> DataFrame:
+    """Ticks with ``change_pct`` against the last close (symbol, close); null without one."""
+    rows = ticks.join(closes.select("symbol", F.col("close").alias("_c")), "symbol", "left")
+    return rows.withColumn("change_pct", F.try_divide(F.col("price") - F.col("_c"), F.col("_c")) * 100).drop("_c")
+
+
+def condition_met(alert: str = "condition", price: str = "price", threshold: str = "threshold", change: str = "change_pct") -> Column:
+    """``above``/``below`` on the price, ``pct_above``/``pct_below`` on the day's change in per cent; a null and a
+    condition that is none of these never fire."""
+    c, p, t, x = F.col(alert), F.col(price), F.col(threshold), F.col(change)
+    met = F.when(c == "above", p >= t).when(c == "below", p <= t).when(c == "pct_above", x >= t).when(c == "pct_below", x <= t)
+    return F.coalesce(met, F.lit(False))
+
+
+def _known_change(ticks: DataFrame) -> DataFrame:
+    return ticks if "change_pct" in ticks.columns else ticks.withColumn("change_pct", F.lit(None).cast("double"))
 
 
 def alert_hits(ticks: DataFrame, alerts: DataFrame) -> DataFrame:
-    """(alert_id, ts, price): the first tick that meets each alert."""
-    met = ticks.join(alerts, "symbol").where(condition_met())
+    """(alert_id, ts, price): the first tick that meets each alert. Alerts on the change read ``change_pct``."""
+    met = _known_change(ticks).join(alerts, "symbol").where(condition_met())
     return met.groupBy("alert_id").agg(F.min("ts").alias("ts"), F.min_by("price", F.struct("ts", "event_id")).alias("price"))
 
 
 def alert_error(condition: Column, threshold: Column, price: Column) -> Column:
     """Why an alert cannot be set, or null."""
+    on_price, on_change = condition.isin("above", "below"), condition.isin("pct_above", "pct_below")
     return (
-        F.when(threshold.isNull() | (threshold == 0), "Threshold must not be 0")
-        .when(condition.isin("above", "below") & (threshold < 0), "Price must be positive")
-        .when(condition.isin("pct_above", "pct_below") & (F.abs(threshold) > 100), "Change must be within 100 %")
-        .when((condition == "above") & (price >= threshold), "Price is already above")
-        .when((condition == "below") & (price <= threshold), "Price is already below")
+        F.when(~(on_price | on_change) | condition.isNull(), "Unknown kind of alert")
+        .when(threshold.isNull() | F.isnan(threshold) | (F.abs(threshold) == float("inf")), "Threshold is no number")
+        .when(on_price & (threshold <= 0), "A price threshold must lie above 0")
+        .when((condition == "above") & (threshold <= price), "The price is there already")
+        .when((condition == "below") & (threshold >= price), "The price is there already")
+        .when(on_change & ((threshold == 0) | (F.abs(threshold) > 100)), "A change must differ from 0 and lie within 100 %")
+        .when((condition == "pct_above") & (threshold < 0), "A rise needs a positive change")
+        .when((condition == "pct_below") & (threshold > 0), "A fall needs a negative change")
     )
 
 
-def changes(ticks: DataFrame) -> DataFrame:
-    """Ticks whose price is not that of the tick before."""
-    w = Window.partitionBy("symbol").orderBy("ts", "event_id")
-    before = F.lag("price").over(w)
-    return ticks.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("price") != F.col("_b"))).drop("_b")
+def changes(ticks: DataFrame, bucket: str = "day") -> DataFrame:
+    """Ticks whose price is not that of the tick before of the same symbol.
+
+    Ticks are compared inside buckets of time, so that one symbol's ticks spread over many tasks; a bucket's first tick
+    is compared with the last one of the bucket before, which a window over one row per bucket hands on."""
+    rows = ticks.withColumn("_k", F.date_trunc(bucket, "ts"))
+    ends = rows.groupBy("symbol", "_k").agg(F.max_by("price", F.struct("ts", "event_id")).alias("_last"))
+    carried = ends.withColumn("_carried", F.lag("_last").over(Window.partitionBy("symbol").orderBy("_k"))).drop("_last")
+    within = F.lag("price").over(Window.partitionBy("symbol", "_k").orderBy("ts", "event_id"))
+    before = F.coalesce(F.col("_within"), F.col("_carried"))
+    out = rows.withColumn("_within", within).join(carried, ["symbol", "_k"]).where(before.isNull() | (F.col("price") != before))
+    return out.select(*ticks.columns)
 
 
 # --- streams ----------------------------------------------------------------------------------------------
@@ -61,10 +84,13 @@ def tick_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return spark.readStream.schema(TICKS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def live_bars(ticks: DataFrame, step: str = "1 hour", late: str = "0 seconds") -> DataFrame:
-    """Bars over tumbling windows; ticks behind the watermark are dropped."""
+def live_bars(ticks: DataFrame, step: str = "1 hour", late: str = "0 seconds", zone: str | None = None) -> DataFrame:
+    """Bars over tumbling windows; ticks behind the watermark are dropped. A step of weeks begins on Mondays. With a
+    ``zone``, days and weeks are those of its clock, and ``ts`` is local time."""
     seq = F.struct("ts", "event_id")
-    out = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", step).alias("w")).agg(
+    start = "4 days" if "week" in step else "0 seconds"  # the epoch is a Thursday
+    rows = ticks.withColumn("_at", F.from_utc_timestamp("ts", zone) if zone else F.col("ts")).withWatermark("_at", late)
+    out = rows.groupBy("symbol", F.window("_at", step, step, start).alias("w")).agg(
         F.min_by("price", seq).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", seq).alias("close"), F.count("*").cast("double").alias("volume")
     )
     return out.select(F.col("symbol").alias("ticker"), F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
@@ -97,7 +123,7 @@ def live_alerts(ticks: DataFrame, alerts: DataFrame) -> DataFrame:
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    met = ticks.join(alerts, "symbol").where(condition_met())
+    met = _known_change(ticks).join(alerts, "symbol").where(condition_met())
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")

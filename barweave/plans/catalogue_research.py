@@ -251,16 +251,17 @@ def latest_quote(spark, sf):
     return Z.latest_quote(B.ticks(spark, sf)).select("symbol", r6("price").alias("price"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "ticks")
 
 
-_ALERTS = "(SELECT event_type || '_' || side AS alert_id, event_type AS symbol, side, CASE side WHEN 'above' THEN quantile_cont(greatest(value, 0.01), 0.99) ELSE quantile_cont(greatest(value, 0.01), 0.02) END AS threshold FROM events, (SELECT unnest(['above', 'below']) AS side) GROUP BY event_type, side)"
+_ALERTS = f"(SELECT event_type || '_' || side AS alert_id, event_type AS symbol, side, round(avg({_PX}), 6) * CASE side WHEN 'above' THEN 4e0 ELSE 0.02e0 END AS threshold FROM events, (SELECT unnest(['above', 'below']) AS side) GROUP BY event_type, side)"
 
 
 @query(
     f"""WITH a AS {_ALERTS} SELECT alert_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS ts, round(arg_min({_PX}, row(ts, event_id)) + 1.3e-9, 6) AS price FROM a JOIN events ON event_type = symbol AND CASE side WHEN 'above' THEN {_PX} >= threshold ELSE {_PX} <= threshold END GROUP BY alert_id"""
 )
 def alert_hits(spark, sf):
-    """Each alert fires once, at the first tick that meets it."""
+    """Alerts at four times and a fiftieth of a symbol's mean price; each fires once, at the first tick that meets it."""
     rows = B.ticks(spark, sf)
-    levels = rows.groupBy("symbol").agg(F.percentile("price", 0.99).alias("above"), F.percentile("price", 0.02).alias("below"))
+    mean = F.round(F.avg("price"), 6)
+    levels = rows.groupBy("symbol").agg((mean * 4.0).alias("above"), (mean * 0.02).alias("below"))
     sides = F.array(*[F.struct(F.lit(s).alias("condition"), F.col(s).alias("threshold")) for s in ("above", "below")])
     alerts = levels.select("symbol", F.explode(sides).alias("x")).select(F.concat_ws("_", "symbol", "x.condition").alias("alert_id"), "symbol", "x.*")
     return Z.alert_hits(rows, alerts).select("alert_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r6("price").alias("price"))
@@ -293,21 +294,25 @@ def first_tick_per_time(spark, sf):
     return rows.select(F.col("ticker").alias("symbol"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r6("price").alias("price"))
 
 
-@query(f"WITH n AS (SELECT event_type AS symbol, arg_max({_PX}, row(ts, event_id)) AS price, max(ts) AS ts FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND event_type <> 'purchase' GROUP BY 1), o AS (SELECT event_type AS symbol, arg_max({_PX}, row(ts, event_id)) AS price, max(ts) AS ts FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1) SELECT o.symbol, round(coalesce(n.price, o.price) + 1.3e-9, 6) AS price, n.symbol IS NULL AS stale FROM o LEFT JOIN n ON n.symbol = o.symbol")
+@query(
+    f"""WITH q AS (SELECT event_type AS symbol, arg_max({_PX}, row(ts, event_id)) AS price, max(ts) AS ts FROM events GROUP BY 1), f AS (SELECT * FROM q WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)
+SELECT q.symbol, round(q.price + 1.3e-9, 6) AS price, f.symbol IS NULL AS stale FROM q LEFT JOIN f ON f.symbol = q.symbol"""
+)
 def quotes_with_stale(spark, sf):
-    """Fresh quotes, the last known one where there is none."""
+    """The last quote of each symbol; stale if it is over ten minutes older than the newest tick of all."""
     rows = B.ticks(spark, sf)
-    cut = F.to_timestamp(F.lit("2024-01-20"))
-    fresh, known = Z.latest_quote(rows.where((F.col("ts") >= cut) & (F.col("symbol") != "purchase"))), Z.latest_quote(rows.where(F.col("ts") < cut))
+    known = Z.latest_quote(rows)
+    newest = rows.agg(F.max("ts").alias("_now"))  # one row
+    fresh = known.join(F.broadcast(newest), F.col("ts") >= F.col("_now") - F.expr("interval 10 minutes"))
     return Z.with_stale(fresh, known).select("symbol", r6("price").alias("price"), "stale")
 
 
-@query(f"WITH {O.walk('by_supplier')}, x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM bars), s AS (SELECT ticker, avg(volume) FILTER (WHERE back <= 30) AS avg_volume FROM x GROUP BY ticker) SELECT ticker, round(avg_volume + 1.3e-9, 6) AS avg_volume FROM s WHERE avg_volume > 0 ORDER BY avg_volume DESC, ticker LIMIT 50")
+@query(f"WITH {O.walk('by_supplier')}, x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM bars), s AS (SELECT ticker, avg(volume) FILTER (WHERE back <= 30) AS avg_volume FROM x GROUP BY ticker) SELECT ticker, round(avg_volume + 1.3e-9, 6) AS avg_volume FROM s WHERE avg_volume > 0 ORDER BY avg_volume DESC, ticker LIMIT 500")
 def liquidity_universe(spark, sf):
-    """The 50 tickers with the highest volume over 30 bars."""
+    """The 500 tickers with the highest volume over 30 bars."""
     from barweave.operators.quality import top_by_liquidity
 
-    return _rounded(top_by_liquidity(B.walk(spark, sf, "by_supplier"), 50))
+    return _rounded(top_by_liquidity(B.walk(spark, sf, "by_supplier")))
 
 
 @query(f"{SCORED} SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strategy, least(floor(10000e0 * 0.01 / (entry - stop)), floor(2000e0 / entry))::BIGINT AS shares FROM sc WHERE least(floor(10000e0 * 0.01 / (entry - stop)), floor(2000e0 / entry)) > 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +56,25 @@ def walk_bars(trades: DataFrame) -> DataFrame:
     return rows.select("ticker", "ts", "open", high.alias("high"), low.alias("low"), "close", "volume")
 
 
+def once(spark: SparkSession, name: str, build) -> DataFrame:
+    """A table that is built once in an application and read from then on: written below ``spark.checkpoint.dir``, as
+    sorted Parquet, removed with the application. Where that is unset, ``build()`` as it is."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        return build()
+    path = f"{base.rstrip('/')}/bars-{context.applicationId}/{hashlib.sha256(name.encode()).hexdigest()[:16]}"
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(context._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        write_bars(build(), path, "overwrite")
+        files.deleteOnExit(folder)
+    return spark.read.parquet(path).drop("cached_at")
+
+
 def walk(spark: SparkSession, sf_dir: str, universe: str = "by_type") -> DataFrame:
-    return walk_bars(prints(spark, sf_dir, universe))
+    """The bars of a universe; raw rows are read once for all queries of an application."""
+    return once(spark, f"walk {sf_dir} {universe}", lambda: walk_bars(prints(spark, sf_dir, universe)))
 
 
 def indices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from barweave.functions.scalars import check_exit, dto_round, position_size, risk_reward
+from barweave.operators import backtest as K
 from barweave.operators import calendar as C
+from barweave.operators import intraday as Y
 from barweave.operators import metrics as M
 from barweave.operators import patterns as P
 from barweave.operators import quality as Q
+from barweave.operators import reports as H
 from barweave.operators import research as R
-from barweave.operators import simulate as U
 from barweave.operators import strategies as G
+from barweave.sources import bars as B
 
 
 @pytest.mark.parametrize(
@@ -98,40 +101,115 @@ def test_deciles_differ(spark):
     assert [r["n"] for r in even] == [3, 3, 3, 2, 2, 2, 2, 2, 2, 2]
 
 
-def run_rows(spark, path, signal_day=1):
-    rows = []
-    for i, (o, h, low, c) in enumerate(path):
-        rows.append(("r", "A", dt.date(2024, 1, i + 1), float(o), float(h), float(low), float(c), *((float(c), c * 0.9, c * 1.2, 80.0, "bullish") if i == signal_day else (None,) * 5), None))
-    schema = "run_id string, ticker string, ts date, open double, high double, low double, close double, entry double, sig_stop double, sig_target double, score double, regime string, sector string"
-    return spark.createDataFrame(rows, schema).toPandas()
+def test_patterns_keep_their_invalidation_without_a_hit(spark):
+    row = "select 100d close, 90d l2, 95d l3, cast(null as double) peak, 110d h2, 108d h3, cast(null as double) trough, 99d resistance20, 2d rel_volume, 140d hi15p, 60d lo15p"
+    got = P.add_patterns(spark.sql(row), "double_bottom", "double_top", "breakout_from_consolidation").first()
+    assert (got["double_bottom"], got["double_bottom_invalidation"]) == (False, 90.0)
+    assert (got["double_top"], got["double_top_invalidation"]) == (False, 110.0)
+    assert (got["breakout_from_consolidation"], got["breakout_from_consolidation_invalidation"]) == (False, pytest.approx(97.02))
 
 
-def test_fold_fills_next_open_and_targets(spark):
-    s = U.Settings(capital=10_000, risk_pct=0.01, slippage_bps=0, commission_bps=0)
-    trades, marks = U.fold(run_rows(spark, [(100, 101, 99, 100)] * 2 + [(102, 103, 101, 102), (105, 125, 104, 120), (120, 121, 119, 120)]), s)
-    (ticker, signal, entry_day, exit_day, entry, got, stop, target, shares, *_), = trades
-    assert (entry_day.day, exit_day.day, entry, stop, target, shares) == (3, 4, 102.0, 92.0, 122.0, 10)
-    assert got == 122.0 and marks[-1][2] == pytest.approx(10_000 + 200)
+def daily(spark, rows, ticker="A"):
+    return spark.createDataFrame([(ticker, dt.date(2024, 1, 1) + dt.timedelta(d), *map(float, x)) for d, *x in rows], "ticker string, ts date, open double, high double, low double, close double, volume double")
 
 
-def test_fold_sells_the_rest_after_the_last_mark(spark):
-    s = U.Settings(capital=10_000, slippage_bps=100, commission_bps=0)
-    trades, marks = U.fold(run_rows(spark, [(100, 101, 99, 100)] * 4), s)
-    assert trades[0][15] == "end_of_data" and trades[0][12] < 0
-    assert marks[-1][2] == pytest.approx(10_000 - (101.0 - 100.0) * trades[0][8])
+def test_consolidation_has_a_confidence_without_a_hit(spark):
+    from barweave.functions.structure import add_consolidation
 
+    rows = add_consolidation(daily(spark, [(i, 100, 102, 98, 100, 1) for i in range(5)] + [(5, 100, 120, 98, 100, 1)]), n=3).orderBy("ts").collect()
+    assert [r["range_pct"] is None for r in rows] == [True, True, False, False, False, False]
+    assert rows[2]["consolidates"] and rows[2]["consolidation_confidence"] == pytest.approx(0.5)
+    assert not rows[5]["consolidates"] and rows[5]["consolidation_confidence"] == 0 and rows[0]["consolidation_confidence"] == 0
 
-def test_fold_respects_cash_and_book(spark):
-    import pandas as pd
 
-    one = run_rows(spark, [(100, 101, 99, 100)] * 4)
-    many = pd.concat([one.assign(ticker=t) for t in "ABCDEFG"])
-    _, marks = U.fold(many, U.Settings(capital=10_000, risk_pct=0.05, max_positions=3, max_exposure=0.8))
-    assert max(m[3] for m in marks) <= 3 and all(m[1] >= 0 for m in marks) and all(m[4] <= 0.81 for m in marks)
+def test_windows_need_history_and_all_their_days(spark):
+    days = spark.range(23).selectExpr("date_add(date'2024-01-01', cast(id as int)) as ts")
+    got = [tuple(r) for r in K.walk_forward_windows(days, 5, 6).orderBy("window").collect()]
+    assert got == [(0, dt.date(2024, 1, 6), dt.date(2024, 1, 11)), (1, dt.date(2024, 1, 12), dt.date(2024, 1, 17)), (2, dt.date(2024, 1, 18), dt.date(2024, 1, 23))]
+    trades = spark.createDataFrame([(dt.date(2024, 1, 5), 1.0), (dt.date(2024, 1, 12), 2.0)], "signal_ts date, net double")
+    assert [(r["window"], r["net"]) for r in K.in_windows(trades, K.window_days(days, 5, 6)).collect()] == [(1, 2.0)]
 
 
-def test_truncated_run_is_a_prefix(spark):
-    path = [(100 + i, 103 + i, 98 + i, 101 + i) for i in range(12)]
-    s = U.Settings(capital=10_000)
-    whole, part = U.fold(run_rows(spark, path), s)[1], U.fold(run_rows(spark, path[:8]), s)[1]
-    assert whole[:7] == part[:7]
+def test_exclusions_leave_out_the_best(spark):
+    trades = spark.createDataFrame([("a", 5.0), ("a", 1.0), ("b", 4.0), ("c", -1.0)], "ticker string, net double")
+    got = {(r["left_out"], r["ticker"]): r["n"] for r in K.without_best(trades, (0, 1, 2)).groupBy("left_out", "ticker").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0, "a"): 2, (0, "b"): 1, (0, "c"): 1, (1, "b"): 1, (1, "c"): 1, (2, "c"): 1}
+
+
+def session(spark, path):
+    t0 = dt.datetime(2024, 1, 2, 15)
+    return spark.createDataFrame([("A", dt.date(2024, 1, 2), i + 1, t0 + dt.timedelta(hours=i), *map(float, x)) for i, x in enumerate(path)], "ticker string, ny_day date, day_bar int, ts timestamp, open double, high double, low double, close double")
+
+
+@pytest.mark.parametrize(
+    "path, reason, got",
+    [
+        ([(100, 101, 99, 100), (100, 100.5, 99.5, 100), (109, 110.5, 108.9, 110)], "target", 110.0),
+        ([(100, 101, 99, 100), (100, 101, 100, 101), (104, 105, 103.5, 104), (103.5, 103.5, 102, 102)], "stop", 102.9),  # the stop trails the high
+        ([(100, 101, 99, 100), (100, 100, 90, 92)], "stop", 98.0),
+        ([(100, 101, 99, 100), (100, 101, 99.5, 100.5), (100, 101, 99.5, 100.2)], "end_of_day", 100.2),
+    ],
+)
+def test_intraday_outcomes(spark, path, reason, got):
+    bars = session(spark, path)
+    found = spark.createDataFrame([("A", dt.datetime(2024, 1, 2, 15), "s", 100.0, 95.0, 110.0, 80.0)], "ticker string, ts timestamp, strategy string, entry double, stop double, target double, score double")
+    row = K.intraday_outcomes(found, bars, slippage_bps=0.0).first()
+    assert (row["exit_reason"], row["got"], row["paid"]) == (reason, pytest.approx(got), 100.0)
+
+
+def test_scan_cycle_takes_a_ticker_once_and_fills_slots_in_order(spark):
+    day = dt.date(2024, 1, 2)
+    rows = [("A", 15, "x", 90.0), ("A", 16, "y", 99.0), ("B", 15, "x", 80.0), ("C", 15, "x", 85.0), ("D", 16, "x", 95.0), ("E", 15, "x", 60.0)]
+    scored = spark.createDataFrame([(t, dt.datetime(2024, 1, 2, h), s, x, "BUY" if x >= 75 else "WATCH", day, 100.0, 95.0) for t, h, s, x in rows], "ticker string, ts timestamp, strategy string, score double, class string, ny_day date, entry double, stop double")
+    got = [(r["slot"], r["ticker"], r["strategy"], r["shares"]) for r in Y.scan_cycle(scored, slots=3).orderBy("slot").collect()]
+    assert got == [(1, "A", "x", 100), (2, "C", "x", 100), (3, "B", "x", 100)]
+
+
+def test_reports(spark):
+    bars = daily(spark, [(0, 1, 1, 1, 10, 1), (1, 1, 1, 1, 11, 1)]).unionByName(daily(spark, [(1, 1, 1, 1, 5, 1)], "B"))
+    got = {(r["ticker"], r["ts"].day): (r["change_pct"], r["place"]) for r in H.movers(bars).collect()}
+    assert got == {("A", 1): (None, 1), ("A", 2): (pytest.approx(10.0), 1), ("B", 2): (None, 2)}
+    sectors = spark.createDataFrame([("A", "X"), ("B", None)], "ticker string, sector string")
+    assert {r["ticker"] for r in H.with_sector(bars, sectors).collect()} == {"A"}
+    assert H.locked_day(bars, F.lit(dt.date(2024, 1, 2))).first()["i"] == 1
+    with pytest.raises(Exception, match="no bars on 2024-01-05"):
+        H.locked_day(bars, F.lit(dt.date(2024, 1, 5))).collect()
+    money = spark.createDataFrame([(1, "usd"), (2, None), (3, "EUR")], "k int, currency string")
+    assert {r["k"] for r in H.in_currency(money, "currency").collect()} == {1, 2}
+    assert Q.exclude_tickers(bars, spark.createDataFrame([("a",)], "ticker string")).count() == 1
+    good, bad = Q.split_sane(daily(spark, [(0, 1, 2, 1, 1, 1), (1, 1, 1, 2, 1, 1)]))
+    assert (good.count(), bad.count()) == (1, 1)
+
+
+def test_sources_round_trip(spark, tmp_path):
+    bars = daily(spark, [(0, 1, 2, 1, 1, 1), (1, 2, 3, 2, 2, 1), (2, 3, 3, 2, 2, 1)])
+    B.write_bars(bars, str(tmp_path / "bars"))
+    assert B.read_bars(spark, str(tmp_path / "bars"), ["A"], "2024-01-02", "2024-01-02", 1).count() == 1
+    assert B.read_bars(spark, str(tmp_path / "bars"), ["B"]).count() == 0
+    bars.write.option("header", True).csv(str(tmp_path / "csv"))
+    assert sorted(map(tuple, B.read_csv_bars(spark, str(tmp_path / "csv")).collect())) == sorted(map(tuple, bars.collect()))
+    (tmp_path / "A.json").write_text('{"ticker": "A", "candles": [{"timestamp": "2024-01-02T00:00:00Z", "open": 1, "high": 2, "low": 1, "close": 1.5, "volume": 3}], "cachedAt": "2024-01-03T00:00:00Z"}')
+    assert [(r["ticker"], r["close"]) for r in B.read_json_cache(spark, str(tmp_path / "A.json")).collect()] == [("A", 1.5)]
+    merged = B.merge_pages([bars, bars.withColumn("close", F.lit(9.0))], "2024-01-01", "2024-01-02")
+    assert sorted(r["close"] for r in merged.collect()) == [1.0, 2.0]
+    built = []
+    for _ in range(2):
+        B.once(spark, f"test {tmp_path}", lambda: built.append(1) or bars)
+    assert len(built) == 1 and B.once(spark, f"test {tmp_path}", lambda: None).count() == 3
+
+
+def test_formats(spark):
+    from barweave.functions import scalars as S
+
+    row = spark.range(1).select(
+        S.format_price(F.lit(0.12345)).alias("a"), S.format_price(F.lit(12.345)).alias("b"), S.format_signed_percent(F.lit(1.5)).alias("c"), S.format_compact(F.lit(1234567.0)).alias("d"), S.heat_intensity(F.lit(-2.0)).alias("e"),
+        S.in_session_window(F.lit(dt.datetime(2024, 1, 2, 15, 0)), 510, 900).alias("f"), S.in_session_window(F.lit(dt.datetime(2024, 1, 6, 15, 0)), 510, 900).alias("g"),
+    ).first()
+    assert tuple(row) in {("0.1234", "12.35", "+1.50%", "1.23M", 0.5, True, False), ("0.1235", "12.35", "+1.50%", "1.23M", 0.5, True, False), ("0.1235", "12.34", "+1.50%", "1.23M", 0.5, True, False), ("0.1234", "12.34", "+1.50%", "1.23M", 0.5, True, False)}
+
+
+def test_locked_queries_have_sql():
+    from barweave import plans
+
+    queries, sql = plans.load()
+    assert set(sql) <= set(queries) and not {n for n in queries if n.startswith(("backtest", "walk", "param", "excl", "intraday"))} - set(sql)

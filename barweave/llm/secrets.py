@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_texts, stored
+from .common import commonest, id_and_text, map_texts
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Only where one of these is in the lower-cased text can ``assign`` match.
@@ -180,25 +180,13 @@ def find_spans(text: str, min_cost: float, guess_cost: GuessCosts) -> tuple[list
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY_WORDS) -> list[str]:
-    """The commonest words of running text, over all documents, the commonest first (among equals by spelling): all
-    that are at least as common as some power of the eighth root of two, the least one that at most ``most`` words
-    reach. A word is letters a-z with at most the first one capital, a space before them that no colon or equals sign
-    precedes, so that values in credential contexts do not make themselves words. Only counts are shuffled; what comes
-    to the driver is a histogram of some hundred rows, then the words themselves."""
+    """The commonest words of running text, at most ``most``, over all documents, the commonest first. A word is letters
+    a-z with at most the first one capital, a space before them that no colon or equals sign precedes, so that values in
+    credential contexts do not make themselves words. Only counts are shuffled."""
     few, many = DICTIONARY_SIZES
     pattern = rf"(?<=[^:=\x20]\x20)[A-Za-z][a-z]{{{few - 1},{many - 1}}}(?![A-Za-z0-9_=:/+-])"
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(pattern), F.lit(0))).alias("w"))
-    counts = stored(words.groupBy(F.lower("w").alias("w")).count().where("count > 1").withColumn("level", F.floor(8 * F.log2("count")).cast("int")))
-    least, held = None, 0
-    for r in counts.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
-        held += r["n"]
-        if held > most:
-            break
-        least = r["level"]
-    if least is None:
-        return []
-    found = counts.where(F.col("level") >= least).select("w", "count").collect()  # at most ``most`` rows
-    return [w for w, _ in sorted(map(tuple, found), key=lambda x: (-x[1], x[0]))]
+    return [w for w, _ in commonest(words.groupBy(F.lower("w").alias("w")).count(), "w", "count", most)]
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = 10.0, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:

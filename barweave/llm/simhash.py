@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_texts, mix, row_key, stored, word_hashes
+from .common import commonest, id_and_text, map_texts, mix, row_key, stored, word_hashes
 from .graph import connected_components
 from .repeats import gram_hashes
 
@@ -145,7 +145,7 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["g", "n"])
 
     sums = texts.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    found = [r["g"] for r in sums.orderBy(F.desc("n"), "g").limit(MAX_COMMON).collect()]
+    found = [g for g, _ in commonest(sums, "g", "n", MAX_COMMON)]
     values = np.array(found, dtype=np.int64).view(np.uint64)
     order = np.argsort(values)
     return values[order], (len(values) - np.arange(len(values)))[order]

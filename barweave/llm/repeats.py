@@ -20,8 +20,8 @@ from .common import MASK64, byte_codes, id_and_text, mix, shared_dir, sliding_mi
 BLOCK_BYTES = 4 << 20
 #: Text to a task of a shuffle.
 TASK_BYTES = 16 << 20
-#: Anchors in more blocks than this are hot: their windows are dealt out one by one, by their whole content.
-HOT_BLOCKS = 2_000
+#: Anchors in more blocks than this are hot: their windows are dealt out by more of their content.
+HOT_BLOCKS = 100
 _CHUNK = 1 << 22
 _POSITION = np.uint64((1 << 24) - 1)
 _NO_ID = (1 << 63) - 1

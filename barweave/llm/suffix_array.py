@@ -1,7 +1,7 @@
 """Substring dedup on bytes: two-stage suffix sorting inside groups of candidate segments.
 
-A segment is a stretch of windows that share an anchor; its anchor's hash names its group, so equal windows
-meet. A group's segments make one text. Its suffixes that are smaller than their successors are sorted
+A segment is a stretch of windows that share an anchor; its anchor's hash names its group (that of a longer string
+around it where the anchor is in very many blocks), so equal windows meet. A group's segments make one text. Its suffixes that are smaller than their successors are sorted
 directly; the others are induced by scans over the buckets of first bytes. Adjacent common prefixes of at
 least the window's length then join equal windows, and all but those of the smallest id are marked.
 """
@@ -116,12 +116,14 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20,
 
     A null text counts as empty. A null id counts as larger than any other. Rows that share an id never
     remove each other's bytes. Other columns are ignored; an empty table gives no rows. Texts of any length
-    are taken whole. Copies in a block are settled there, so a group of copies sends a row per block; anchors
-    in more than ``hot_blocks`` blocks are dealt out window by window."""
+    are taken whole. Copies in a block are settled there, so a group of copies sends a row per block. Anchors in
+    more than ``hot_blocks`` blocks are dealt out by more of their text: windows that begin far before the anchor hold
+    half of the slack before it, the others half of the slack after it, so that half and the anchor name their group."""
     import pandas as pd
     import pyarrow as pa
 
     kind = Kind(words=False, length=window, k=gram)
+    half = (window - gram) // 2
     blocks = pack_blocks(docs, id_col, text_col)
     size = text_bytes(blocks)
     buckets, groups = (max(8, -(-size // per)) for per in (4 * GROUP_BYTES, GROUP_BYTES))
@@ -133,8 +135,9 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20,
                 found = candidates(kind, block, row["replies"], buckets)
                 if not len(found.start):
                     continue
+                late = found.hot[found.anchor] & (found.start > found.place[found.anchor] - half)
                 new = np.ones(len(found.start), dtype=bool)
-                new[1:] = (found.anchor[1:] != found.anchor[:-1]) | found.hot[found.anchor[1:]]
+                new[1:] = (found.anchor[1:] != found.anchor[:-1]) | (late[1:] != late[:-1])
                 head = np.flatnonzero(new)
                 start = found.start[head]
                 end = found.start[np.append(head[1:], len(new)) - 1] + window
@@ -145,7 +148,11 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 20,
                 if beaten.any():
                     yield rows([-1 - row["block_id"] % groups], row["block_id"], [pack(*merged(start[beaten], end[beaten]))])
                 anchor = found.anchor[head]
-                grp = (np.where(found.hot[anchor], name, found.value[anchor]) >> np.uint64(20)).astype(np.int64) % groups
+                key = found.value[anchor].copy()
+                at = np.flatnonzero(found.hot[anchor])
+                place = found.place[anchor[at]] - np.where(late[head[at]], 0, half)
+                key[at] = span_hashes(block.codes, place, place + gram + half)
+                grp = (key >> np.uint64(20)).astype(np.int64) % groups
                 order = np.flatnonzero(keep)
                 order = order[np.argsort(grp[order], kind="stable")]
                 cut = np.flatnonzero(np.diff(grp[order], prepend=-1))

@@ -61,3 +61,42 @@ def locked_day(bars: DataFrame, day: Column) -> DataFrame:
 def in_currency(rows: DataFrame, column: str, currency: str = "USD") -> DataFrame:
     """Rows in the currency; those that name none count as such."""
     return rows.where(F.col(column).isNull() | (F.upper(F.trim(column)) == currency))
+
+
+CHART = {"volume": ("volume",), "sma20": ("sma20",), "ema50": ("ema50",), "bands": ("bb_upper", "bb_lower"), "rsi": ("rsi14",), "macd": ("macd", "macd_signal", "macd_hist")}
+
+
+def chart_bundle(features: DataFrame, *chosen: str) -> DataFrame:
+    """What a chart with the chosen indicators shows (all, if none is named); nulls are gaps."""
+    unknown = set(chosen) - set(CHART)
+    if unknown:
+        raise ValueError(f"no such indicator: {', '.join(sorted(unknown))}")
+    return features.select("ticker", "ts", "open", "high", "low", "close", *[c for name in chosen or CHART for c in CHART[name]])
+
+
+def recent_bars(bars: DataFrame, n: int = 500) -> DataFrame:
+    """The last n bars of each ticker that have all prices."""
+    w = Window.partitionBy("ticker").orderBy(F.desc("ts"))
+    return bars.dropna(subset=["open", "high", "low", "close"]).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def search_symbols(instruments: DataFrame, text: Column, kinds: tuple[str, ...] = (), most: int = 10) -> DataFrame:
+    """Instruments (symbol, name, kind) whose symbol begins with the text or whose name holds it, whatever the case and
+    the space around it; symbols that begin so come first; at most ``most``."""
+    key = F.upper(F.trim(text))
+    rows = instruments.where(F.col("kind").isin(*kinds)) if kinds else instruments
+    begins = F.startswith(F.upper("symbol"), key)
+    found = rows.where(begins | F.contains(F.upper("name"), key)).withColumn("_b", begins)
+    return found.orderBy(F.desc("_b"), "symbol").limit(most).drop("_b")
+
+
+def with_history(found: DataFrame, trades: DataFrame, least: int = 20) -> DataFrame:
+    """Signals with how their strategy's trades went in the same regime and on the same ticker; ``sufficient`` where the
+    strategy has ``least`` trades. What has no history stays, with nulls."""
+
+    def stats(*keys: str, name: str) -> DataFrame:
+        return trades.groupBy(*keys).agg(F.count("*").alias(f"{name}_trades"), F.avg((F.col("net") > 0).cast("double")).alias(f"{name}_win_rate"))
+
+    out = found.join(stats("strategy", "regime", name="regime"), ["strategy", "regime"], "left").join(stats("strategy", "ticker", name="ticker"), ["strategy", "ticker"], "left")
+    whole = trades.groupBy("strategy").agg((F.count("*") >= least).alias("sufficient"))
+    return out.join(whole, "strategy", "left").withColumn("sufficient", F.coalesce("sufficient", F.lit(False)))

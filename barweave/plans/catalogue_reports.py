@@ -13,7 +13,7 @@ from barweave.streaming import quotes as Z
 from . import oracle as O
 from .catalogue_bars import KEY, cols, out
 from .catalogue_research import _PX, _rounded
-from .catalogue_signals import _CLASS, SCORED
+from .catalogue_signals import _CLASS, OUTCOMES, SCORED
 from .registry import query
 
 _LAST = "WHERE ts = (SELECT max(ts) FROM sc)"
@@ -115,3 +115,40 @@ _NYD = "CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE)"
 def daily_tick_bars(spark, sf):
     """Bars of ticks over New York days."""
     return out(Z.live_bars(B.ticks(spark, sf), "1 day", zone="America/New_York"), "open", "high", "low", "close", "volume")
+
+
+_CHART = tuple(c for names in H.CHART.values() for c in names)
+
+
+@query(f"WITH RECURSIVE {O.features()} SELECT {KEY}, {cols('close', *_CHART)} FROM feat")
+def chart_bundle(spark, sf):
+    from barweave.functions import indicators as I
+
+    return out(H.chart_bundle(I.features_daily(B.walk(spark, sf))), "close", *_CHART)
+
+
+@query(f"WITH {O.walk('by_supplier')} SELECT {KEY}, {cols('open', 'high', 'low', 'close', 'volume')} FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) <= 500")
+def recent_bars(spark, sf):
+    return out(H.recent_bars(B.walk(spark, sf, "by_supplier")), "open", "high", "low", "close", "volume")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS symbol, s_name AS name, r_name AS kind FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name IN ('ASIA', 'EUROPE') AND (starts_with(CAST(s_suppkey AS VARCHAR), '1') OR contains(upper(s_name), '1')) ORDER BY starts_with(CAST(s_suppkey AS VARCHAR), '1') DESC, symbol LIMIT 10")
+def search_symbols(spark, sf):
+    """Suppliers as instruments, searched by a text; ten at most."""
+    names = B.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"), F.col("s_name").alias("name"))
+    rows = names.join(B.sector_dimension(spark, sf), "ticker").select(F.col("ticker").alias("symbol"), "name", F.col("sector").alias("kind"))
+    return H.search_symbols(rows, F.lit(" 1 "), ("ASIA", "EUROPE"))
+
+
+@query(
+    f"""{OUTCOMES}, hr AS (SELECT strategy, regime, count(*) AS regime_trades, avg((net > 0)::INT) AS regime_win_rate FROM oc GROUP BY ALL), ht AS (SELECT strategy, ticker, count(*) AS ticker_trades, avg((net > 0)::INT) AS ticker_win_rate FROM oc GROUP BY ALL),
+hs AS (SELECT strategy, count(*) >= 20 AS sufficient FROM oc GROUP BY strategy)
+SELECT {KEY.replace('ticker,', 'sc.ticker,')}, sc.strategy, regime_trades, {cols('regime_win_rate')}, ticker_trades, {cols('ticker_win_rate')}, coalesce(sufficient, false) AS sufficient FROM sc LEFT JOIN hr ON hr.strategy = sc.strategy AND hr.regime = sc.regime
+ LEFT JOIN ht ON ht.strategy = sc.strategy AND ht.ticker = sc.ticker LEFT JOIN hs ON hs.strategy = sc.strategy"""
+)
+def signal_history(spark, sf):
+    """Signals with the record of their strategy in the same regime and on the same ticker."""
+    found = N.scored_signals(N.walk_context(spark, sf))
+    trades = N.trade_outcomes(found, B.walk(spark, sf))
+    rows = H.with_history(found, trades)
+    return out(rows, "strategy", "regime_trades", "regime_win_rate", "ticker_trades", "ticker_win_rate", "sufficient")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.functions.scalars import with_slippage
+from barweave.functions.scalars import position_size, with_slippage
 
 from .metrics import equity_from_trades
 
@@ -78,3 +78,33 @@ def intraday_outcomes(found: DataFrame, bars: DataFrame, trail_pct: float = 0.02
     got = with_slippage(F.col("x._out.price"), slippage_bps, False)
     done = by.select(*key, "entry_ts", "ny_day", "stop", "target", "paid", "score", F.col("_from").alias("entry_bar"), F.col("x.day_bar").alias("exit_bar"), F.col("x.ts").alias("exit_ts"), F.col("x._out.reason").alias("exit_reason"), got.alias("got"))
     return done.withColumns({"net": F.col("got") - F.col("paid"), "r_multiple": F.expr("(got - paid) / nullif(paid - stop, 0)")})
+
+
+def order_sizes(found: DataFrame, capital: float, risk_pct: float, most_per_position: float) -> DataFrame:
+    """Signals with the shares of an order: by risk, capped by the money for one position; orders of none are left out."""
+    shares = F.least(position_size(F.lit(capital), risk_pct, F.col("entry"), F.col("stop")), F.floor(most_per_position / F.col("entry"))).cast("long")
+    return found.withColumn("shares", shares).where("shares > 0")
+
+
+def buy_and_hold(bars: DataFrame, capital: float, slippage_bps: float = 5.0, commission_bps: float = 2.0) -> DataFrame:
+    """Per ticker: whole shares bought at the first open and sold at the last close, with slippage and commission."""
+    fee = commission_bps / 1e4
+    paid, got = with_slippage(F.min_by("open", "ts"), slippage_bps, True), with_slippage(F.max_by("close", "ts"), slippage_bps, False)
+    rows = bars.groupBy("ticker").agg(paid.alias("paid"), got.alias("got")).withColumn("shares", F.floor(capital / (F.col("paid") * (1 + fee))))
+    net = F.col("shares") * (F.col("got") - F.col("paid")) - F.col("shares") * (F.col("got") + F.col("paid")) * fee
+    return rows.select("ticker", "shares", "paid", "got", net.alias("net"), (net / capital).alias("total_return"))
+
+
+def book(trades: DataFrame, day) -> DataFrame:
+    """The trades that were entered by a day, and whether they were closed by then."""
+    return trades.where(F.col("entry_ts") <= day).select("ticker", "strategy", "entry_ts", "signal_ts", (F.col("exit_ts") <= day).alias("closed"))
+
+
+def book_changes(old: DataFrame, now: DataFrame) -> DataFrame:
+    """What changed from one state of the book to a later one: opened, closed, both, or still open; what was closed
+    before is left out."""
+    key = ["ticker", "strategy", "entry_ts", "signal_ts"]
+    rows = now.join(old.withColumnRenamed("closed", "was_closed"), key, "left").where("was_closed is null or not was_closed")
+    new = F.col("was_closed").isNull()
+    change = F.when(new & F.col("closed"), "opened_and_closed").when(new, "opened").when(F.col("closed"), "closed").otherwise("still_open")
+    return rows.select(*key, change.alias("change"))

@@ -24,6 +24,11 @@ def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
     return out.withColumns({"mfe_pct": (F.col("_h") / F.col("paid") - 1) * 100, "mae_pct": (F.col("_l") / F.col("paid") - 1) * 100, "mfe_r": F.expr("(_h - paid) / nullif(paid - stop, 0)")}).drop("_h", "_l")
 
 
+def excursion_label(mfe_r: Column, never: float = 0.3, reached: float = 0.7) -> Column:
+    """Whether a trade ever worked: by how far price ran for it, in multiples of the risk."""
+    return F.when(mfe_r < never, "never_worked").when(mfe_r >= reached, "reversed").otherwise("middle")
+
+
 def unpivot(rows: DataFrame, keep: tuple[str, ...], features: tuple[str, ...]) -> DataFrame:
     """(keep..., feature, value) without nulls and non-finite values."""
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barweave.functions.scalars import r6, session_state
+from barweave.operators import backtest as K
 from barweave.operators import metrics as M
 from barweave.operators import research as R
 from barweave.operators import signals as N
@@ -191,8 +192,7 @@ def thresholds(spark, sf):
 )
 def mfe_mae(spark, sf):
     rows = R.excursions(outcomes(spark, sf), B.walk(spark, sf))
-    label = F.when(F.col("mfe_r") < 0.3, "never_worked").when(F.col("mfe_r") >= 0.7, "reversed").otherwise("middle")
-    return _rounded(rows.select("ticker", "strategy", F.date_format("signal_ts", "yyyy-MM-dd").alias("ts"), "mfe_pct", "mae_pct", label.alias("outcome")))
+    return _rounded(rows.select("ticker", "strategy", F.date_format("signal_ts", "yyyy-MM-dd").alias("ts"), "mfe_pct", "mae_pct", R.excursion_label(F.col("mfe_r")).alias("outcome")))
 
 
 @query(
@@ -215,15 +215,8 @@ def trade_diff(spark, sf):
     """Two states of the book, 90 days apart: what opened, closed and is still open."""
     trades = outcomes(spark, sf)
     cut = F.to_date(F.lit("1997-01-01"))
-
-    def state(day):
-        return trades.where(F.col("entry_ts") <= day).select("ticker", "strategy", "entry_ts", "signal_ts", (F.col("exit_ts") <= day).alias("closed"))
-
-    old, now = state(cut).withColumnRenamed("closed", "was_closed"), state(F.date_add(cut, 90))
-    rows = now.join(old, ["ticker", "strategy", "entry_ts", "signal_ts"], "left").where("was_closed is null or not was_closed")
-    new = F.col("was_closed").isNull()
-    change = F.when(new & F.col("closed"), "opened_and_closed").when(new, "opened").when(F.col("closed"), "closed").otherwise("still_open")
-    return rows.select("ticker", "strategy", F.date_format("signal_ts", "yyyy-MM-dd").alias("ts"), change.alias("change"))
+    rows = K.book_changes(K.book(trades, cut), K.book(trades, F.date_add(cut, 90)))
+    return rows.select("ticker", "strategy", F.date_format("signal_ts", "yyyy-MM-dd").alias("ts"), "change")
 
 
 _FEE = "2e0 / 1e4"
@@ -235,10 +228,7 @@ s AS (SELECT *, floor({CAPITAL} / (paid * (1 + {_FEE}))) AS shares FROM e)
 SELECT ticker, shares::BIGINT AS shares, {cols('paid', 'got')}, {O.r6(f'shares * (got - paid) - shares * (got + paid) * {_FEE}', 'net')}, {O.r6(f'(shares * (got - paid) - shares * (got + paid) * {_FEE}) / {CAPITAL}', 'total_return')} FROM s"""
 )
 def buy_and_hold(spark, sf):
-    rows = B.walk(spark, sf).groupBy("ticker").agg((F.min_by("open", "ts") * (1 + 5 / 1e4)).alias("paid"), (F.max_by("close", "ts") * (1 - 5 / 1e4)).alias("got"))
-    rows = rows.withColumn("shares", F.floor(CAPITAL / (F.col("paid") * (1 + 2 / 1e4))))
-    net = F.col("shares") * (F.col("got") - F.col("paid")) - F.col("shares") * (F.col("got") + F.col("paid")) * 2 / 1e4
-    return _rounded(rows.select("ticker", "shares", "paid", "got", net.alias("net"), (net / CAPITAL).alias("total_return")))
+    return _rounded(K.buy_and_hold(B.walk(spark, sf), CAPITAL))
 
 
 # --- quotes and alerts ------------------------------------------------------------------------------------
@@ -318,10 +308,8 @@ def liquidity_universe(spark, sf):
 @query(f"{SCORED} SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strategy, least(floor(10000e0 * 0.01 / (entry - stop)), floor(2000e0 / entry))::BIGINT AS shares FROM sc WHERE least(floor(10000e0 * 0.01 / (entry - stop)), floor(2000e0 / entry)) > 0")
 def order_sizing(spark, sf):
     """Shares by risk, capped by the money for one position; orders of no share are skipped."""
-    from barweave.functions.scalars import position_size
-
-    shares = F.least(position_size(F.lit(10_000.0), 0.01, F.col("entry"), F.col("stop")), F.floor(2000.0 / F.col("entry"))).cast("long")
-    return scored(spark, sf).withColumn("shares", shares).where("shares > 0").select("ticker", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "strategy", "shares")
+    rows = K.order_sizes(scored(spark, sf), 10_000.0, 0.01, 2_000.0)
+    return rows.select("ticker", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "strategy", "shares")
 
 
 @query(f"""{SCORED} SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strategy, (alignment = 0)::BIGINT + coalesce((regime IN ('bearish', 'strong_bearish', 'high_volatility'))::BIGINT, 0) + coalesce((rs_adjustment < 0)::BIGINT, 0) + coalesce((rsi14 > 75)::BIGINT, 0) + coalesce((hist_vol20 > 0.6)::BIGINT, 0) AS context_risks,

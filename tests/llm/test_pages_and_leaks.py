@@ -91,6 +91,7 @@ def test_blocks(page, blocks):
 
 def test_markup_words_do_not_delete_content():
     assert H.main_blocks('<article><h1>T</h1><div class="related-work"><p>content</p></div><section id="search"><p>On search</p></section></article>') == ["T", "content", "On search"]
+    assert H.main_blocks('<article><div class="post-header"><h1>T</h1></div><p>one</p><div id="comments">I agree</div><ul class="comment-list"><li>me too</li></ul></article>') == ["T", "one"]
     assert H.main_blocks("<article>Teaser</article><div>main story</div>") == ["Teaser", "main story"]
     assert H.main_blocks('<article><p>one</p><div class="related-posts">x</div><div data-id="ad">two</div><p style="display: none">y</p></article>') == ["one", "two"]
 

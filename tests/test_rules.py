@@ -181,6 +181,35 @@ def test_reports(spark):
     assert (good.count(), bad.count()) == (1, 1)
 
 
+def test_reports_on_charts_bars_and_symbols(spark):
+    rows = daily(spark, [(i, 1, 1, 1, 10 + i, 1) for i in range(4)])
+    features = rows.withColumns({c: F.lit(1.0) for c in ("sma20", "rsi14")})
+    assert H.chart_bundle(features, "sma20", "rsi").columns == ["ticker", "ts", "open", "high", "low", "close", "sma20", "rsi14"]
+    with pytest.raises(ValueError):
+        H.chart_bundle(features, "moon")
+    gaps = rows.withColumn("open", F.when(F.col("close") != 13, F.col("open")))
+    assert sorted(r["close"] for r in H.recent_bars(gaps, 2).collect()) == [11.0, 12.0]
+    names = spark.createDataFrame([("AB", "Zed", "x"), ("ZA", "Abel", "x"), ("AC", "q", "y")], "symbol string, name string, kind string")
+    assert [r["symbol"] for r in H.search_symbols(names, F.lit(" a ")).collect()] == ["AB", "AC", "ZA"]
+    assert [r["symbol"] for r in H.search_symbols(names, F.lit("ab"), ("x",)).collect()] == ["AB", "ZA"]
+    trades = spark.createDataFrame([("s", "A", "bullish", 1.0), ("s", "B", "bullish", -1.0)], "strategy string, ticker string, regime string, net double")
+    found = spark.createDataFrame([("s", "A", "bullish"), ("t", "A", "bearish")], "strategy string, ticker string, regime string")
+    got = {r["strategy"]: (r["regime_win_rate"], r["ticker_win_rate"], r["sufficient"]) for r in H.with_history(found, trades, least=2).collect()}
+    assert got == {"s": (0.5, 1.0, True), "t": (None, None, False)}
+    assert [r["ticker"] for r in H.scan(spark.createDataFrame([("A", dt.date(2024, 1, 2), "s", 9.0), ("B", dt.date(2024, 1, 2), "s", 5.0), ("C", dt.date(2024, 1, 1), "s", 7.0)], "ticker string, ts date, strategy string, score double"), ["b"]).collect()] == ["B"]
+
+
+def test_book_changes_and_orders(spark):
+    d = lambda n: dt.date(2024, 1, n)
+    trades = spark.createDataFrame([("a", "s", d(1), d(1), d(2)), ("b", "s", d(1), d(1), d(5)), ("c", "s", d(4), d(4), d(9)), ("e", "s", d(4), d(4), d(5)), ("f", "s", d(1), d(1), d(9))], "ticker string, strategy string, signal_ts date, entry_ts date, exit_ts date")
+    got = {r["ticker"]: r["change"] for r in K.book_changes(K.book(trades, F.lit(d(3))), K.book(trades, F.lit(d(6)))).collect()}
+    assert got == {"b": "closed", "c": "opened", "e": "opened_and_closed", "f": "still_open"}
+    found = spark.createDataFrame([("a", 100.0, 95.0), ("b", 3000.0, 2900.0)], "ticker string, entry double, stop double")
+    assert [(r["ticker"], r["shares"]) for r in K.order_sizes(found, 10_000.0, 0.01, 1_000.0).collect()] == [("a", 10)]
+    held = K.buy_and_hold(daily(spark, [(0, 10, 11, 9, 10, 1), (1, 12, 13, 11, 12, 1)]), 1000.0, 0.0, 0.0).first()
+    assert (held["shares"], held["net"], held["total_return"]) == (100, 200.0, 0.2)
+
+
 def test_sources_round_trip(spark, tmp_path):
     bars = daily(spark, [(0, 1, 2, 1, 1, 1), (1, 2, 3, 2, 2, 1), (2, 3, 3, 2, 2, 1)])
     B.write_bars(bars, str(tmp_path / "bars"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,15 +33,40 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders that the open scratches have made, the innermost last.
+_SCRATCHES: list[list[str]] = []
+
+
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again: cuts the lineage, survives
     lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", codec).parquet(path)
+    if _SCRATCHES:
+        _SCRATCHES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """What was stored last outlives its scratch."""
+    _SCRATCHES[-1].pop()
+    return df
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is stored inside is removed at the end, but for what is ``kept``."""
+    _SCRATCHES.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _SCRATCHES.pop():
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def commonest(counts: DataFrame, value: str, count: str, most: int) -> list[tuple]:
     """(value, count) of the commonest values, from distinct values with their counts: all that are at least as common
     as some power of the eighth root of two, the least one that at most ``most`` values reach. The commonest come first,

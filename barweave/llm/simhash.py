@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import commonest, id_and_text, map_texts, mix, row_key, stored, word_hashes
+from .common import commonest, id_and_text, kept, map_texts, mix, row_key, scratch, stored, word_hashes
 from .graph import connected_components
 from .repeats import gram_hashes
 
@@ -114,7 +114,7 @@ def simhash_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id",
 
 #: The near-duplicate mode: words to a shingle, the least Jaccard similarity, bits between fingerprints. A pair at
 #: 0.8 differs at some 10 bits with a deviation of 3, so this radius keeps all but a vanishing part.
-NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 23
+NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 19
 #: So many of the commonest shingles are known by their rank; it only sets the order of prefixes.
 MAX_COMMON = 50_000
 #: Bits of the map that tells most texts without candidates from those with some.
@@ -158,8 +158,9 @@ def near_duplicate_rows(docs: DataFrame, words: int = NEAR_WORDS, similarity: fl
     Texts of the same lower-cased words meet in an aggregation first. Two sets at a Jaccard similarity t share one
     of the first n - ceil(t n) + 1 shingles of each in any common order; the order puts common shingles last, so
     these prefixes share little else. Pairs with a shared prefix shingle whose fingerprints are within
-    ``radius`` are compared exactly. That goes in two steps, so that a group of m near copies makes O(m) pairs: each
-    text with a few pivots, then what shares a shingle but no component yet. A null text counts as empty; texts of any
+    ``radius`` are compared exactly. A group of m near copies makes O(m) pairs: each text is compared with the two ends
+    of its groups, in the groups that are not one component then with four more, and only what shares a shingle but no
+    component yet with each other. A null text counts as empty; texts of any
     length are taken whole; repeated rows each give a row; other columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col).withColumn("key", row_key())
@@ -177,31 +178,63 @@ def near_duplicate_rows(docs: DataFrame, words: int = NEAR_WORDS, similarity: fl
                 if n and len(values):
                     at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
                     place = np.where(values[at] == grams, places[at], 0)
-                first = np.lexsort((grams, place))[: n - math.ceil(similarity * n - 1e-9) + 1]
+                first = np.lexsort((grams, place))[: n - math.ceil(similarity * n - 1e-9) + 1]  # in the common order
                 rows.append((whole, fingerprint(grams), n, grams[first].view(np.int64)))
             return rows
 
         return one
 
-    prints = stored(map_texts(texts, "node long, fp long, n int, prefix array<bigint>", judge, keep=("doc_id", "key")))
-    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min_by("prefix", F.coalesce("doc_id", F.lit(0))).alias("prefix"))
-    rows = stored(nodes.select("node", "fp", "n", F.explode("prefix").alias("g")))
-    pivot = F.min(F.struct(F.xxhash64("node", F.col("g").bitwiseAND(F.lit(7))).alias("turn"), "node", "fp", "n"))
-    stars = rows.groupBy("g").agg(pivot.alias("x"), F.count("*").alias("m")).where("m > 1").select("g", F.col("x.node").alias("b"), F.col("x.fp").alias("b_fp"), F.col("x.n").alias("b_n"))
-    shared = stored(rows.join(stars, "g"))
-    near = f"bit_count(fp ^ b_fp) <= {radius} and least(n, b_n) >= {similarity} * greatest(n, b_n) - 1e-9"
-    links = _alike(texts, shared.where(f"node <> b and {near}"), words, similarity)
-    components = connected_components(links)
-    grouped = shared.select("g", "node", "fp", "n").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    grouped = stored(grouped)
-    split = grouped.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
-    left = stored(grouped.join(split, "g", "left_semi"))
-    right = left.select("g", F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
-    rest = left.join(right, (left["g"] == right["g"]) & (F.col("component") < F.col("b_component")) & F.expr(near))
-    links = links.unionByName(_alike(texts, rest, words, similarity))
-    components = connected_components(links)
-    labels = prints.select("doc_id", "key", "node").join(components, "node", "left")
-    return labels.select("doc_id", "key", F.coalesce("component", "node").alias("component"))
+    with scratch(spark):
+        prints = stored(map_texts(texts, "node long, fp long, n int, prefix array<bigint>", judge, keep=("doc_id", "key")))
+        nodes = stored(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min_by("prefix", F.coalesce("doc_id", F.lit(0))).alias("prefix")))
+        sizes = nodes.select("node", "fp", "n")
+        rows = nodes.select("node", F.posexplode("prefix").alias("p", "g"))
+        # Names are hashes, so the least and the largest of a group's are two of its texts at random.
+        ends = rows.groupBy("g").agg(F.min("node").alias("b"), F.max("node").alias("c")).where("b <> c")
+        held = stored(rows.join(ends, "g"))
+        first = held.select("node", F.explode(F.array("b", "c")).alias("b"))
+        links = _alike(texts, _near(first, sizes, radius, similarity), words, similarity)
+        components = connected_components(links)
+        # Once more with other texts of the groups that are not one yet.
+        split = stored(_split(held.select("g", "p", "node"), components))
+        turned = [F.col("node").bitwiseXOR(F.lit(mask)) for mask in TURNS]
+        pivots = split.groupBy("g").agg(F.array(*[f(t).bitwiseXOR(F.lit(mask)) for t, mask in zip(turned, TURNS) for f in (F.min, F.max)]).alias("b"))
+        second = split.select("g", "node").join(pivots, "g").select("node", F.explode("b").alias("b"))
+        links = links.unionByName(_alike(texts, _near(second, sizes, radius, similarity), words, similarity))
+        components = connected_components(links)
+        # What is left is compared pair by pair, where a shared shingle stands so early in both that all may agree.
+        left = stored(_split(split.select("g", "p", "node"), components).join(sizes, "node"))
+        right = left.select("g", *[F.col(c).alias(f"b_{c}") for c in ("node", "p", "fp", "n", "component")])
+        early = F.least(F.col("n") - F.col("p"), F.col("b_n") - F.col("b_p")) >= similarity / (1 + similarity) * (F.col("n") + F.col("b_n")) - 1e-9
+        rest = left.join(right, "g").where((F.col("component") < F.col("b_component")) & early & _fits("fp", "b_fp", "n", "b_n", radius, similarity))
+        links = links.unionByName(_alike(texts, rest.select("node", F.col("b_node").alias("b")), words, similarity))
+        components = connected_components(links)
+        labels = prints.select("doc_id", "key", "node").join(components, "node", "left")
+        found = stored(labels.select("doc_id", "key", F.coalesce("component", "node").alias("component")))
+        return kept(found)
+
+
+#: Orders of names, besides their own, in which the ends of a group are other texts.
+TURNS = (0x5555555555555555, 0x3333333333333333)
+
+
+def _fits(fp: str, b_fp: str, n: str, b_n: str, radius: int, similarity: float):
+    """Whether two texts may be alike by their fingerprints and sizes."""
+    return (F.bit_count(F.col(fp).bitwiseXOR(F.col(b_fp))) <= radius) & (F.least(n, b_n) >= similarity * F.greatest(n, b_n) - 1e-9)
+
+
+def _near(pairs: DataFrame, sizes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """The different pairs (node, b) that may be alike."""
+    own = pairs.where("node <> b").select(F.least("node", "b").alias("node"), F.greatest("node", "b").alias("b")).distinct()
+    other = sizes.select(F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("n").alias("b_n"))
+    return own.join(sizes, "node").join(other, "b").where(_fits("fp", "b_fp", "n", "b_n", radius, similarity)).select("node", "b")
+
+
+def _split(held: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows (g, p, node) with their component, of the groups that have more than one."""
+    known = held.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = known.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
+    return known.join(several, "g", "left_semi").select("g", "p", "node", "component")
 
 
 def near_duplicate_components(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -60,7 +60,7 @@ CLASHES = ("kept", "score", "spans", "key", "n", "component", "node", "_0", "_cl
 
 def clashing(spark, with_n_chars=True):
     long = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(4)]
-    texts = [(1, long[0]), (1, long[1]), (2, long[0]), (2, long[0]), (None, long[2]), (None, long[2]), (None, long[0]), (3, None), (4, ""), (5, " "), (6, long[3] + " mail a@b.co " + "y" * 20_000), (7, "w0x0 w0x1")]
+    texts = [(1, long[0]), (1, long[1]), (2, long[0]), (2, long[0]), (None, long[2]), (None, long[2]), (None, long[0]), (3, None), (4, ""), (5, " "), (6, long[3] + " mail a@b.co " + " ".join(f"w{j % 80}x{j}" for j in range(3000))), (7, "w0x0 w0x1")]
     rows = [(i, t, *[f"{c}{no}" if no != 3 else f"{c}2" for c in CLASHES], 0) for no, (i, t) in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES) + ", n_chars int")
     return docs if with_n_chars else docs.drop("n_chars")

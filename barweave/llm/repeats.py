@@ -21,7 +21,7 @@ BLOCK_BYTES = 4 << 20
 #: Text to a task of a shuffle.
 TASK_BYTES = 16 << 20
 #: Anchors in more blocks than this are hot: their windows are dealt out by more of their content.
-HOT_BLOCKS = 100
+HOT_BLOCKS = 250
 _CHUNK = 1 << 22
 _POSITION = np.uint64((1 << 24) - 1)
 _NO_ID = (1 << 63) - 1

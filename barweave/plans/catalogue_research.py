@@ -145,11 +145,12 @@ def cohens_d(spark, sf):
 
 
 @query(
-    f"""{_LONG}, k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rx, rank() OVER (PARTITION BY feature ORDER BY return_pct) + (count(*) OVER (PARTITION BY feature, return_pct) - 1) / 2 AS ry FROM lg)
+    f"""{_LONG}, rd AS (SELECT feature, won, round(value, 9) AS value, round(return_pct, 9) AS return_pct FROM lg), k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rx, rank() OVER (PARTITION BY feature ORDER BY return_pct) + (count(*) OVER (PARTITION BY feature, return_pct) - 1) / 2 AS ry FROM rd)
 SELECT feature, count(*) AS n, {O.r6('corr(rx, ry)', 'spearman')}, {O.r6('(sum(rx) FILTER (WHERE won) - count(*) FILTER (WHERE won) * (count(*) FILTER (WHERE won) + 1) / 2) / nullif(count(*) FILTER (WHERE won) * count(*) FILTER (WHERE NOT won), 0)', 'auc')} FROM k GROUP BY feature"""
 )
 def rank_statistics(spark, sf):
-    return _rounded(R.rank_statistics(featured(spark, sf), "return_pct", "won", FEATURES))
+    rows = featured(spark, sf).withColumns({c: F.round(c, 9) for c in (*FEATURES, "return_pct")})  # equal but for the last bit is a tie
+    return _rounded(R.rank_statistics(rows, "return_pct", "won", FEATURES))
 
 
 @query(

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import audit
 from .decontaminate import contaminated
 from .html import extract_main_text
 from .pii import find_personal_data
 from .quality import quality_verdicts
+from .quality_classifier import quality_scores
 from .secrets import scan_secrets
 from .sentencepiece_codec import sentencepiece_digest
 from .simhash import simhash_components
+from .spelling import spelling_variants
 from .suffix_array import remove_repeated_bytes
 from .suffix_tree import remove_repeated_words
 from .urls import filter_urls
@@ -62,6 +65,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
@@ -82,4 +97,4 @@ FROM p LEFT JOIN b ON b.page_id = p.page_id LEFT JOIN x ON x.page_id = p.page_id
 
 def oracle_sql() -> dict[str, str]:
     """The others cannot be said in SQL at a bearable cost; tests/llm holds each against brute force."""
-    return {"op5_url_filter": OP5_SQL}
+    return {"op5_url_filter": OP5_SQL, "op11_filter_audit": audit.SQL}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from barweave.functions.indicators import by_ticker
 
+from .crossing import block_nodes, range_extremes
+
 
 def trade_features(trades: DataFrame, features: DataFrame, *columns: str) -> DataFrame:
     """Trades with the features of their signal's bar; unmatched trades are left out."""
@@ -14,14 +16,14 @@ def trade_features(trades: DataFrame, features: DataFrame, *columns: str) -> Dat
     return trades.join(at, ["ticker", "signal_ts"])
 
 
-def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Adds how far price ran for and against each trade while it was held, in per cent of the entry. A trade
-    meets its bars by equality on their numbers, so each costs the bars it was held for."""
+def excursions(trades: DataFrame, bars: DataFrame, key: tuple[str, ...] = ("ticker", "strategy", "signal_ts")) -> DataFrame:
+    """Adds how far price ran for and against each trade while it was held, in per cent of the entry. The extremes come
+    from blocks of bars (``crossing``), so a trade costs the logarithm of the bars it was held for. ``key`` names trades."""
     numbered = bars.withColumn("rn", F.row_number().over(by_ticker())).select("ticker", "rn", "high", "low")
-    key = [c for c in trades.columns]
-    held = trades.withColumn("rn", F.explode(F.sequence("entry_rn", "exit_rn"))).join(numbered, ["ticker", "rn"])
-    out = held.groupBy(*key).agg(F.max("high").alias("_h"), F.min("low").alias("_l"))
-    return out.withColumns({"mfe_pct": (F.col("_h") / F.col("paid") - 1) * 100, "mae_pct": (F.col("_l") / F.col("paid") - 1) * 100, "mfe_r": F.expr("(_h - paid) / nullif(paid - stop, 0)")}).drop("_h", "_l")
+    held = range_extremes(trades, block_nodes(numbered), key, "entry_rn", "exit_rn")
+    out = trades.join(held.select(*key, F.col("high").alias("_h"), F.col("low").alias("_l")), [*key])
+    run_up, run_down = (F.col("_h") / F.col("paid") - 1) * 100, (F.col("_l") / F.col("paid") - 1) * 100
+    return out.withColumns({"mfe_pct": run_up, "mae_pct": run_down, "mfe_r": F.expr("(_h - paid) / nullif(paid - stop, 0)")}).drop("_h", "_l")
 
 
 def excursion_label(mfe_r: Column, never: float = 0.3, reached: float = 0.7) -> Column:

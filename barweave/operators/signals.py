@@ -12,6 +12,7 @@ from barweave.functions.scalars import check_exit, with_slippage
 from barweave.sources import bars as B
 
 from . import strategies as G
+from .crossing import block_nodes, first_crossing
 
 
 def daily_context(bars: DataFrame, indices: DataFrame, benchmark: str, sectors: DataFrame, sector) -> DataFrame:
@@ -51,29 +52,44 @@ def best_per_ticker(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def trade_outcomes(found: DataFrame, bars: DataFrame, horizon: int = 60, slippage_bps: float = 5.0) -> DataFrame:
-    """Each signal traded on its own: in at the next open, out at the first bar (from the entry's on) that
-    reaches the stop or the target, moved with the entry; else at the close of the last bar in the horizon.
+def trade_outcomes(found: DataFrame, bars: DataFrame, slippage_bps: float = 5.0) -> DataFrame:
+    """Each signal traded on its own: in at the next open, out at the first bar (from the entry's on) that reaches the
+    stop or the target, moved with the entry, however long that takes; else at the close of the ticker's last bar.
 
-    A signal meets its bars by equality on (ticker, bar number), so the join costs the horizon's bars."""
+    The exit is searched in blocks of bars (``crossing``), so a trade costs the logarithm of the bars it could be held
+    for. All joins are equalities on bar numbers."""
     numbered = bars.withColumn("rn", F.row_number().over(I.by_ticker())).select("ticker", "rn", "ts", "open", "high", "low", "close")
     first = numbered.select("ticker", F.col("rn").alias("entry_rn"), F.col("ts").alias("entry_ts"), F.col("open").alias("entry_open"))
     entered = found.withColumn("entry_rn", F.col("rn") + 1).join(first, ["ticker", "entry_rn"])
     shift = F.col("entry_open") - F.col("entry")
-    entered = entered.withColumns({"signal_ts": F.col("ts"), "stop": F.col("stop") + shift, "target": F.col("target") + shift, "paid": with_slippage(F.col("entry_open"), slippage_bps, True)})
-    key = ("ticker", "strategy", "signal_ts", "entry_ts", "entry_rn", "paid", "stop", "target", "score", "regime")
-    spread = entered.select(*key, F.explode(F.sequence(F.col("entry_rn"), F.col("entry_rn") + (horizon - 1))).alias("rn"))
-    met = spread.join(numbered, ["ticker", "rn"]).withColumn("out", check_exit(F.col("open"), F.col("high"), F.col("low"), F.col("stop"), F.col("target")))
-    by = met.groupBy(*key).agg(
-        F.min_by(F.struct("ts", "rn", "out"), F.when(F.col("out").isNotNull(), F.col("rn"))).alias("hit"), F.max_by(F.struct("ts", "rn", "close"), "rn").alias("end"), F.max(F.struct("rn", "high")).alias("_h")
+    entered = entered.withColumns(
+        {
+            "signal_ts": F.col("ts"),
+            "stop": F.col("stop") + shift,
+            "target": F.col("target") + shift,
+            "paid": with_slippage(F.col("entry_open"), slippage_bps, True),
+        }
+    )
+    trades = entered.select("ticker", "strategy", "signal_ts", "entry_ts", "entry_rn", "paid", "stop", "target", "score", "regime")
+    key = ("ticker", "strategy", "signal_ts")
+    hits = first_crossing(trades, block_nodes(numbered), key, "entry_rn", "stop", "target")
+    last = numbered.groupBy("ticker").agg(F.max("rn").alias("_last"))
+    ended = trades.join(hits, [*key], "left").join(last, "ticker").withColumn("exit_rn", F.coalesce("hit_rn", "_last")).drop("hit_rn", "_last")
+
+    at = numbered.select("ticker", F.col("rn").alias("exit_rn"), F.col("ts").alias("exit_ts"), "open", "high", "low", "close")
+    met = ended.join(at, ["ticker", "exit_rn"]).withColumn("_out", check_exit(F.col("open"), F.col("high"), F.col("low"), F.col("stop"), F.col("target")))
+    out = met.withColumns(
+        {
+            "exit_reason": F.coalesce("_out.reason", F.lit("end_of_data")),
+            "got": with_slippage(F.coalesce("_out.price", "close"), slippage_bps, False),
+        }
     )
-    hit, end = F.col("hit.out").isNotNull(), F.col("end")
-    out = by.withColumns(
+    out = out.select(*trades.columns, "exit_ts", "exit_rn", "exit_reason", "got")
+    return out.withColumns(
         {
-            "exit_ts": F.when(hit, F.col("hit.ts")).otherwise(end["ts"]),
-            "exit_rn": F.when(hit, F.col("hit.rn")).otherwise(end["rn"]),
-            "exit_reason": F.when(hit, F.col("hit.out.reason")).otherwise("end_of_data"),
-            "got": with_slippage(F.when(hit, F.col("hit.out.price")).otherwise(end["close"]), slippage_bps, False),
+            "net": F.col("got") - F.col("paid"),
+            "r_multiple": F.expr("(got - paid) / nullif(paid - stop, 0)"),
+            "return_pct": F.expr("(got - paid) / nullif(paid, 0) * 100"),
+            "bars_held": F.col("exit_rn") - F.col("entry_rn") + 1,
         }
-    ).drop("hit", "end", "_h")
-    return out.withColumns({"net": F.col("got") - F.col("paid"), "r_multiple": F.expr("(got - paid) / nullif(paid - stop, 0)"), "return_pct": F.expr("(got - paid) / nullif(paid, 0) * 100"), "bars_held": F.col("exit_rn") - F.col("entry_rn") + 1})
+    )

@@ -229,7 +229,7 @@ def outcomes_sql(scored_sql: str) -> str:
     return f"""{scored_sql}, nb AS (SELECT ticker, ts, open, high, low, close, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS n FROM bars),
 en AS (SELECT sc.ticker, strategy, sc.ts AS signal_ts, nb.ts AS entry_ts, nb.n AS entry_n, nb.open * (1 + 5e0 / 1e4) AS paid, stop + (nb.open - entry) AS stop, target + (nb.open - entry) AS target, score, regime FROM sc JOIN nb ON nb.ticker = sc.ticker AND nb.n = sc.rn + 1),
 mt AS (SELECT en.*, nb.ts, nb.n, CASE WHEN nb.low <= en.stop THEN 'stop' WHEN nb.high >= en.target THEN 'target' END AS reason, CASE WHEN nb.low <= en.stop THEN CASE WHEN nb.open < en.stop THEN nb.open ELSE en.stop END ELSE en.target END AS px, nb.close AS last_close
- FROM en JOIN nb ON nb.ticker = en.ticker AND nb.n BETWEEN en.entry_n AND en.entry_n + 59),
+ FROM en JOIN nb ON nb.ticker = en.ticker AND nb.n >= en.entry_n),
 ox AS (SELECT ticker, strategy, signal_ts, entry_ts, entry_n, paid, stop, target, score, regime, arg_min(row(ts, n, reason, px), n) FILTER (WHERE reason IS NOT NULL) AS hit, arg_max(row(ts, n, last_close), n) AS fin FROM mt GROUP BY ALL),
 oc0 AS (SELECT * EXCLUDE (hit, fin), CASE WHEN hit IS NULL THEN fin[1] ELSE hit[1] END AS exit_ts, CASE WHEN hit IS NULL THEN fin[2] ELSE hit[2] END AS exit_n, CASE WHEN hit IS NULL THEN 'end_of_data' ELSE hit[3] END AS exit_reason, CASE WHEN hit IS NULL THEN fin[3] ELSE hit[4] END * (1 - 5e0 / 1e4) AS got FROM ox),
 oc AS (SELECT *, got - paid AS net, (got - paid) / nullif(paid - stop, 0) AS r_multiple, (got - paid) / nullif(paid, 0) * 100 AS return_pct, exit_n - entry_n + 1 AS bars_held FROM oc0)"""

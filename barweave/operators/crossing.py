@@ -21,11 +21,10 @@ def block_nodes(numbered: DataFrame, fanout: int = FANOUT, levels: int = LEVELS)
     """(ticker, level, parent, parts): parts are structs (at, low, high), sorted by place, of bars (level 0) or of blocks.
     ``numbered``: ticker, rn (from 1, without gaps), low, high; nulls never cross. Each level is added up inside of
     tasks first; a node has at most ``fanout`` parts but for the topmost ones."""
-    places = F.array(*[F.struct(F.lit(n).alias("level"), F.floor((F.col("rn") - 1) / fanout**n).cast("long").alias("at")) for n in range(levels)])
+    places = node_of(F.col("rn") - 1, fanout, levels)
     spread = numbered.select("ticker", "low", "high", F.explode(places).alias("x")).select("ticker", "x.*", "low", "high")
-    parts = spread.groupBy("ticker", "level", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    placed = parts.withColumn("parent", _parent(F.col("level"), F.col("at"), fanout, levels))
-    return placed.groupBy("ticker", "level", "parent").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high"))).alias("parts"))
+    parts = spread.groupBy("ticker", "level", "parent", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return parts.groupBy("ticker", "level", "parent").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high"))).alias("parts"))
 
 
 def _ahead(start: Column, fanout: int, levels: int) -> Column:
@@ -58,7 +57,7 @@ def first_crossing(rows: DataFrame, nodes: DataFrame, key: tuple[str, ...], star
     return found.select(*key, (F.col("at") + 1).alias("hit_rn"))
 
 
-def _between(start: Column, end: Column, fanout: int, levels: int) -> Column:
+def between_nodes(start: Column, end: Column, fanout: int, levels: int) -> Column:
     """The nodes that a stretch consists of: (level, parent, since, until), at most two per level."""
     steps, a, b = [], start, end
     for level in range(levels):
@@ -69,9 +68,18 @@ def _between(start: Column, end: Column, fanout: int, levels: int) -> Column:
     return F.filter(F.array(*steps), lambda x: x.isNotNull())
 
 
+def node_of(at: Column, fanout: int = FANOUT, levels: int = LEVELS) -> Column:
+    """Where a place stands in the hierarchy: (level, parent, at), a node per level."""
+    steps = []
+    for level in range(levels):
+        here = F.floor(at / fanout**level).cast("long")
+        steps.append(F.struct(F.lit(level).alias("level"), _parent(F.lit(level), here, fanout, levels).alias("parent"), here.alias("at")))
+    return F.array(*steps)
+
+
 def range_extremes(rows: DataFrame, nodes: DataFrame, key: tuple[str, ...], start: str, end: str, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """(key..., high, low): the extremes of the bars from ``start`` to ``end``, both included, for each row."""
-    asked = rows.select(*key, F.explode(_between(F.col(start) - 1, F.col(end) - 1, fanout, levels)).alias("_x")).select(*key, "_x.*")
+    asked = rows.select(*key, F.explode(between_nodes(F.col(start) - 1, F.col(end) - 1, fanout, levels)).alias("_x")).select(*key, "_x.*")
     met = asked.join(nodes, ["ticker", "level", "parent"])
     inside = F.filter("parts", lambda p: p["at"].between(F.col("since"), F.col("until")))
     high, low = F.array_max(F.transform(inside, lambda p: p["high"])), F.array_min(F.transform(inside, lambda p: p["low"]))

@@ -8,6 +8,7 @@ from barweave.functions.scalars import r6
 from barweave.operators import reports as H
 from barweave.operators import signals as N
 from barweave.sources import bars as B
+from barweave.streaming import alerts as A
 from barweave.streaming import quotes as Z
 
 from . import oracle as O
@@ -75,25 +76,25 @@ def locked_day(spark, sf):
 
 
 #: Kinds of alerts with their thresholds.
-_KINDS = (("above", 200.0), ("below", 1.0), ("pct_above", 90.0), ("pct_below", -99.0), ("unknown", 1.0))
+_KINDS = (("price_above", 200.0), ("price_below", 1.0), ("change_pct_above", 90.0), ("change_pct_below", -99.0), ("unknown", 1.0))
 _VALUES = ", ".join(f"('{c}', {t}e0)" for c, t in _KINDS)
 
 
 @query(
     f"""WITH t AS (SELECT event_id, ts, event_type AS symbol, {_PX} AS price FROM events), cl AS (SELECT symbol, arg_max(price, row(ts, event_id)) AS close FROM t WHERE ts < TIMESTAMP '2024-01-10' GROUP BY symbol),
 x AS (SELECT t.*, (price / close - 1) * 100 AS change_pct FROM t LEFT JOIN cl ON cl.symbol = t.symbol WHERE ts >= TIMESTAMP '2024-01-10'), a(kind, threshold) AS (VALUES {_VALUES})
-SELECT symbol || '_' || kind AS alert_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS ts, round(arg_min(price, row(ts, event_id)) + 1.3e-9, 6) AS price FROM x JOIN a ON (kind = 'above' AND price >= threshold) OR (kind = 'below' AND price <= threshold)
- OR (kind = 'pct_above' AND round(change_pct, 9) >= threshold) OR (kind = 'pct_below' AND round(change_pct, 9) <= threshold) GROUP BY ALL"""
+SELECT symbol || '_' || kind AS alert_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS ts, round(arg_min(price, row(ts, event_id)) + 1.3e-9, 6) AS price FROM x JOIN a ON (kind = 'price_above' AND price >= threshold) OR (kind = 'price_below' AND price <= threshold)
+ OR (kind = 'change_pct_above' AND round(change_pct, 9) >= threshold) OR (kind = 'change_pct_below' AND round(change_pct, 9) <= threshold) GROUP BY ALL"""
 )
 def change_alerts(spark, sf):
     """Alerts of all kinds on every symbol; those on the change compare with the last price before a day."""
     rows = B.ticks(spark, sf)
     cut = F.to_timestamp(F.lit("2024-01-10"))
     closes = Z.latest_quote(rows.where(F.col("ts") < cut)).select("symbol", F.col("price").alias("close"))
-    now = Z.with_change(rows.where(F.col("ts") >= cut), closes).withColumn("change_pct", F.round("change_pct", 9))
+    now = A.with_change(rows.where(F.col("ts") >= cut), closes).withColumn("change_pct", F.round("change_pct", 9))
     kinds = F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(t).alias("threshold")) for c, t in _KINDS])
     alerts = rows.select("symbol").distinct().select("symbol", F.explode(kinds).alias("x")).select(F.concat_ws("_", "symbol", "x.condition").alias("alert_id"), "symbol", "x.*")
-    return Z.alert_hits(now, alerts).select("alert_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r6("price").alias("price"))
+    return A.alert_hits(now, alerts).select("alert_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r6("price").alias("price"))
 
 
 @query(

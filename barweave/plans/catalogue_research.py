@@ -10,6 +10,7 @@ from barweave.operators import metrics as M
 from barweave.operators import research as R
 from barweave.operators import signals as N
 from barweave.sources import bars as B
+from barweave.streaming import alerts as A
 from barweave.streaming import quotes as Z
 
 from . import oracle as O
@@ -242,25 +243,46 @@ def latest_quote(spark, sf):
     return Z.latest_quote(B.ticks(spark, sf)).select("symbol", r6("price").alias("price"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "ticks")
 
 
-_ALERTS = f"(SELECT event_type || '_' || side AS alert_id, event_type AS symbol, side, round(avg({_PX}), 6) * CASE side WHEN 'above' THEN 4e0 ELSE 0.02e0 END AS threshold FROM events, (SELECT unnest(['above', 'below']) AS side) GROUP BY event_type, side)"
+_ALERTS = f"(SELECT event_type || '_' || side AS alert_id, event_type AS symbol, side, round(avg({_PX}), 6) * CASE side WHEN 'price_above' THEN 4e0 ELSE 0.02e0 END AS threshold FROM events, (SELECT unnest(['price_above', 'price_below']) AS side) GROUP BY event_type, side)"
 
 
 @query(
-    f"""WITH a AS {_ALERTS} SELECT alert_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS ts, round(arg_min({_PX}, row(ts, event_id)) + 1.3e-9, 6) AS price FROM a JOIN events ON event_type = symbol AND CASE side WHEN 'above' THEN {_PX} >= threshold ELSE {_PX} <= threshold END GROUP BY alert_id"""
+    f"""WITH a AS {_ALERTS} SELECT alert_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS ts, round(arg_min({_PX}, row(ts, event_id)) + 1.3e-9, 6) AS price FROM a JOIN events ON event_type = symbol AND CASE side WHEN 'price_above' THEN {_PX} >= threshold ELSE {_PX} <= threshold END GROUP BY alert_id"""
 )
 def alert_hits(spark, sf):
     """Alerts at four times and a fiftieth of a symbol's mean price; each fires once, at the first tick that meets it."""
     rows = B.ticks(spark, sf)
     mean = F.round(F.avg("price"), 6)
-    levels = rows.groupBy("symbol").agg((mean * 4.0).alias("above"), (mean * 0.02).alias("below"))
-    sides = F.array(*[F.struct(F.lit(s).alias("condition"), F.col(s).alias("threshold")) for s in ("above", "below")])
+    levels = rows.groupBy("symbol").agg((mean * 4.0).alias("price_above"), (mean * 0.02).alias("price_below"))
+    sides = F.array(*[F.struct(F.lit(s).alias("condition"), F.col(s).alias("threshold")) for s in ("price_above", "price_below")])
     alerts = levels.select("symbol", F.explode(sides).alias("x")).select(F.concat_ws("_", "symbol", "x.condition").alias("alert_id"), "symbol", "x.*")
-    return Z.alert_hits(rows, alerts).select("alert_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r6("price").alias("price"))
+    return A.alert_hits(rows, alerts).select("alert_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r6("price").alias("price"))
 
 
-@query(f"WITH q AS (SELECT event_type AS symbol, {_PX} AS price, lag({_PX}) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events) SELECT symbol, count(*) AS changes FROM q WHERE before IS NULL OR price <> before GROUP BY symbol")
+_LADDER = f"""(SELECT DISTINCT event_type AS symbol, condition, round({_PX}, 1) AS threshold FROM events, (SELECT unnest(['price_above', 'price_below']) AS condition))"""
+
+
+@query(
+    f"""WITH a AS {_LADDER}, t AS (SELECT event_type AS symbol, ts, event_id, {_PX} AS price FROM events)
+SELECT a.symbol, condition, threshold, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS ts, arg_min(event_id, row(ts, event_id)) AS event_id, round(arg_min(price, row(ts, event_id)) + 1.3e-9, 6) AS price
+FROM a JOIN t ON t.symbol = a.symbol AND CASE condition WHEN 'price_above' THEN price >= threshold ELSE price <= threshold END GROUP BY a.symbol, condition, threshold"""
+)
+def alert_ladder(spark, sf):
+    """An alert above and below at every tenth that a symbol's price was near: thousands of alerts a symbol."""
+    rows = B.ticks(spark, sf)
+    kinds = F.explode(F.array(F.lit("price_above"), F.lit("price_below"))).alias("condition")
+    alerts = rows.select("symbol", F.round("price", 1).alias("threshold"), kinds).distinct()
+    hits = A.first_hits(rows, alerts.withColumn("alert_id", F.concat_ws("_", "symbol", "condition", "threshold")))
+    return hits.select("symbol", "condition", "threshold", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event_id", r6("price").alias("price"))
+
+
+@query(
+    f"""WITH q AS (SELECT event_type AS symbol, ts, event_id, {_PX} AS price, lag({_PX}) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events)
+SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_id, round(price + 1.3e-9, 6) AS price FROM q WHERE before IS NULL OR price <> before"""
+)
 def quote_changes(spark, sf):
-    return Z.changes(B.ticks(spark, sf)).groupBy("symbol").agg(F.count("*").alias("changes"))
+    """The ticks that change a symbol's price."""
+    return Z.changes(B.ticks(spark, sf)).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event_id", r6("price").alias("price"))
 
 
 _NYT = "timezone('America/New_York', timezone('UTC', ts))"

@@ -1,10 +1,10 @@
-"""Quotes, alerts and live bars: batch forms, and the same as streams."""
+"""Quotes, their changes and live bars: batch forms, and the same as streams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barweave.schema import TICKS
@@ -24,45 +24,6 @@ def with_stale(fresh: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("symbol", F.coalesce("_p", "price").alias("price"), F.coalesce("_t", "ts").alias("ts"), F.col("_t").isNull().alias("stale"))
 
 
-def with_change(ticks: DataFrame, closes: DataFrame) -> DataFrame:
-    """Ticks with ``change_pct`` against the last close (symbol, close); null without one."""
-    rows = ticks.join(closes.select("symbol", F.col("close").alias("_c")), "symbol", "left")
-    return rows.withColumn("change_pct", F.try_divide(F.col("price") - F.col("_c"), F.col("_c")) * 100).drop("_c")
-
-
-def condition_met(alert: str = "condition", price: str = "price", threshold: str = "threshold", change: str = "change_pct") -> Column:
-    """``above``/``below`` on the price, ``pct_above``/``pct_below`` on the day's change in per cent; a null and a
-    condition that is none of these never fire."""
-    c, p, t, x = F.col(alert), F.col(price), F.col(threshold), F.col(change)
-    met = F.when(c == "above", p >= t).when(c == "below", p <= t).when(c == "pct_above", x >= t).when(c == "pct_below", x <= t)
-    return F.coalesce(met, F.lit(False))
-
-
-def _known_change(ticks: DataFrame) -> DataFrame:
-    return ticks if "change_pct" in ticks.columns else ticks.withColumn("change_pct", F.lit(None).cast("double"))
-
-
-def alert_hits(ticks: DataFrame, alerts: DataFrame) -> DataFrame:
-    """(alert_id, ts, price): the first tick that meets each alert. Alerts on the change read ``change_pct``."""
-    met = _known_change(ticks).join(alerts, "symbol").where(condition_met())
-    return met.groupBy("alert_id").agg(F.min("ts").alias("ts"), F.min_by("price", F.struct("ts", "event_id")).alias("price"))
-
-
-def alert_error(condition: Column, threshold: Column, price: Column) -> Column:
-    """Why an alert cannot be set, or null."""
-    on_price, on_change = condition.isin("above", "below"), condition.isin("pct_above", "pct_below")
-    return (
-        F.when(~(on_price | on_change) | condition.isNull(), "Unknown kind of alert")
-        .when(threshold.isNull() | F.isnan(threshold) | (F.abs(threshold) == float("inf")), "Threshold is no number")
-        .when(on_price & (threshold <= 0), "A price threshold must lie above 0")
-        .when((condition == "above") & (threshold <= price), "The price is there already")
-        .when((condition == "below") & (threshold >= price), "The price is there already")
-        .when(on_change & ((threshold == 0) | (F.abs(threshold) > 100)), "A change must differ from 0 and lie within 100 %")
-        .when((condition == "pct_above") & (threshold < 0), "A rise needs a positive change")
-        .when((condition == "pct_below") & (threshold > 0), "A fall needs a negative change")
-    )
-
-
 def changes(ticks: DataFrame, bucket: str = "day") -> DataFrame:
     """Ticks whose price is not that of the tick before of the same symbol.
 
@@ -104,36 +65,18 @@ def live_changes(ticks: DataFrame) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+        times = rows["ts"].astype("int64")
         seen, price = state.get if state.exists else (None, None)
-        out = []
-        for r in rows.itertuples(index=False):
-            at = r.ts.value
-            if (seen is None or at >= seen) and r.price != price:
-                out.append((key[0], r.ts, r.price))
-                price = r.price
-            seen = at if seen is None else max(seen, at)
-        state.update((seen, price))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "price"])
-
-    return ticks.groupBy("symbol").applyInPandasWithState(run, "symbol string, ts timestamp, price double", "seen long, price double", "append", GroupStateTimeout.NoTimeout)
-
-
-def live_alerts(ticks: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Alerts joined to the stream; each fires once, then its state stays triggered."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    met = _known_change(ticks).join(alerts, "symbol").where(condition_met())
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        if state.exists or rows.empty:
-            return
-        state.update((True,))
-        first = rows.iloc[0]
-        yield pd.DataFrame([(key[0], first["ts"], first["price"])], columns=["alert_id", "ts", "price"])
-
-    return met.groupBy("alert_id").applyInPandasWithState(run, "alert_id string, ts timestamp, price double", "done boolean", "append", GroupStateTimeout.NoTimeout)
+        on_time = rows if seen is None else rows[times >= seen]
+        before = on_time["price"].shift(fill_value=float("nan") if price is None else price)
+        if len(on_time):
+            price = float(on_time["price"].iloc[-1])
+        newest = int(times.max())
+        state.update((newest if seen is None else max(seen, newest), price))
+        yield on_time.loc[on_time["price"] != before, ["symbol", "ts", "price"]]
+
+    out, held = "symbol string, ts timestamp, price double", "seen long, price double"
+    return ticks.groupBy("symbol").applyInPandasWithState(run, out, held, "append", GroupStateTimeout.NoTimeout)
 
 
 def new_signals(signals: DataFrame, remember: str = "1 day") -> DataFrame:

@@ -1,5 +1,5 @@
-"""Indicators. Plain windows are Column expressions over (ticker, ts); the recursive ones share one pass per
-ticker. All are causal: row i holds what the series up to i gives."""
+"""Indicators. Plain windows are Column expressions over (ticker, ts), the recursive ones scans over blocks of bars
+(``scans``). All are causal: row i holds what the series up to i gives."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .scalars import div
 
 
@@ -82,111 +83,85 @@ def add_windows(bars: DataFrame) -> DataFrame:
 # --- recursive indicators ---------------------------------------------------------------------------------
 
 
-def smoothed(x: np.ndarray, n: int, decay: float, gain: float, first: int = 0) -> np.ndarray:
-    """y[i] = gain * x[i] + decay * y[i - 1] from the mean of x[first:first + n] on; null before."""
-    out = np.full(len(x), np.nan)
-    at = first + n - 1
-    if at >= len(x):
-        return out
-    y = sum(x[first : at + 1].tolist()) / n
-    out[at] = y
-    for i, v in enumerate(x[at + 1 :].tolist(), at + 1):
-        y = v * gain + y * decay
-        out[i] = y
-    return out
+RECURSIVE = ("ema9", "ema12", "ema21", "ema26", "ema50", "rsi9", "rsi14", "macd", "macd_signal", "macd_hist", "atr14", "plus_di", "minus_di", "adx14")
 
 
-def ema(x: np.ndarray, n: int, first: int = 0) -> np.ndarray:
-    k = 2 / (n + 1)
-    return smoothed(x, n, 1 - k, k, first)
+def _with_moves(bars: DataFrame) -> DataFrame:
+    """Numbered bars with what the recursive indicators read; a ticker's first bar has no bar before it."""
+    rows = scans.number_bars(bars.drop("rn"), ("close", "high", "low"))
+    rows = rows.selectExpr("*", "close - _before_close AS _move", "high - _before_high AS _up", "_before_low - low AS _down")
+    moves = (
+        "coalesce(greatest(_move, 0D), 0D) AS _gain",
+        "coalesce(greatest(-_move, 0D), 0D) AS _loss",
+        "CASE WHEN _before_close IS NULL THEN high - low ELSE greatest(high - low, abs(high - _before_close), abs(low - _before_close)) END AS _range",
+        "CASE WHEN _up > _down AND _up > 0 THEN _up ELSE 0D END AS _plus",
+        "CASE WHEN _down > _up AND _down > 0 THEN _down ELSE 0D END AS _minus",
+        "signum(_move) * volume AS _flow",
+    )
+    return rows.selectExpr(*[f"`{c}`" for c in bars.columns if c != "rn"], "rn", *moves)
 
 
-def wilder_mean(x: np.ndarray, n: int, first: int = 0) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    at = first + n - 1
-    if at >= len(x):
-        return out
-    y = sum(x[first : at + 1].tolist()) / n
-    out[at] = y
-    for i, v in enumerate(x[at + 1 :].tolist(), at + 1):
-        y = (y * (n - 1) + v) / n
-        out[i] = y
-    return out
+def _scans() -> dict[str, scans.Scan]:
+    out = {f"ema{n}": scans.ema("close", n) for n in (9, 12, 21, 26, 50)}
+    out |= {f"_{side}{n}": scans.wilder_mean(f"_{side}", n, n + 1) for n in (9, 14) for side in ("gain", "loss")}
+    out |= {"atr14": scans.wilder_mean("_range", 14, 14)}
+    return out | {f"{c}_sum": scans.wilder_sum(c, 14, 15) for c in ("_range", "_plus", "_minus")}
 
 
-def wilder_sum(x: np.ndarray, n: int, first: int = 1) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    at = first + n - 1
-    if at >= len(x):
-        return out
-    y = sum(x[first : at + 1].tolist())
-    out[at] = y
-    for i, v in enumerate(x[at + 1 :].tolist(), at + 1):
-        y = y - y / n + v
-        out[i] = y
-    return out
+def _rsi(n: int) -> str:
+    gain, loss = f"_gain{n}", f"_loss{n}"
+    return f"CASE WHEN {loss} = 0 THEN CASE WHEN {gain} = 0 THEN 50D ELSE 100D END ELSE 100 - 100 / (1 + try_divide({gain}, {loss})) END AS rsi{n}"
 
 
-def _ratio(a: np.ndarray, b: np.ndarray, empty: float) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(b == 0, empty, a / b)
+def _ratio(a: str, b: str) -> str:
+    """In per cent, 0 where b is 0."""
+    return f"CASE WHEN {b} = 0 THEN 0D ELSE try_divide({a}, {b}) END * 100"
 
 
-def rsi_of(close: np.ndarray, n: int = 14) -> np.ndarray:
-    change = np.diff(close, prepend=close[:1])
-    gain, loss = wilder_mean(np.where(change > 0, change, 0.0), n, 1), wilder_mean(np.where(change < 0, -change, 0.0), n, 1)
-    return np.where(loss == 0, np.where(gain == 0, 50.0, 100.0), 100 - 100 / (1 + _ratio(gain, loss, 0.0)))
+def _recursive_in_block(rows: DataFrame, block: int, halo: int) -> DataFrame:
+    """The recursive indicators from the scans; those over other indicators forget within the halo."""
+    lines = [f"{_ratio(f'_{side}_sum', '_range_sum')} AS {side}_di" for side in ("plus", "minus")]
+    out = rows.selectExpr("*", _rsi(9), _rsi(14), "ema12 - ema26 AS macd", *lines)
+    out = out.selectExpr("*", f"{_ratio('abs(plus_di - minus_di)', '(plus_di + minus_di)')} AS _dx")
+    second = {"macd_signal": scans.ema("macd", 9, 34), "adx14": scans.wilder_mean("_dx", 14, 28)}
+    return scans.scan_in_block(out, second, block, halo).selectExpr("*", "macd - macd_signal AS macd_hist")
 
 
-RECURSIVE = ("ema9", "ema12", "ema21", "ema26", "ema50", "rsi9", "rsi14", "macd", "macd_signal", "macd_hist", "atr14", "plus_di", "minus_di", "adx14")
+def _as_of_each_bar(rows: DataFrame) -> DataFrame:
+    """Nulls what a series that ends at the row would not have yet."""
+    late = {c: F.when(F.col("rn") >= 29, F.col(c)) for c in ("plus_di", "minus_di", "adx14")}
+    return rows.withColumns(late | {"atr14": F.when(F.col("rn") >= 15, F.col("atr14"))})
+
+
+def _whole_series(rows: DataFrame, bars: DataFrame) -> DataFrame:
+    """Nulls what a series is too short for."""
+    length = bars.groupBy("ticker").agg(F.count("*").alias("_length"))
+    out = rows.join(length, "ticker")
+    short = {c: F.when(F.col("_length") >= 29, F.col(c)) for c in ("plus_di", "minus_di", "adx14")}
+    return out.withColumns(short | {"atr14": F.when(F.col("_length") >= 15, F.col("atr14"))}).drop("_length")
+
+
+def add_recursive(bars: DataFrame, point_in_time: bool = False, block: int = scans.BLOCK, halo: int = scans.HALO) -> DataFrame:
+    """Adds the recursive indicators, by scans over blocks of bars. ``point_in_time`` nulls what a series that ends at the
+    row would not have yet. Bars have prices; (ticker, ts) is unique."""
+    out = scans.in_blocks(_with_moves(bars), lambda rows: _recursive_in_block(rows, block, halo), _scans(), block, halo)
+    out = _as_of_each_bar(out) if point_in_time else _whole_series(out, bars)
+    return out.select(*bars.columns, *RECURSIVE)
+
+
+def features_daily(bars: DataFrame, point_in_time: bool = True, block: int = scans.BLOCK, halo: int = scans.HALO) -> DataFrame:
+    """The whole daily snapshot of each bar, in one pass over blocks of bars."""
 
+    def make(rows: DataFrame) -> DataFrame:
+        recursive = _recursive_in_block(rows, block, halo)
+        # Inside of a block, numbers begin anew and running sums lack what came before.
+        wide = add_windows(recursive.withColumn("_rn", F.col("rn"))).drop("rn", "obv")
+        return wide.withColumnsRenamed({"_rn": "rn", "_obv": "obv"})
 
-def _recursive(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> dict[str, np.ndarray]:
-    n = len(close)
-    out = {f"ema{k}": ema(close, k) for k in (9, 12, 21, 26, 50)}
-    out |= {"rsi9": rsi_of(close, 9), "rsi14": rsi_of(close)}
-    out["macd"] = out["ema12"] - out["ema26"]
-    out["macd_signal"] = ema(out["macd"], 9, 25)
-    out["macd_hist"] = out["macd"] - out["macd_signal"]
-    before = np.concatenate([close[:1], close[:-1]])
-    true_range = np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before)))
-    true_range[:1] = high[:1] - low[:1]
-    out["atr14"] = wilder_mean(true_range, 14) if n >= 15 else np.full(n, np.nan)
-    up, down = np.diff(high, prepend=high[:1]), -np.diff(low, prepend=low[:1])
-    plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-    total = wilder_sum(true_range, 14)
-    out["plus_di"] = _ratio(wilder_sum(plus, 14), total, 0.0) * 100
-    out["minus_di"] = _ratio(wilder_sum(minus, 14), total, 0.0) * 100
-    dx = _ratio(np.abs(out["plus_di"] - out["minus_di"]), out["plus_di"] + out["minus_di"], 0.0) * 100
-    out["adx14"] = wilder_mean(dx, 14, 14)
-    if n < 29:
-        out |= {k: np.full(n, np.nan) for k in ("plus_di", "minus_di", "adx14")}
-    return out
-
-
-def add_recursive(bars: DataFrame, point_in_time: bool = False) -> DataFrame:
-    """Adds the recursive indicators, all in one pass over each ticker's sorted bars. ``point_in_time`` nulls
-    what a series that ends at the row would not have yet."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*bars.schema.fields, *[T.StructField(c, T.DoubleType()) for c in RECURSIVE]])
-
-    def run(pdf):
-        pdf = pdf.sort_values("ts", kind="stable")
-        found = _recursive(*(pdf[c].to_numpy(dtype=float) for c in ("high", "low", "close")))
-        return pdf.assign(**found)
-
-    out = bars.groupBy("ticker").applyInPandas(run, schema)
-    out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in RECURSIVE})
-    if point_in_time:
-        n = F.row_number().over(by_ticker())
-        out = out.withColumns({c: F.when(n >= 29, F.col(c)) for c in ("plus_di", "minus_di", "adx14")} | {"atr14": F.when(n >= 15, F.col("atr14"))})
-    return out
-
-
-def features_daily(bars: DataFrame, point_in_time: bool = True) -> DataFrame:
-    """The whole daily snapshot of each bar."""
-    return add_windows(add_recursive(bars, point_in_time))
+    wanted = _scans() | {"_obv": scans.running_sum("_flow")}
+    out = scans.in_blocks(_with_moves(bars), make, wanted, block, halo)
+    out = _as_of_each_bar(out) if point_in_time else _whole_series(out, bars)
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def session_vwap(bars: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def test_ema_seed_and_step(spark):
     closes = [1, 2, 3, 4, 5, 6, 7, 8, 9, 20]
     got = column(I.add_recursive(series(spark, closes)), "ema9")
     assert got[:8] == [None] * 8
-    assert got[8] == 5.0
+    assert got[8] == pytest.approx(5.0, rel=1e-12)
     assert got[9] == pytest.approx(20 * 0.2 + 5 * 0.8)
 
 
@@ -79,3 +79,74 @@ def test_swings_need_full_frames(spark):
     found = S.add_swings(series(spark, highs))
     assert [i for i, x in enumerate(column(found, "swing_high")) if x is not None] == [3]
     assert [i for i, x in enumerate(column(found, "last_sh")) if x is not None][0] == 6
+
+
+def _smoothed(x, n, first, keep, gain, seed):
+    """keep * y + gain * x from the seed on, bar by bar."""
+    out, at = [None] * len(x), first + n - 1
+    for i in range(at, len(x)):
+        out[i] = sum(x[first : at + 1]) * seed if i == at else out[i - 1] * keep + x[i] * gain
+    return out
+
+
+def _by_loops(high, low, close):
+    n = len(close)
+    ema = lambda x, k, first=0: _smoothed(x, k, first, 1 - 2 / (k + 1), 2 / (k + 1), 1 / k)
+    mean = lambda x, k, first: _smoothed(x, k, first, (k - 1) / k, 1 / k, 1 / k)
+    total = lambda x: _smoothed(x, 14, 1, 1 - 1 / 14, 1.0, 1.0)
+    out = {f"ema{k}": ema(close, k) for k in (9, 12, 21, 26, 50)}
+    move = [0.0] + [close[i] - close[i - 1] for i in range(1, n)]
+    for k in (9, 14):
+        gain, loss = mean([max(x, 0.0) for x in move], k, 1), mean([max(-x, 0.0) for x in move], k, 1)
+        out[f"rsi{k}"] = [None if g is None else (50.0 if g == 0 else 100.0) if lo == 0 else 100 - 100 / (1 + g / lo) for g, lo in zip(gain, loss)]
+    out["macd"] = [None if b is None else a - b for a, b in zip(out["ema12"], out["ema26"])]
+    out["macd_signal"] = ema(out["macd"], 9, 25)
+    out["macd_hist"] = [None if b is None else a - b for a, b in zip(out["macd"], out["macd_signal"])]
+    reach = [high[0] - low[0]] + [max(high[i] - low[i], abs(high[i] - close[i - 1]), abs(low[i] - close[i - 1])) for i in range(1, n)]
+    up, down = [0.0] + [high[i] - high[i - 1] for i in range(1, n)], [0.0] + [low[i - 1] - low[i] for i in range(1, n)]
+    out["atr14"] = mean(reach, 14, 0)
+    sums = [total(x) for x in (reach, [u if u > d and u > 0 else 0.0 for u, d in zip(up, down)], [d if d > u and d > 0 else 0.0 for u, d in zip(up, down)])]
+    out["plus_di"], out["minus_di"] = ([None if t is None else 0.0 if t == 0 else x / t * 100 for x, t in zip(side, sums[0])] for side in sums[1:])
+    dx = [None if p is None else 0.0 if p + m == 0 else abs(p - m) / (p + m) * 100 for p, m in zip(out["plus_di"], out["minus_di"])]
+    out["adx14"] = mean(dx, 14, 14)
+    return out
+
+
+@pytest.mark.parametrize("block, halo", [(600, 512), (570, 512), (2048, 512)])
+def test_scans_over_blocks_equal_loops(spark, block, halo):
+    """Walks with flat stretches that are longer than a block, cut into many blocks."""
+    rng = np.random.default_rng(3)
+    steps = rng.normal(0, 1, 1700)
+    steps[500:1200] = 0.0
+    close = np.round(200 + np.cumsum(steps), 2)
+    high, low = close + rng.uniform(0, 1, 1700).round(2), close - rng.uniform(0, 1, 1700).round(2)
+    high[500:1200], low[500:1200] = close[500:1200], close[500:1200]
+    day = [dt.date(2019, 1, 1) + dt.timedelta(days=int(i)) for i in range(1700)]
+    rows = [("A", d, float(c), float(h), float(lo), float(c), 10.0) for d, c, h, lo in zip(day, close, high, low)]
+    rows += [("B", *r[1:]) for r in rows[:40]]
+    bars = spark.createDataFrame(rows, "ticker string, ts date, open double, high double, low double, close double, volume double")
+    got = I.add_recursive(bars, block=block, halo=halo).orderBy("ticker", "ts").toPandas()
+    for ticker, n in (("A", 1700), ("B", 40)):
+        want = _by_loops(*([float(x) for x in xs[:n]] for xs in (high, low, close)))
+        for name in I.RECURSIVE:
+            np.testing.assert_allclose(got.loc[got["ticker"] == ticker, name].astype(float), np.array(want[name], dtype=float), rtol=1e-9, atol=1e-9, err_msg=f"{ticker} {name}")
+
+
+def test_features_in_blocks_equal_one_block(spark):
+    rng = np.random.default_rng(4)
+    bars = series(spark, 100 + np.cumsum(rng.normal(0, 1, 1300)))
+    wide = lambda block: I.features_daily(bars, block=block).orderBy("ts").toPandas()
+    cut, whole = wide(600), wide(2048)
+    assert cut["rn"].tolist() == list(range(1, 1301)) and set(cut.columns) == set(whole.columns)
+    pd.testing.assert_frame_equal(cut[whole.columns], whole, rtol=1e-9, atol=1e-9)
+
+
+def test_one_ticker_spreads_over_blocks_without_python(spark):
+    from barweave.functions import scans
+
+    bars = spark.range(20000).select(F.lit("A").alias("ticker"), F.date_add(F.lit("1960-01-01").cast("date"), F.col("id").cast("int")).alias("ts"), *[(100 + F.col("id") % 17).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    out = I.add_recursive(bars)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    sizes = scans.in_blocks(scans.number_bars(bars), lambda rows: rows.withColumn("b", F.col("ticker.block")), {}).groupBy("b").count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) == scans.BLOCK

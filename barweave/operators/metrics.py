@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barweave.functions.ordered import with_number
 from barweave.functions.scalars import clamp
 
 
@@ -68,14 +69,28 @@ def equity_metrics(equity: DataFrame, by: str, capital: float, periods: int = 25
     )
 
 
-def streaks(trades: DataFrame, by: str, order: tuple[str, ...], net: str = "net") -> DataFrame:
-    """Longest runs of wins and of losses in order; a break-even trade ends both."""
-    w = Window.partitionBy(by).orderBy(*order)
-    rows = trades.withColumn("sign", F.signum(net)).withColumn("n", F.row_number().over(w))
-    rows = rows.withColumn("island", F.col("n") - F.row_number().over(Window.partitionBy(by, "sign").orderBy(*order)))
-    runs = rows.groupBy(by, "sign", "island").agg(F.count("*").alias("size"))
+def streaks(trades: DataFrame, by: str, order: tuple[str, ...], net: str = "net", size: int = 4096) -> DataFrame:
+    """Longest runs of wins and of losses in order; a break-even trade ends both.
+
+    Runs are found inside buckets of ``size`` trades. Those within a bucket are whole; its first and its last one may go on
+    in the buckets beside it, so these, two rows a bucket, are put together in order."""
+    rows = with_number(trades.select(by, net, *dict.fromkeys(c for c in order if c not in (by, net))), (by,), order, "_number", "_total")
+    rows = rows.select(by, F.signum(net).alias("sign"), F.col("_number").alias("n"), F.floor((F.col("_number") - 1) / size).alias("bucket"))
+    inside = Window.partitionBy(by, "bucket").orderBy("n")
+    island = F.col("n") - F.row_number().over(Window.partitionBy(by, "bucket", "sign").orderBy("n"))
+    runs = rows.withColumn("island", island).groupBy(by, "bucket", "sign", "island").agg(F.count("*").alias("size"), F.min("n").alias("n"))
+    last = F.lead("n").over(inside).isNull()
+    runs = runs.withColumns({"first": F.lag("n").over(inside).isNull(), "last": last})
+
+    # A last run follows its bucket's first one only after others; a run that is both goes on with the run before it.
+    ordered = Window.partitionBy(by).orderBy("n")
+    ends = runs.where(F.col("first") | F.col("last"))
+    begins = ~F.col("first") | F.coalesce(F.col("sign") != F.lag("sign").over(ordered), F.lit(True))
+    chains = ends.withColumn("begins", begins.cast("int")).withColumn("chain", F.sum("begins").over(ordered))
+    whole = chains.groupBy(by, "chain", "sign").agg(F.sum("size").alias("size")).select(by, "sign", "size")
+    found = whole.unionByName(runs.where(~F.col("first") & ~F.col("last")).select(by, "sign", "size"))
     longest = lambda s: F.coalesce(F.max(F.when(F.col("sign") == s, F.col("size"))), F.lit(0))
-    return runs.groupBy(by).agg(longest(1).alias("longest_wins"), longest(-1).alias("longest_losses"))
+    return found.groupBy(by).agg(longest(1).alias("longest_wins"), longest(-1).alias("longest_losses"))
 
 
 def concentration(trades: DataFrame, by: str, net: str = "net") -> DataFrame:

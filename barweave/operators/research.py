@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.functions.indicators import by_ticker
+from barweave.functions.ordered import ntile, with_average_rank, with_number
 
 from .crossing import block_nodes, range_extremes
 
@@ -54,17 +55,11 @@ def compare_groups(rows: DataFrame, flag: str, features: tuple[str, ...], by: tu
     return out.withColumn("effect", label)
 
 
-def average_rank(by: tuple[str, ...], value: str) -> Column:
-    """1-based ranks, ties sharing their mean."""
-    order, ties = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
-    return F.rank().over(order) + (F.count("*").over(ties) - 1) / 2
-
-
 def rank_statistics(rows: DataFrame, outcome: str, flag: str, features: tuple[str, ...]) -> DataFrame:
     """Per feature: Spearman's correlation with the outcome (null under three rows or without variance) and the
     area under the ROC curve for the flag (null with one class)."""
     long = unpivot(rows, (outcome, flag), features).where(F.col(outcome).isNotNull())
-    ranked = long.withColumns({"rx": average_rank(("feature",), "value"), "ry": average_rank(("feature",), outcome)})
+    ranked = with_average_rank(with_average_rank(long, ("feature",), "value", "rx"), ("feature",), outcome, "ry")
     n1 = F.count(F.when(F.col(flag), 1)).cast("double")
     n0 = F.count(F.when(~F.col(flag), 1)).cast("double")
     auc = (F.sum(F.when(F.col(flag), F.col("rx"))) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0))
@@ -82,15 +77,14 @@ def by_distance_from_half(stats: DataFrame) -> DataFrame:
 
 def ceil_deciles(rows: DataFrame, by: tuple[str, ...], value: str, order: tuple[str, ...], k: int = 10) -> DataFrame:
     """Adds ``decile``: buckets of ceil(n / k) rows, the last ones short or absent."""
-    w, whole = Window.partitionBy(*by).orderBy(value, *order), Window.partitionBy(*by)
-    size = F.ceil(F.count("*").over(whole) / k)
-    return rows.withColumn("decile", (F.floor((F.row_number().over(w) - 1) / size) + 1).cast("long"))
+    out = with_number(rows, by, (value, *order), "_number", "_total")
+    size = F.ceil(F.col("_total") / k)
+    return out.withColumn("decile", (F.floor((F.col("_number") - 1) / size) + 1).cast("long")).drop("_number", "_total")
 
 
 def score_deciles(trades: DataFrame, by: str, score: str, order: tuple[str, ...], net: str = "net") -> DataFrame:
     """Ten buckets of near-equal size, the first ones larger by one; empty ones are listed too."""
-    w = Window.partitionBy(by).orderBy(score, *order)
-    rows = trades.withColumn("decile", F.ntile(10).over(w))
+    rows = with_number(trades, (by,), (score, *order), "_number", "_total").withColumn("decile", ntile(F.col("_number"), F.col("_total"), 10))
     found = rows.groupBy(by, "decile").agg(F.count("*").alias("n"), F.avg((F.col(net) > 0).cast("double")).alias("win_rate"), F.avg(net).alias("mean"))
     every = trades.select(by).distinct().select(by, F.explode(F.sequence(F.lit(1), F.lit(10))).alias("decile"))
     return every.join(found, [by, "decile"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -113,8 +107,8 @@ def thresholds(trades: DataFrame, by: str, score: str, levels: tuple[float, ...]
 
 def temporal_split(trades: DataFrame, by: str, order: tuple[str, ...]) -> DataFrame:
     """Adds ``half``: 1 for the earlier half by order, else 2."""
-    w, whole = Window.partitionBy(by).orderBy(*order), Window.partitionBy(by)
-    return trades.withColumn("half", F.when(F.row_number().over(w) <= F.floor(F.count("*").over(whole) / 2), 1).otherwise(2))
+    rows = with_number(trades, (by,), order, "_number", "_total")
+    return rows.withColumn("half", F.when(F.col("_number") <= F.floor(F.col("_total") / 2), 1).otherwise(2)).drop("_number", "_total")
 
 
 def win_rate_by_category(trades: DataFrame, category: Column, net: str = "net", least: int = 10) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from barweave.schema import BARS
 
+from .store import newest
+
 #: Keeps products of few digits off the ties of rounding.
 TIE = 3e-8
 
@@ -135,7 +137,8 @@ def merge_pages(pages: list[DataFrame], start: str, end: str) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str, tickers: list[str] | None = None, start: str | None = None, end: str | None = None, max_age_hours: float | None = None) -> DataFrame:
-    """A stored bar table. Filters reach the scan; ``max_age_hours`` drops what was written earlier."""
+    """A stored bar table; of bars that were written twice the later one counts. Filters on tickers and days reach the
+    scan; ``max_age_hours`` drops what was written earlier."""
     rows = spark.read.parquet(path)
     if tickers:
         rows = rows.where(F.col("ticker").isin(tickers))
@@ -143,14 +146,17 @@ def read_bars(spark: SparkSession, path: str, tickers: list[str] | None = None,
         rows = rows.where(F.col("ts") >= F.to_date(F.lit(start)))
     if end:
         rows = rows.where(F.col("ts") <= F.to_date(F.lit(end)))
+    if "cached_at" in rows.columns:
+        rows = newest(rows)
     if max_age_hours is not None and "cached_at" in rows.columns:
         rows = rows.where(F.col("cached_at") >= F.current_timestamp() - F.make_interval(hours=F.lit(int(max_age_hours))))
     return rows
 
 
 def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
-    """Bars as Parquet, sorted inside files by ticker and time so that row groups prune by both."""
-    bars.withColumn("cached_at", F.current_timestamp()).repartition("ticker").sortWithinPartitions("ticker", "ts").write.mode(mode).parquet(path)
+    """Bars as Parquet, a file for some years of a ticker, sorted by both so that row groups prune."""
+    spread = ("ticker", F.date_trunc("year", "ts"))
+    bars.withColumn("cached_at", F.current_timestamp()).repartition(*spread).sortWithinPartitions("ticker", "ts").write.mode(mode).parquet(path)
 
 
 def read_json_cache(spark: SparkSession, path: str) -> DataFrame:

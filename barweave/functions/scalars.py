@@ -94,3 +94,30 @@ def format_compact(x: Column) -> Column:
     for limit, mark in ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T")):
         out = F.when(a >= limit, F.concat(F.format_number(x / limit, 2), F.lit(mark))).otherwise(out)
     return out
+
+
+#: White space, as the patterns below understand it.
+_S = r"[\s\u000B   -     　﻿]"
+#: Names of fields as prose repeats them, and what is left where they are taken out; in this order.
+_FIELD_NAME = r"[a-z]+[A-Z][A-Za-z0-9]*(?:\.[A-Za-z0-9]+)*"
+_NOISE = (
+    (rf"(?:,{_S}*)?\b{_FIELD_NAME}:{_S}*[^,;)]+(?=[,;)])", ""),
+    (rf"\({_S}*(?:(?:per{_S}+)?{_FIELD_NAME}{_S}*(?:,|and)?{_S}*)+\)", ""),
+    (rf"\({_S}*[,;]{_S}*", "("),
+    (rf"{_S}*\({_S}*\)", ""),
+)
+_SPACING = ((r"[ \t]{2,}", " "), (rf"{_S}+([.,;:])", "$1"), (rf"^{_S}+|{_S}+$", ""))
+
+
+def clean_prose(text: Column) -> Column:
+    """Prose without the field names that were repeated in it: ``name: value`` pairs and bracketed lists of names go, names
+    in snake case become words, and the spacing is mended."""
+    for pattern, into in _NOISE:
+        text = F.regexp_replace(text, pattern, into)
+    # A name in snake case is a whole run of word characters.
+    runs = F.regexp_extract_all(text, F.lit(r"\w+|\W+"), F.lit(0))
+    words = F.transform(runs, lambda run: F.when(run.rlike(r"^[a-z]+(_[a-z0-9]+)+$"), F.replace(run, F.lit("_"), F.lit(" "))).otherwise(run))
+    text = F.array_join(words, "")
+    for pattern, into in _SPACING:
+        text = F.regexp_replace(text, pattern, into)
+    return text

@@ -92,7 +92,8 @@ def search_symbols(instruments: DataFrame, text: Column, kinds: tuple[str, ...]
 
 def with_history(found: DataFrame, trades: DataFrame, least: int = 20) -> DataFrame:
     """Signals with how their strategy's trades went in the same regime and on the same ticker; ``sufficient`` where the
-    strategy has ``least`` trades. What has no history stays, with nulls."""
+    strategy has ``least`` trades. What has no history stays, with nulls. All trades count, those that were closed after a
+    signal, too: see ``with_history_as_of`` for what was known then."""
 
     def stats(*keys: str, name: str) -> DataFrame:
         return trades.groupBy(*keys).agg(F.count("*").alias(f"{name}_trades"), F.avg((F.col("net") > 0).cast("double")).alias(f"{name}_win_rate"))
@@ -100,3 +101,30 @@ def with_history(found: DataFrame, trades: DataFrame, least: int = 20) -> DataFr
     out = found.join(stats("strategy", "regime", name="regime"), ["strategy", "regime"], "left").join(stats("strategy", "ticker", name="ticker"), ["strategy", "ticker"], "left")
     whole = trades.groupBy("strategy").agg((F.count("*") >= least).alias("sufficient"))
     return out.join(whole, "strategy", "left").withColumn("sufficient", F.coalesce("sufficient", F.lit(False)))
+
+
+def with_history_as_of(found: DataFrame, trades: DataFrame, least: int = 20) -> DataFrame:
+    """Signals with how the trades of their strategy had gone by then, in the same regime and on the same ticker: only
+    those closed before the signal's day count. ``sufficient`` where the strategy had ``least`` of them.
+
+    Closed trades are added up by day first; running sums over days then serve all signals of a day."""
+    out = found
+    won = (F.col("net") > 0).cast("long")
+    for keys, name in ((("strategy", "regime"), "regime"), (("strategy", "ticker"), "ticker"), (("strategy",), "strategy")):
+        closed = trades.select(*keys, F.col("exit_ts").alias("ts"), F.lit(1).alias("_n"), won.alias("_won"))
+        asked = found.select(*keys, "ts").distinct().select(*keys, "ts", F.lit(0).alias("_n"), F.lit(0).cast("long").alias("_won"))
+        days = closed.unionByName(asked).groupBy(*keys, "ts").agg(F.sum("_n").alias("_n"), F.sum("_won").alias("_won"))
+        before = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+        n, wins = F.coalesce(F.sum("_n").over(before), F.lit(0)), F.sum("_won").over(before)
+        known = days.select(*keys, "ts", n.alias(f"{name}_trades"), F.try_divide(wins.cast("double"), F.nullif(n, F.lit(0))).alias(f"{name}_win_rate"))
+        out = out.join(known, [*keys, "ts"], "left")
+    return out.withColumn("sufficient", F.col("strategy_trades") >= least).drop("strategy_win_rate")
+
+
+def recent_news(items: DataFrame, now: Column, days: int = 7, most: int = 30) -> DataFrame:
+    """Of each symbol the ``most`` newest items (symbol, id, ts, ...) of the last ``days`` days before ``now``, both ends
+    included by their dates; newest first, ties by the greater id."""
+    day = F.to_date("ts")
+    recent = items.where(day.between(F.date_sub(F.to_date(now), days), F.to_date(now)))
+    newest = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("id"))
+    return recent.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most).drop("_n")

@@ -27,7 +27,12 @@ def daily_context(bars: DataFrame, indices: DataFrame, benchmark: str, sectors:
 
 
 def walk_context(spark: SparkSession, sf: str, universe: str = "by_type") -> DataFrame:
-    return daily_context(B.walk(spark, sf, universe), B.indices(spark, sf), "ALL", B.walk(spark, sf, "by_region"), B.sector_of(F.col("ticker")))
+    """The feature rows of a universe, computed once in an application."""
+
+    def build() -> DataFrame:
+        return daily_context(B.walk(spark, sf, universe), B.indices(spark, sf), "ALL", B.walk(spark, sf, "by_region"), B.sector_of(F.col("ticker")))
+
+    return B.once(spark, f"context {sf} {universe}", build)
 
 
 def intraday_context(bars: DataFrame) -> DataFrame:

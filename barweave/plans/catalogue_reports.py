@@ -8,13 +8,14 @@ from barweave.functions.scalars import r6
 from barweave.operators import reports as H
 from barweave.operators import signals as N
 from barweave.sources import bars as B
+from barweave.sources import store as T
 from barweave.streaming import alerts as A
 from barweave.streaming import quotes as Z
 
 from . import oracle as O
 from .catalogue_bars import KEY, cols, out
 from .catalogue_research import _PX, _rounded
-from .catalogue_signals import _CLASS, OUTCOMES, SCORED
+from .catalogue_signals import _CLASS, OUTCOMES, SCORED, outcomes
 from .registry import query
 
 _LAST = "WHERE ts = (SELECT max(ts) FROM sc)"
@@ -150,6 +151,49 @@ SELECT {KEY.replace('ticker,', 'sc.ticker,')}, sc.strategy, regime_trades, {cols
 def signal_history(spark, sf):
     """Signals with the record of their strategy in the same regime and on the same ticker."""
     found = N.scored_signals(N.walk_context(spark, sf))
-    trades = N.trade_outcomes(found, B.walk(spark, sf))
+    trades = outcomes(spark, sf)
     rows = H.with_history(found, trades)
     return out(rows, "strategy", "regime_trades", "regime_win_rate", "ticker_trades", "ticker_win_rate", "sufficient")
+
+
+def _as_of(name: str, same: str) -> str:
+    """Counts of closed trades before the signal, by all pairs."""
+    return f"""{name} AS (SELECT sc.ticker, sc.ts, sc.strategy, count(oc.net) AS {name}_trades, avg((oc.net > 0)::INT) AS {name}_win_rate FROM sc LEFT JOIN oc ON oc.strategy = sc.strategy AND oc.exit_ts < sc.ts{same} GROUP BY ALL)"""
+
+
+@query(
+    f"""{OUTCOMES}, {_as_of("by_regime", " AND oc.regime = sc.regime")}, {_as_of("by_ticker", " AND oc.ticker = sc.ticker")}, {_as_of("by_strategy", "")}
+SELECT {KEY.replace('ticker,', 'sc.ticker,').replace('ts,', 'sc.ts,', 1).replace('strftime(ts', 'strftime(sc.ts')}, sc.strategy, CASE WHEN regime IS NOT NULL THEN by_regime_trades END AS regime_trades, {O.r6('by_regime_win_rate', 'regime_win_rate')}, by_ticker_trades AS ticker_trades,
+ {O.r6('by_ticker_win_rate', 'ticker_win_rate')}, by_strategy_trades AS strategy_trades, by_strategy_trades >= 20 AS sufficient FROM sc JOIN by_regime r ON r.ticker = sc.ticker AND r.ts = sc.ts AND r.strategy = sc.strategy
+ JOIN by_ticker t ON t.ticker = sc.ticker AND t.ts = sc.ts AND t.strategy = sc.strategy JOIN by_strategy s ON s.ticker = sc.ticker AND s.ts = sc.ts AND s.strategy = sc.strategy"""
+)
+def signal_history_as_of(spark, sf):
+    """Signals with the record of their strategy as it was known on their day."""
+    found = N.scored_signals(N.walk_context(spark, sf))
+    rows = H.with_history_as_of(found, outcomes(spark, sf))
+    return out(rows, "strategy", "regime_trades", "regime_win_rate", "ticker_trades", "ticker_win_rate", "strategy_trades", "sufficient")
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS monday FROM lineitem),
+g AS (SELECT ticker, monday + 7 AS a, CAST(lead(monday) OVER (PARTITION BY ticker ORDER BY monday) AS DATE) - 1 AS b FROM w)
+SELECT ticker, strftime(a, '%Y-%m-%d') AS start, strftime(b, '%Y-%m-%d') AS "end" FROM g WHERE b >= a"""
+)
+def missing_ranges(spark, sf):
+    """What a store that has the weeks with trades of each supplier lacks of its whole history."""
+    days = B.prints(spark, sf, "by_supplier").select("ticker", "ts")
+    wanted = days.groupBy("ticker").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    weeks = days.select("ticker", F.date_trunc("week", "ts").cast("date").alias("start")).distinct().withColumn("end", F.date_add("start", 6))
+    rows = T.subtract_ranges(wanted, weeks)
+    return rows.select("ticker", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("start", "end")])
+
+
+@query(
+    """WITH n AS (SELECT event_type AS symbol, event_id, ts FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-13' AND DATE '2024-01-20')
+SELECT symbol, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM n QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY n.ts DESC, event_id DESC) <= 30"""
+)
+def recent_news(spark, sf):
+    """Events as items of news: of each symbol the newest thirty of a week."""
+    items = B.ticks(spark, sf).select("symbol", F.col("event_id").alias("id"), "ts")
+    rows = H.recent_news(items, F.to_timestamp(F.lit("2024-01-20 12:00:00")))
+    return rows.select("symbol", F.col("id").alias("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))

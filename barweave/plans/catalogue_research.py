@@ -116,7 +116,7 @@ def win_rate_by_category(spark, sf):
 def integrity_checks(spark, sf):
     features = N.walk_context(spark, sf)
     found = N.scored_signals(features)
-    return R.integrity(N.trade_outcomes(found, B.walk(spark, sf)), found)
+    return R.integrity(outcomes(spark, sf), found)
 
 
 FEATURES = ("rsi14", "adx14", "rel_volume", "bb_width", "roc12", "hist_vol20", "stoch_k")
@@ -126,7 +126,7 @@ _LONG = f"{_TF}, lg AS ({' UNION ALL '.join(f'SELECT strategy, ticker, signal_ts
 
 def featured(spark, sf):
     features = N.walk_context(spark, sf)
-    trades = N.trade_outcomes(N.scored_signals(features), B.walk(spark, sf))
+    trades = outcomes(spark, sf)
     return R.trade_features(trades, features, *FEATURES).withColumn("won", F.col("net") > 0)
 
 

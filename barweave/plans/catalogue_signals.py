@@ -238,12 +238,16 @@ oc AS (SELECT *, got - paid AS net, (got - paid) / nullif(paid - stop, 0) AS r_m
 OUTCOMES = outcomes_sql(SCORED)
 
 
+def traded(spark, sf):
+    return N.trade_outcomes(scored(spark, sf), B.walk(spark, sf))
+
+
 def outcomes(spark, sf):
-    features = N.walk_context(spark, sf)
-    return N.trade_outcomes(N.scored_signals(features), B.walk(spark, sf))
+    """The trades of all signals, computed once in an application."""
+    return B.once(spark, f"trades {sf}", lambda: traded(spark, sf), "signal_ts")
 
 
 @query(f"{OUTCOMES} SELECT ticker, strftime(signal_ts, '%Y-%m-%d') AS ts, strategy, strftime(exit_ts, '%Y-%m-%d') AS exit_ts, exit_reason, bars_held, {cols('paid', 'got', 'net', 'r_multiple', 'return_pct')} FROM oc")
 def trade_outcomes(spark, sf):
-    rows = outcomes(spark, sf).withColumn("ts", F.col("signal_ts")).withColumn("exit_ts", F.date_format("exit_ts", "yyyy-MM-dd"))
+    rows = traded(spark, sf).withColumn("ts", F.col("signal_ts")).withColumn("exit_ts", F.date_format("exit_ts", "yyyy-MM-dd"))
     return out(rows, "strategy", "exit_ts", "exit_reason", "bars_held", "paid", "got", "net", "r_multiple", "return_pct")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,20 +59,36 @@ def walk_bars(trades: DataFrame) -> DataFrame:
     return rows.select("ticker", "ts", "open", high.alias("high"), low.alias("low"), "close", "volume")
 
 
-def once(spark: SparkSession, name: str, build) -> DataFrame:
-    """A table that is built once in an application and read from then on: written below ``spark.checkpoint.dir``, as
-    sorted Parquet, removed with the application. Where that is unset, ``build()`` as it is."""
+def _shared(spark: SparkSession) -> str | None:
+    """The folder that all executors share; in local mode a temporary one where none is named."""
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base and context.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="barweave-")
+        context.setCheckpointDir(base)
+    return base
+
+
+def once(spark: SparkSession, name: str, build, time: str = "ts") -> DataFrame:
+    """A table of (ticker, time, ...) that is built once in an application and read from then on: written below
+    ``spark.checkpoint.dir`` as sorted Parquet, removed with the application. On a cluster without that setting,
+    ``build()`` as it is."""
+    base = _shared(spark)
     if not base:
         return build()
+    context = spark.sparkContext
     path = f"{base.rstrip('/')}/bars-{context.applicationId}/{hashlib.sha256(name.encode()).hexdigest()[:16]}"
     folder = context._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(context._jsc.hadoopConfiguration())
     if not files.exists(context._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
-        write_bars(build(), path, "overwrite")
+        _sorted(build(), time).write.mode("overwrite").parquet(path)
         files.deleteOnExit(folder)
-    return spark.read.parquet(path).drop("cached_at")
+    return spark.read.parquet(path)
+
+
+def _sorted(rows: DataFrame, time: str = "ts") -> DataFrame:
+    """A file for some years of a ticker, sorted by both so that row groups prune."""
+    return rows.repartition("ticker", F.date_trunc("year", time)).sortWithinPartitions("ticker", time)
 
 
 def walk(spark: SparkSession, sf_dir: str, universe: str = "by_type") -> DataFrame:
@@ -154,9 +171,8 @@ def read_bars(spark: SparkSession, path: str, tickers: list[str] | None = None,
 
 
 def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
-    """Bars as Parquet, a file for some years of a ticker, sorted by both so that row groups prune."""
-    spread = ("ticker", F.date_trunc("year", "ts"))
-    bars.withColumn("cached_at", F.current_timestamp()).repartition(*spread).sortWithinPartitions("ticker", "ts").write.mode(mode).parquet(path)
+    """Bars as sorted Parquet, with the time at which they were written."""
+    _sorted(bars.withColumn("cached_at", F.current_timestamp())).write.mode(mode).parquet(path)
 
 
 def read_json_cache(spark: SparkSession, path: str) -> DataFrame:

@@ -113,7 +113,7 @@ def intraday_scored(spark, sf):
     from barweave.functions import indicators as I
 
     ticks = B.ticks(spark, sf)
-    context = N.intraday_context(B.intraday_bars(ticks))
+    context = B.once(spark, f"intraday context {sf}", lambda: N.intraday_context(B.intraday_bars(ticks)))
     index = I.opening_range(I.session_vwap(B.intraday_bars(ticks.withColumn("symbol", F.lit("ALL")))))
     return context, Y.add_intraday_score(G.signals(context, G.INTRADAY, keep=Y.SCORE_INPUTS), Y.market_sessions(index))
 
@@ -187,5 +187,6 @@ SELECT feature, n, {O.r6('auc')}, row_number() OVER (ORDER BY round(abs(coalesce
 )
 def auc_ranking(spark, sf):
     """Features of intraday trades by how far their area under the curve lies from a half."""
-    rows = _intraday_features(spark, sf).withColumns({c: F.round(c, 9) for c in (*_RANKED, "r_multiple")})
+    features = B.once(spark, f"intraday features {sf}", lambda: _intraday_features(spark, sf), "signal_ts")
+    rows = features.withColumns({c: F.round(c, 9) for c in (*_RANKED, "r_multiple")})
     return _rounded(R.by_distance_from_half(R.rank_statistics(rows, "r_multiple", "won", _RANKED)).select("feature", "n", "auc", "place"))

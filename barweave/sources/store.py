@@ -151,6 +151,11 @@ class MergedTable:
         done = self.commits()
         return self._rows(self._versions(done[-1] if done else None)).select(*self.schema.fieldNames())
 
+    def version(self, batch_id: int) -> DataFrame:
+        """The rows of the parts that a batch touched, as it left them."""
+        versions = self._versions(batch_id).where(F.col("version") == batch_id)
+        return self._rows(versions).select(*self.schema.fieldNames())
+
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         """For ``foreachBatch``: rows of the batch replace those of their key; of rows that share a key within the batch
         the one that is greatest in all columns stays."""

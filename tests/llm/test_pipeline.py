@@ -99,6 +99,7 @@ def test_operators_return_the_contracts_columns(spark):
         "op1": "doc_id n_words n_removed kept_sha256", "op2": "doc_id n_bytes n_removed n_spans kept_sha256", "op3": "doc_id n_assign n_access n_hex base_sha256 spans", "op4": "page_id url text n_chars",
         "op5": "page_id host path rule verdict", "op6": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op7": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
         "op8": "doc_id fingerprint component_id", "op9": "doc_id n_tokens ids_sha256 decoded_sha256", "op10": "doc_id item_id similarity",
+        "op11": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley", "op12": "word form root n n_near form_n", "op13": "doc_id held_out score predicted",
     }
     found = {name.split("_")[0]: set(f(spark, SF).columns) for name, f in queries().items()}
     assert set(found) == set(want)

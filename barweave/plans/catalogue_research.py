@@ -335,20 +335,26 @@ def order_sizing(spark, sf):
     return rows.select("ticker", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "strategy", "shares")
 
 
-@query(f"""{SCORED} SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strategy, (alignment = 0)::BIGINT + coalesce((regime IN ('bearish', 'strong_bearish', 'high_volatility'))::BIGINT, 0) + coalesce((rs_adjustment < 0)::BIGINT, 0) + coalesce((rsi14 > 75)::BIGINT, 0) + coalesce((hist_vol20 > 0.6)::BIGINT, 0) AS context_risks,
- (alignment = 1)::BIGINT + coalesce((regime IN ('bullish', 'strong_bullish'))::BIGINT, 0) + coalesce((rs_adjustment > 0)::BIGINT, 0) AS context_reasons FROM sc""")
+@query(
+    f"""{SCORED} SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strategy,
+ concat_ws('; ', CASE WHEN alignment = 1 THEN 'Daily and weekly trends agree' END, CASE WHEN regime IN ('bullish', 'strong_bullish') THEN 'Supportive market regime' END, CASE WHEN rs_adjustment > 0 THEN 'Outperforming the benchmark' END) AS context_reasons,
+ concat_ws('; ', CASE WHEN alignment = 0 THEN 'Daily and weekly trends conflict' END, CASE WHEN regime IN ('bearish', 'strong_bearish', 'high_volatility') THEN 'Adverse market regime' END, CASE WHEN rs_adjustment < 0 THEN 'Lagging the benchmark' END,
+  CASE WHEN rsi14 > 75 THEN 'Overbought' END, CASE WHEN hist_vol20 > 0.6 THEN 'High volatility' END) AS context_risks, 'Close below ' || format('{{:,.2f}}', stop) AS invalidation FROM sc"""
+)
 def explanations(spark, sf):
-    """How many reasons and risks the context adds to each signal."""
+    """The reasons and risks that the context adds to each signal, and what would invalidate it, as texts."""
     from barweave.operators.strategies import add_explanation
 
     rows = add_explanation(scored(spark, sf))
-    return rows.select("ticker", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "strategy", (F.size("risks") - F.size("warnings")).cast("long").alias("context_risks"), (F.size("reasons") - F.size("evidence")).cast("long").alias("context_reasons"))
+    added = lambda texts, own: F.array_join(F.expr(f"slice({texts}, size({own}) + 1, size({texts}))"), "; ")
+    reasons, risks = added("reasons", "evidence").alias("context_reasons"), added("risks", "warnings").alias("context_risks")
+    return rows.select("ticker", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "strategy", reasons, risks, "invalidation")
 
 
-@query("SELECT source, count(*) AS rows, count(*) FILTER (WHERE regexp_full_match(upper(trim(source)), '[A-Z][A-Z0-9.]{0,5}')) AS valid FROM documents GROUP BY source")
+@query("SELECT source, CASE WHEN regexp_full_match(upper(trim(source)), '[A-Z][A-Z0-9.]{0,5}') THEN upper(trim(source)) END AS tickers, count(*) AS rows FROM documents GROUP BY source")
 def ticker_parsing(spark, sf):
-    """Sources of documents read as tickers: trimmed, upper-cased, checked."""
+    """Sources of documents read as tickers: trimmed, upper-cased, checked; what each was read as."""
     from barweave.operators.quality import parse_tickers
 
     rows = parse_tickers(B.table(spark, sf, "documents").select("source"), "source")
-    return rows.groupBy("source").agg(F.count("*").alias("rows"), F.count("tickers").alias("valid"))
+    return rows.groupBy("source", F.array_join("tickers", ",").alias("tickers")).agg(F.count("*").alias("rows"))

@@ -8,6 +8,7 @@ from barweave.functions.scalars import r6
 from barweave.operators import reports as H
 from barweave.operators import signals as N
 from barweave.sources import bars as B
+from barweave.sources import instruments as J
 from barweave.sources import store as T
 from barweave.streaming import alerts as A
 from barweave.streaming import quotes as Z
@@ -197,3 +198,15 @@ def recent_news(spark, sf):
     items = B.ticks(spark, sf).select("symbol", F.col("event_id").alias("id"), "ts")
     rows = H.recent_news(items, F.to_timestamp(F.lit("2024-01-20 12:00:00")))
     return rows.select("symbol", F.col("id").alias("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query(
+    f"""WITH {O.walk('by_supplier')}, l AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) <= 30), q AS (SELECT ticker, arg_max(close, ts) AS price, CAST(floor(avg(volume)) AS BIGINT) AS avg_volume FROM l GROUP BY ticker)
+SELECT q.ticker, s_name AS name, {O.r6('price')}, avg_volume, r_name AS sector FROM q JOIN supplier ON CAST(s_suppkey AS VARCHAR) = q.ticker LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey"""
+)
+def instruments(spark, sf):
+    """Suppliers as instruments: name, last price, mean volume, sector."""
+    names = B.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"), F.col("s_name").alias("name"))
+    profiles = B.sector_dimension(spark, sf).select(F.col("ticker").alias("symbol"), "sector", F.lit(None).cast("string").alias("industry"))
+    rows = J.instruments(J.quotes_of_bars(B.walk(spark, sf, "by_supplier"), names), profiles)
+    return rows.select("ticker", "name", r6("price").alias("price"), "avg_volume", "sector")

@@ -49,3 +49,21 @@ def test_news_of_the_last_days(spark):
     rows = H.recent_news(spark.createDataFrame(items, "symbol string, id int, ts timestamp"), F.lit(at(10, 5)), most=6)
     assert sorted(r["id"] for r in rows.where("symbol = 'A'").collect()) == [0, 1, 2, 3, 4, 10]
     assert rows.where("symbol = 'B'").count() == 2
+
+
+def test_instruments_from_stored_answers(spark, tmp_path):
+    from barweave.sources.instruments import read_instruments
+
+    quotes = [
+        '{"symbol": "A", "name": "Alpha", "currency": "USD", "exchange": "X", "close": "12.5", "average_volume": "1000"}',
+        '{"symbol": "B", "currency": null, "close": "", "average_volume": "n/a"}',
+        '{"symbol": "C", "currency": "EUR", "close": "1"}',
+        '{"symbol": "D", "message": "no such symbol"}',
+        '{"message": "limit reached"}',
+        '{"symbol": "A", "name": "Alpha", "currency": "USD", "exchange": "X", "close": "12.5", "average_volume": "1000"}',
+    ]
+    for name, lines in (("q", quotes), ("p", ['{"symbol": "A", "sector": "Tech", "industry": "Chips", "code": 200}', '{"symbol": "Z"}'])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.json").write_text("\n".join(lines))
+    rows = sorted(map(tuple, read_instruments(spark, str(tmp_path / "q"), str(tmp_path / "p")).collect()))
+    assert rows == [("A", "Alpha", "USD", "X", 12.5, 1000, "Tech", "Chips"), ("B", "B", None, None, None, None, None, None)]

@@ -22,7 +22,8 @@ ST = f"WITH RECURSIVE {O.features()}, {O.structure()}"
 
 
 def frames(spark, sf):
-    return S.add_pattern_frames(S.add_structure(I.features_daily(B.walk(spark, sf))))
+    """Features, structure and pattern frames, from the feature rows of all queries."""
+    return N.walk_context(spark, sf)
 
 
 @query(f"{ST} SELECT {KEY}, {cols('sh', 'sl')} FROM st WHERE sh IS NOT NULL OR sl IS NOT NULL")

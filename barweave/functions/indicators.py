@@ -150,7 +150,8 @@ def add_recursive(bars: DataFrame, point_in_time: bool = False, block: int = sca
 
 
 def features_daily(bars: DataFrame, point_in_time: bool = True, block: int = scans.BLOCK, halo: int = scans.HALO) -> DataFrame:
-    """The whole daily snapshot of each bar, in one pass over blocks of bars."""
+    """The whole daily snapshot of each bar, in one pass over blocks of bars. ``bars`` may go on from a state
+    (``resume``), which is handed on."""
 
     def make(rows: DataFrame) -> DataFrame:
         recursive = _recursive_in_block(rows, block, halo)
@@ -158,10 +159,19 @@ def features_daily(bars: DataFrame, point_in_time: bool = True, block: int = sca
         wide = add_windows(recursive.withColumn("_rn", F.col("rn"))).drop("rn", "obv")
         return wide.withColumnsRenamed({"_rn": "rn", "_obv": "obv"})
 
-    wanted = _scans() | {"_obv": scans.running_sum("_flow")}
-    out = scans.in_blocks(_with_moves(bars), make, wanted, block, halo)
+    out = scans.in_blocks(_with_moves(bars), make, _all_scans(), block, halo)
     out = _as_of_each_bar(out) if point_in_time else _whole_series(out, bars)
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    return out.drop(*[c for c in out.columns if c.startswith("_") and c != "_carried"])
+
+
+def _all_scans() -> dict[str, scans.Scan]:
+    return _scans() | {"_obv": scans.running_sum("_flow")}
+
+
+def scan_states(bars: DataFrame) -> DataFrame:
+    """(ticker, ts, rn, a column per scan): the value of every recurrence at each bar."""
+    wanted = _all_scans()
+    return scans.in_blocks(_with_moves(bars), lambda rows: rows, wanted).select("ticker", "ts", "rn", *wanted)
 
 
 def session_vwap(bars: DataFrame) -> DataFrame:

@@ -22,15 +22,17 @@ BLOCK, HALO = 2048, 512
 def number_bars(bars: DataFrame, before: tuple[str, ...] = (), bucket: str = "month") -> DataFrame:
     """Adds ``rn``, a bar's number within its ticker from 1, and for each column of ``before`` its value in the bar before
     as ``_before_<column>``. Windows run inside of (ticker, bucket of time); counts and last bars of the buckets are
-    handed on."""
+    handed on. A ticker whose first row has a ``_carried`` state goes on from that state's number."""
     rows = bars.withColumn("_k", F.date_trunc(bucket, "ts"))
     inside, buckets = Window.partitionBy("ticker", "_k").orderBy("ts"), Window.partitionBy("ticker").orderBy("_k")
     held = F.struct(F.lit(1).alias("_one"), *before)
-    ends = rows.groupBy("ticker", "_k").agg(F.count("*").alias("_n"), F.max_by(held, "ts").alias("_last"))
+    first = F.max("_carried.rn") if "_carried" in bars.columns else F.max(F.lit(1))
+    ends = rows.groupBy("ticker", "_k").agg(F.count("*").alias("_n"), F.max_by(held, "ts").alias("_last"), first.alias("_first"))
     skipped = F.coalesce(F.sum("_n").over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carried = ends.select("ticker", "_k", skipped.alias("_skipped"), F.lag("_last").over(buckets).alias("_carried"))
+    absent = F.coalesce(F.max("_first").over(Window.partitionBy("ticker")) - 1, F.lit(0))
+    carried = ends.select("ticker", "_k", (skipped + absent).alias("_skipped"), F.lag("_last").over(buckets).alias("_from_before"))
     number = (F.col("_skipped") + F.col("_i")).cast("int").alias("rn")
-    last = F.coalesce("_within", "_carried")
+    last = F.coalesce("_within", "_from_before")
     numbered = rows.select("*", F.row_number().over(inside).alias("_i"), F.lag(held).over(inside).alias("_within")).join(carried, ["ticker", "_k"])
     return numbered.select(*bars.columns, number, *[last[c].alias(f"_before_{c}") for c in before])
 
@@ -85,12 +87,20 @@ def _weights(scans: dict[str, Scan], until: str) -> tuple[dict[float, str], list
     return names, [f"{held[decay]} AS {name}" for decay, name in names.items()]
 
 
+def _shares(rows: DataFrame, scans: dict[str, Scan], names: dict[float, str], until_of_seeds: int) -> dict[str, str]:
+    """SQL of what a row adds to each scan. A row with a ``_carried`` state stands for all bars up to it: it adds the value
+    that the scan has there."""
+    held = set(rows.schema["_carried"].dataType.names) if "_carried" in rows.columns else set()
+    own = {name: s.share(names[s.decay], until_of_seeds) for name, s in scans.items()}
+    return {name: f"CASE WHEN _carried IS NULL THEN {x} ELSE _carried.{name} * {names[scans[name].decay]} END" if name in held else x for name, x in own.items()}
+
+
 def starts_of_blocks(numbered: DataFrame, scans: dict[str, Scan], block: int, halo: int) -> DataFrame:
     """(ticker, _block, a column per scan): each y just before the first bar that a block reads. Stretches end there, so
     that every bar counts once."""
     names, weights = _weights(scans, "_until")
     rows = numbered.selectExpr("*", f"floor((rn - 1 + {halo}) / {block}) + 1 AS _block").selectExpr("*", f"_block * {block} - {halo} AS _until")
-    shares = [f"{s.share(names[s.decay], block - halo)} AS {name}" for name, s in scans.items()]
+    shares = [f"{x} AS {name}" for name, x in _shares(rows, scans, names, block - halo).items()]
     sums = [F.expr(f"sum({name})").alias(name) for name in scans]
     ends = rows.selectExpr("*", *weights).selectExpr("ticker", "_block", *shares).groupBy("ticker", "_block").agg(*sums)
     # What a stretch adds is worth decay**block less with each block, until that is no double any more.
@@ -133,7 +143,7 @@ def _scanned(rows: DataFrame, scans: dict[str, Scan], first: str, by: str, halo:
     """``first``: the number of the bar before the first one that a block reads, -halo in the first block."""
     names, weights = _weights(scans, f"({first})")
     order = f"OVER (PARTITION BY {by} ORDER BY ts ROWS UNBOUNDED PRECEDING)"
-    sums = [f"sum({s.share(names[s.decay], -halo)}) {order} AS _sum_{name}" for name, s in scans.items()]
+    sums = [f"sum({x}) {order} AS _sum_{name}" for name, x in _shares(rows, scans, names, -halo).items()]
     made = []
     for name, s in scans.items():
         y = f"(_sum_{name} + coalesce({starts.get(name, '0D')}, 0D)) / {names[s.decay]}"

@@ -22,14 +22,21 @@ def _swing(column: str, high: bool, n: int) -> Column:
 
 
 def add_swings(bars: DataFrame, n: int = SWING) -> DataFrame:
-    """Prices of the swings at their own rows (known only n rows later), and of the last two that are known."""
+    """Prices of the swings at their own rows (known only n rows later), and of the last two that are known. Where a series
+    goes on from a state (``_carried``, see ``resume``), swings that its rows do not show are the state's."""
     past, so_far = frame(Window.unboundedPreceding, -1), frame(Window.unboundedPreceding, 0)
     out = bars.withColumns({"swing_high": _swing("high", True, n), "swing_low": _swing("low", False, n)})
     pair = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("p"), F.last(c, True).over(past).alias("q")))
     out = out.withColumns({"_h": pair("swing_high"), "_l": pair("swing_low")})
     out = out.withColumns({"_h": F.lag("_h", n).over(by_ticker()), "_l": F.lag("_l", n).over(by_ticker())})
     out = out.withColumns({"_h": F.last("_h", True).over(so_far), "_l": F.last("_l", True).over(so_far)})
-    return out.withColumns({"last_sh": F.col("_h.p"), "prev_sh": F.col("_h.q"), "last_sl": F.col("_l.p"), "prev_sl": F.col("_l.q")}).drop("_h", "_l")
+    out = out.withColumns({"last_sh": F.col("_h.p"), "prev_sh": F.col("_h.q"), "last_sl": F.col("_l.p"), "prev_sl": F.col("_l.q")})
+    if "_carried" in bars.columns:
+        held = F.last("_carried", True).over(so_far)["swings"]
+        for last, prev in (("last_sh", "prev_sh"), ("last_sl", "prev_sl")):
+            earlier = F.when(F.col(last).isNull(), held[prev]).otherwise(held[last])
+            out = out.withColumns({prev: F.coalesce(prev, earlier), last: F.coalesce(last, held[last])})
+    return out.drop("_h", "_l")
 
 
 def add_structure(bars: DataFrame, n: int = SWING) -> DataFrame:

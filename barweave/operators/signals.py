@@ -17,13 +17,13 @@ from .crossing import block_nodes, first_crossing
 
 def daily_context(bars: DataFrame, indices: DataFrame, benchmark: str, sectors: DataFrame, sector) -> DataFrame:
     """Features, structure, pattern frames, trends of both time frames, regime and relative strength per bar.
-    Everything is causal, so a row is what a series that ends there gives."""
+    Everything is causal, so a row is what a series that ends there gives. Bars may go on from a state (``resume``)."""
     out = S.add_pattern_frames(S.add_structure(I.features_daily(bars)))
     out = X.add_timeframes(out, bars)
     base = indices.where(F.col("ticker") == benchmark)
     out = X.relative_strength(out, base, sectors, sector)
     out = out.join(X.market_regime(indices).select("ts", "regime"), "ts", "left")
-    return out.join(base.select("ts", I.roc(12).alias("benchmark_roc12")), "ts", "left")
+    return out.join(base.select("ts", I.roc(12).alias("benchmark_roc12")), "ts", "left").drop("_carried")
 
 
 def walk_context(spark: SparkSession, sf: str, universe: str = "by_type") -> DataFrame:

@@ -147,9 +147,11 @@ class MergedTable:
         stored = self.spark.read.schema(self._stored).parquet(f"{self.path}/data")
         return stored.join(versions, ["version", "part"], "left_semi").select(*self._stored.fieldNames())
 
-    def read(self) -> DataFrame:
+    def read(self, from_part: str = "") -> DataFrame:
+        """The rows of the parts from ``from_part`` on, in the order of their names."""
         done = self.commits()
-        return self._rows(self._versions(done[-1] if done else None)).select(*self.schema.fieldNames())
+        versions = self._versions(done[-1] if done else None).where(F.col("part") >= from_part)
+        return self._rows(versions).where(F.col("part") >= from_part).select(*self.schema.fieldNames())
 
     def version(self, batch_id: int) -> DataFrame:
         """The rows of the parts that a batch touched, as it left them."""

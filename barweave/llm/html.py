@@ -51,7 +51,9 @@ RUNNING = frozenset("address blockquote caption dd dl dt figcaption figure h1 h2
 ROOTS = frozenset("html body article main".split())
 #: Words that name boilerplate, and words that only say what kind of box an element is.
 NOT_CONTENT = frozenset("ad ads advert adverts advertisement advertising adsbygoogle adsense banner promo promotion sponsor sponsored sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments disqus respond reply replies share sharing social related recommended widget pagination pager toolbar copyright legal skip search contentinfo complementary".split())
-BOX_WORDS = frozenset("area articles bar block bottom box buttons card container content form group inner item items left link links list main news outer page panel post posts right row section site slot stories thread title top unit wrap wrapper".split())
+#: Those of them that name what readers wrote; those that may name what a header or a line of running text is about.
+READERS, TOPICS = frozenset("comment comments disqus respond reply replies".split()), frozenset("legal search".split())
+BOX_WORDS = frozenset("area articles bar block bottom box buttons card container content form group inner item items left link links list main news outer page panel post posts right row section site slot stories thread title top unit user users visitor visitors reader readers wrap wrapper".split())
 #: A start of one of these ends an open paragraph.
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 #: Start tags that end open elements of the same group.
@@ -59,22 +61,24 @@ _CELLS = frozenset(("td", "th"))
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": _CELLS, "th": _CELLS, "tr": _CELLS | {"tr"}, **dict.fromkeys(("tbody", "thead", "tfoot"), _CELLS | {"tr", "tbody", "thead", "tfoot"}), "option": {"option"}}
 
 
-def _names_boilerplate(value: str, inside_article: bool) -> bool:
+def _names_boilerplate(value: str, words: frozenset[str]) -> bool:
     """Whether a class, id or role has a name all of whose parts are boilerplate words or words for boxes, with at
-    least one of the former: ``ad``, ``cookie-notice`` and ``related-posts`` do, ``related-work`` does not. A header
-    inside an article is its title."""
+    least one of the former that is in ``words``: ``ad``, ``cookie-notice`` and ``related-posts`` do, ``related-work``
+    does not."""
     for name in value.lower().split():
         parts = [p for p in re.split("[^a-z0-9]+", name) if p and not p.isdigit()]
-        named = [p for p in parts if p in NOT_CONTENT and not (p == "header" and inside_article)]
+        named = [p for p in parts if p in words]
         if named and all(p in NOT_CONTENT or p in BOX_WORDS for p in parts):
             return True
     return False
 
 
 def _judge_markup(tag: str, attributes: str, inside_article: bool) -> tuple[bool, str]:
-    """Whether an element is boilerplate by its meaning; its class, for the step. Inside an article an id may name a
-    part of the text, so there only those of plain boxes are evidence."""
+    """Whether an element is boilerplate by its meaning; its class, for the step. Inside an article a header is a title,
+    running text may be about legal matters, and an id may name a part of the text: there ids are evidence on plain boxes,
+    on sections only of readers' comments."""
     label = ""
+    words = NOT_CONTENT if not inside_article else NOT_CONTENT - {"header"} - (TOPICS if tag in RUNNING and tag not in ("ul", "ol", "dl", "table") else frozenset())
     unwanted = tag in DROPPED or (tag == "header" and not inside_article)
     if attributes and not unwanted and _TELLING.search(attributes):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -83,8 +87,8 @@ def _judge_markup(tag: str, attributes: str, inside_article: bool) -> tuple[bool
                 label = label or " ".join(value.split())
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
                 return True, label
-            telling = name in ("class", "role") or (name == "id" and (not inside_article or tag in ("div", "ul", "ol")))
-            if telling and tag not in ROOTS and _names_boilerplate(value, inside_article):
+            telling = words if name in ("class", "role") or (name == "id" and (not inside_article or tag in ("div", "ul", "ol"))) else READERS if name == "id" and tag == "section" else None
+            if telling and tag not in ROOTS and _names_boilerplate(value, telling):
                 return True, label
     return unwanted, label
 

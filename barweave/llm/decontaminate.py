@@ -82,12 +82,13 @@ def item_table(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> D
 
 
 def similarity(a: str, b: str) -> Column:
-    """Weighted Jaccard of two lists of shingles, the weights their counts."""
-    return F.expr(
-        f"aggregate(array_distinct(concat({a}, {b})), named_struct('low', 0, 'high', 0), (s, h) -> named_struct("
-        f"'low', s.low + least(size(filter({a}, x -> x = h)), size(filter({b}, x -> x = h))),"
-        f"'high', s.high + greatest(size(filter({a}, x -> x = h)), size(filter({b}, x -> x = h)))), s -> s.low / s.high)"
-    )
+    """Weighted Jaccard of two lists of shingles, the weights their counts. The lesser counts add up to the shingles in
+    common and, for those that repeat in both, what repeats in both; the greater ones to the rest of all. Sets meet by
+    hash and repeats are neighbours in a sorted list, so the cost is that of sorting, and a pass for each shingle that
+    repeats in both."""
+    repeats = [f"get(transform(array(sort_array({x})), s -> array_distinct(filter(s, (h, i) -> i > 0 AND h = get(s, i - 1)))), 0)" for x in (a, b)]
+    again = f"aggregate(array_intersect({repeats[0]}, {repeats[1]}), 0, (n, h) -> n + least(size(filter({a}, x -> x = h)), size(filter({b}, x -> x = h))) - 1)"
+    return F.expr(f"get(transform(array(size(array_intersect({a}, {b})) + {again}), low -> low / (size({a}) + size({b}) - low)), 0)")
 
 
 def _starts(min_similarity: float) -> Column:

@@ -68,20 +68,31 @@ def scratch(spark: SparkSession):
 
 
 def commonest(counts: DataFrame, value: str, count: str, most: int) -> list[tuple]:
-    """(value, count) of the commonest values, from distinct values with their counts: all that are at least as common
-    as some power of the eighth root of two, the least one that at most ``most`` values reach. The commonest come first,
-    equals by value. What comes to the driver is a histogram of some hundred rows, then at most ``most`` rows: unlike a
-    sort with a limit, no partition sends its own best ones."""
+    """(value, count) of the ``most`` commonest values that occur more than once, from distinct values with their counts.
+    Counts are compared by powers of the eighth root of two; of the values on the last level that does not fit, those with
+    the least hashes are taken. The commonest come first, equals by value. What comes to the driver is a histogram of
+    levels, one of 4,096 ranges of hashes, and at most ``most`` rows: unlike a sort with a limit over all values, no
+    partition sends its own best ones."""
     levels = stored(counts.where(F.col(count) > 1).select(F.col(value).alias("v"), F.col(count).alias("n"), F.floor(8 * F.log2(count)).cast("int").alias("level")))
-    least, held = None, 0
+    whole, over, room = None, None, most
     for r in levels.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
-        held += r["n"]
-        if held > most:
+        if r["n"] > room:
+            over = r["level"]
             break
-        least = r["level"]
-    if least is None:
-        return []
-    return sorted(map(tuple, levels.where(F.col("level") >= least).select("v", "n").collect()), key=lambda x: (-x[1], x[0]))
+        whole, room = r["level"], room - r["n"]
+    found = [] if whole is None else levels.where(F.col("level") >= whole).select("v", "n").collect()
+    if over is not None and room:
+        rest = levels.where(F.col("level") == over).select("v", "n", F.xxhash64("v").alias("h")).withColumn("range", F.shiftrightunsigned("h", 52))
+        last, cut = -1, None
+        for r in rest.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect():
+            if r["n"] > room:
+                cut = r["range"]
+                break
+            last, room = r["range"], room - r["n"]
+        found += rest.where(F.col("range") <= last).select("v", "n").collect()
+        if cut is not None and room:
+            found += rest.where(F.col("range") == cut).orderBy("h", "v").limit(room).select("v", "n").collect()
+    return sorted(map(tuple, found), key=lambda x: (-x[1], x[0]))
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:

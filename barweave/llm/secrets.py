@@ -31,10 +31,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Credential contexts: a key word that ends in one of these, a separator, a value without white space. The words of
 #: ``assign`` are among them, for values whose characters its pattern does not take.
-CONTEXT_WORDS = (*_ASSIGN_WORDS, "pwd", "pass", "passphrase", "passcode", "credential", "credentials", "auth", "private_key", "access_key", "client_key", "bearer")
+CONTEXT_WORDS = (*_ASSIGN_WORDS, "pwd", "pass", "passphrase", "passcode", "credential", "credentials", "auth", "authorization", "login", "private_key", "access_key", "client_key", "bearer")
+#: A key word follows no letter, or starts a part of an identifier (``dbPassword``). A value in quotes goes to its quote;
+#: a scheme before a value (``Authorization: Bearer ...``) does not belong to it.
+_SCHEME = r"(?:(?:Bearer|Basic|Token)\x20+)?"
 _CONTEXT = re.compile(
-    r"(?<![A-Za-z])(?:" + "|".join(map(_either_case, sorted(CONTEXT_WORDS, key=len, reverse=True))) + r""")["']?\x20*(?:[:=]|=>)\x20*["']?([^\s"'<>,;]{6,})"""
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?:" + "|".join(map(_either_case, sorted(CONTEXT_WORDS, key=len, reverse=True))) + r""")["']?\x20*(?:[:=]|=>)\x20*"""
+    + _SCHEME + r"""(?:"([^"\s]{6,})"|'([^'\s]{6,})'|["']?""" + _SCHEME + r"""([^\s"'<>,;]{6,}))"""
 )
+#: Addresses and paths of plain lower-case words are no secrets, however many guesses their words take.
+_PATH = re.compile(r"(?:[a-z][a-z+.-]*+://)?[a-z._~-]*+(?:/[a-z._~-]*+)+")
 _CONTEXT_HINT = re.compile("|".join(map(re.escape, CONTEXT_WORDS)))
 
 #: Words that people choose, most common first; before the words that the corpus itself has.
@@ -172,9 +178,11 @@ def find_spans(text: str, min_cost: float, guess_cost: GuessCosts) -> tuple[list
             reach = max(reach, e)
             starts.append(s), ends.append(reach)
         for m in _CONTEXT.finditer(text):
-            s, e = m.span(1)
+            s, e = m.span(m.lastindex)
             before = bisect_left(starts, e)
-            if not (before and ends[before - 1] > s) and guess_cost(m[1]) >= min_cost:
+            if before:  # what base spans cover is theirs
+                s = max(s, ends[before - 1])
+            if e - s >= 6 and not _PATH.fullmatch(text, s, e) and guess_cost(text[s:e]) >= min_cost:
                 found.append((s, 3, e))
     return sorted(found), costs
 
@@ -193,15 +201,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs`` with its secret spans.
 
     Base kinds ``assign``, ``access`` and ``hex`` come from the patterns alone. Values in credential
-    contexts that no base span overlaps become ``guess`` spans if their cheapest segmentation takes at least
-    10**min_cost guesses; values are judged whole, whatever their length. The dictionary is a list of common words and
-    the corpus' own ``dictionary_words`` commonest ones. ``max_cost`` is the largest guess cost among the ``assign``
+    contexts become ``guess`` spans if their cheapest segmentation takes at least 10**min_cost guesses, unless they are
+    paths of plain words; values are judged whole, whatever their length, but for what base spans cover up to their last
+    end. The dictionary is a list of common words and the corpus' own ``dictionary_words`` commonest ones, so that the
+    other rows have a part in what is guessed. ``max_cost`` is the largest guess cost among the ``assign``
     values (null if none).
 
     A null text counts as empty: no spans, base_sha256 of the empty string. Texts of any length are scanned whole, in
     time linear in their length. Repeated rows each give a row; a null id is kept; other columns of ``docs`` are
-    ignored; an empty table gives no rows. Offsets are code points, the end exclusive. No shuffle of texts: each row
-    is judged by itself.
+    ignored; an empty table gives no rows. Offsets are code points, the end exclusive. Texts are not shuffled.
     """
     words = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text_col, dictionary_words))
 

@@ -96,6 +96,12 @@ def test_markup_words_do_not_delete_content():
     assert H.main_blocks('<article><p>one</p><div class="related-posts">x</div><div data-id="ad">two</div><p style="display: none">y</p></article>') == ["one", "two"]
 
 
+def test_readers_comments_go_and_topics_stay():
+    assert H.main_blocks('<main><p>Hello</p><section id="comments"><p>I agree</p></section></main>') == ["Hello"]
+    assert H.main_blocks('<p>story</p><div class="user-comments"><p>bob: nice</p></div>') == ["story"]
+    assert H.main_blocks('<article><h1 class="legal">T</h1><p class="legal">about law</p><div class="legal">terms</div><p class="ad">buy</p></article><p class="legal">terms</p>') == ["T", "about law"]
+
+
 def hosts(spark):
     """A host with an unnamed notice in its articles and a story in an unnamed box, one without articles, small hosts,
     and one whose pages are copies and near copies."""
@@ -264,6 +270,20 @@ def test_leaks_against_brute_force(spark):
     assert D.contaminated(d.limit(0), b).count() == 0 and D.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_similarity_of_repeated_shingles(spark):
+    import random
+    from collections import Counter
+
+    from barweave.llm.decontaminate import similarity
+
+    rng = random.Random(3)
+    rows = [([rng.randrange(-k, k + 1) for _ in range(rng.randint(1, 30))], [rng.randrange(-k, k + 1) for _ in range(rng.randint(1, 30))]) for k in (1, 3, 10, 1000) for _ in range(40)]
+    rows += [([5] * 40, [5] * 30), ([1], [2])]
+    for r in spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select("a", "b", similarity("a", "b").alias("s")).collect():
+        x, y = Counter(r["a"]), Counter(r["b"])
+        assert r["s"] == sum((x & y).values()) / sum((x | y).values())
+
+
 def test_swapped_halves_are_found(spark):
     """The window over both halves has 52 of 60 shingles of the item, and no alignment of a shared shingle gives it."""
     import random

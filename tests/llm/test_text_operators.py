@@ -93,7 +93,7 @@ def test_guess_spans_of_assign_words_long_values_and_no_digits():
     spans = lambda text: secrets.find_spans(text, 10.0, costs)[0]
     assert spans('password = "x#9Kq!v2$Lm8&Zt4"') == [(12, 3, 28)]
     assert spans('token: "$2b$12$KIXQ8mJv0pZ"') == [(8, 3, 26)]
-    assert spans("password = abcdef#9Kq!v2$Lm8") == [(0, 0, 17)]  # a base span overlaps
+    assert spans("password = abcdef#9Kq!v2$Lm8") == [(0, 0, 17), (17, 3, 28)]  # what the base span leaves over
     strong = "".join(random.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJ$%") for _ in range(10_000))
     assert spans("auth: " + strong) == [(6, 3, 10_006)] and spans("pwd=" + strong[:320]) == [(4, 3, 324)]
     assert spans("pwd: " + "z" * 64 + "q$X9zLw#T7vKp!r") == [(5, 3, 84)]
@@ -104,6 +104,43 @@ def test_guess_spans_of_assign_words_long_values_and_no_digits():
     assert len(many) == 20_000 and time.time() - began < 5
 
 
+def test_contexts_of_secrets():
+    """Identifiers, schemes, quotes, what a base span leaves over; paths of words are none."""
+    costs = secrets.GuessCosts([])
+    spans = lambda text: [text[s:e] for s, k, e in secrets.find_spans(text, 10.0, costs)[0] if k == 3]
+    value = "#9Kq!v2$Lm8&Zt4z"
+    for text in ('dbPassword = "{}"', "clientSecret: '{}'", 'accessToken="{}",', "Authorization: Bearer {}", 'auth: "Bearer {}"', "login: {}", "{{'db_pass' => '{}'}}", "PASSWORD={}"):
+        assert spans(text.format(value)) == [value], text
+    assert spans('password: "kR,tQ;9z<b>#Vb!NwLp" x') == ["kR,tQ;9z<b>#Vb!NwLp"]
+    assert spans("password = abcdef" + value) == [value]
+    assert spans('password: "abcdef' + value + '"') == [value]
+    assert spans("bypass: compassion: " + value) == [] and spans("x.dbpassword#" + value) == []
+    assert spans("auth: https://example.com/docs/setup-guide") == [] and spans("pass: through/the/valley/of/shadows") == []
+    assert spans("auth: https://example.com/docs/Zk93vQ81xLw") == ["https://example.com/docs/Zk93vQ81xLw"]
+    assert spans("Authorization: Bearer") == [] and spans("password: '") == [] and spans('password="') == []
+
+
+@pytest.mark.parametrize("piece", ["password=", "password='", 'pass="x', "auth: Bearer ", "pass:a/", "dbPass", "pass => "])
+def test_contexts_take_linear_time(piece):
+    import time
+
+    began = time.time()
+    secrets.find_spans(piece * (300_000 // len(piece)), 10.0, secrets.GuessCosts([]))
+    assert time.time() - began < 10
+
+
+def test_the_last_level_of_the_commonest_is_filled(spark):
+    from barweave.llm.common import commonest
+
+    counts = spark.range(21_000).selectExpr("concat('w', id) AS w", "if(id < 50, 1000 - id, 2) AS n")
+    found = commonest(counts, "w", "n", 20_000)
+    assert len(found) == len(set(found)) == 20_000
+    assert found[:50] == [(f"w{i}", 1000 - i) for i in range(50)] and {n for _, n in found[50:]} == {2}
+    assert found == commonest(counts.repartition(7), "w", "n", 20_000) and found[50:] == sorted(found[50:])
+    assert len(commonest(counts, "w", "n", 20)) == 20 and commonest(counts, "w", "n", 0) == []
+    assert len(commonest(counts, "w", "n", 30_000)) == 21_000 and commonest(counts.where("n < 2"), "w", "n", 5) == []
+
+
 def test_corpus_words_make_the_dictionary(spark):
     text = "the Cat sat on the mat and the cat ran; auth: implementation pwd: zqkwjvxhrt"
     df = spark.createDataFrame([(i, text) for i in range(3)] + [(9, None)], "doc_id long, text string")

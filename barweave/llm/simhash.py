@@ -12,7 +12,7 @@ import math
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import commonest, id_and_text, kept, map_texts, mix, row_key, scratch, stored, word_hashes
@@ -112,9 +112,15 @@ def simhash_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id",
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The near-duplicate mode: words to a shingle, the least Jaccard similarity, bits between fingerprints. A pair at
-#: 0.8 differs at some 10 bits with a deviation of 3, so this radius keeps all but a vanishing part.
+#: The near-duplicate mode: words to a shingle, the least Jaccard similarity, bits between the fingerprints of texts that
+#: meet in a table. A pair at 0.8 differs at some 10 bits with a deviation of 3; some differ at more than this.
 NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 19
+#: Pairs within so many bits meet in one of 15 tables for sure, others by chance.
+TABLE_RADIUS = 3
+#: Longs of a parity sketch.
+SKETCH = 16
+#: Texts of a group that the whole group meets in one task.
+GROUP_BLOCK = 1024
 #: So many of the commonest shingles are known by their rank; it only sets the order of prefixes.
 MAX_COMMON = 50_000
 #: Bits of the map that tells most texts without candidates from those with some.
@@ -151,17 +157,29 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
     return values[order], (len(values) - np.arange(len(values)))[order]
 
 
+def parity_sketch(grams: np.ndarray) -> list[int]:
+    """For each of 64 * SKETCH places, whether an odd number of the shingles falls on it. The sketches of two sets differ
+    at no more places than there are shingles that only one of them has."""
+    places = np.bincount((grams >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(places.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+_SKETCH = tuple(f"s{i}" for i in range(SKETCH))
+
+
 def near_duplicate_rows(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, key (the ``row_key`` of the row), component (a name of its group). Texts link if the Jaccard
-    similarity of their ``words``-word shingles is ``similarity`` or more.
-
-    Texts of the same lower-cased words meet in an aggregation first. Two sets at a Jaccard similarity t share one
-    of the first n - ceil(t n) + 1 shingles of each in any common order; the order puts common shingles last, so
-    these prefixes share little else. Pairs with a shared prefix shingle whose fingerprints are within
-    ``radius`` are compared exactly. A group of m near copies makes O(m) pairs: each text is compared with the two ends
-    of its groups, in the groups that are not one component then with four more, and only what shares a shingle but no
-    component yet with each other. A null text counts as empty; texts of any
-    length are taken whole; repeated rows each give a row; other columns are ignored; an empty table gives no rows."""
+    similarity of their ``words``-word shingles is ``similarity`` or more, however far their fingerprints are.
+
+    Texts of the same lower-cased words meet in an aggregation first. Fingerprints are looked up in covering tables: each
+    text meets the two ends of its buckets, within ``radius`` bits. At this similarity 64 bits cannot tell all pairs from
+    chance, so an exact way follows for those that no table brought together: two sets at a Jaccard similarity t share
+    one of the first n - ceil(t n) + 1 shingles of each in any common order; the order puts common shingles last, so
+    these prefixes share little else. Texts meet the two ends of their prefix shingles' groups, and what shares a shingle
+    but no component after that meets pair by pair, a block of a group per task. There parity sketches leave out, without
+    a loss, nearly all pairs that are less alike; what they leave is compared exactly. So a group of m near copies
+    makes O(m) rows and those that do link. A null text counts as empty; texts of any length are taken whole; repeated
+    rows each give a row; other columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col).withColumn("key", row_key())
     common = spark.sparkContext.broadcast(_common_shingles(texts, words))
@@ -179,34 +197,30 @@ def near_duplicate_rows(docs: DataFrame, words: int = NEAR_WORDS, similarity: fl
                     at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
                     place = np.where(values[at] == grams, places[at], 0)
                 first = np.lexsort((grams, place))[: n - math.ceil(similarity * n - 1e-9) + 1]  # in the common order
-                rows.append((whole, fingerprint(grams), n, grams[first].view(np.int64)))
+                rows.append((whole, fingerprint(grams), n, grams[first].view(np.int64), *parity_sketch(grams)))
             return rows
 
         return one
 
     with scratch(spark):
-        prints = stored(map_texts(texts, "node long, fp long, n int, prefix array<bigint>", judge, keep=("doc_id", "key")))
-        nodes = stored(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min_by("prefix", F.coalesce("doc_id", F.lit(0))).alias("prefix")))
-        sizes = nodes.select("node", "fp", "n")
+        sketch = ", ".join(f"{c} long" for c in _SKETCH)
+        prints = stored(map_texts(texts, f"node long, fp long, n int, prefix array<bigint>, {sketch}", judge, keep=("doc_id", "key")))
+        nodes = stored(prints.groupBy("node").agg(F.min_by(F.struct("fp", "n", *_SKETCH, "prefix"), F.coalesce("doc_id", F.lit(0))).alias("x")).select("node", "x.*"))
+        sizes = nodes.drop("prefix")
+        group = Window.partitionBy("g")
         rows = nodes.select("node", F.posexplode("prefix").alias("p", "g"))
-        # Names are hashes, so the least and the largest of a group's are two of its texts at random.
-        ends = rows.groupBy("g").agg(F.min("node").alias("b"), F.max("node").alias("c")).where("b <> c")
-        held = stored(rows.join(ends, "g"))
-        first = held.select("node", F.explode(F.array("b", "c")).alias("b"))
-        links = _alike(texts, _near(first, sizes, radius, similarity), words, similarity)
-        components = connected_components(links)
-        # Once more with other texts of the groups that are not one yet.
-        split = stored(_split(held.select("g", "p", "node"), components))
-        turned = [F.col("node").bitwiseXOR(F.lit(mask)) for mask in TURNS]
-        pivots = split.groupBy("g").agg(F.array(*[f(t).bitwiseXOR(F.lit(mask)) for t, mask in zip(turned, TURNS) for f in (F.min, F.max)]).alias("b"))
-        second = split.select("g", "node").join(pivots, "g").select("node", F.explode("b").alias("b"))
-        links = links.unionByName(_alike(texts, _near(second, sizes, radius, similarity), words, similarity))
+        held = stored(rows.select("g", "p", "node", *_ends(group)).where("b <> c"))
+        tables = _near(_table_ends(sizes), sizes, similarity, radius)
+        groups = _near(held.select("node", F.explode(F.array("b", "c")).alias("b")), sizes, similarity)
+        links = _alike(texts, tables.unionByName(groups), words, similarity)
         components = connected_components(links)
         # What is left is compared pair by pair, where a shared shingle stands so early in both that all may agree.
-        left = stored(_split(split.select("g", "p", "node"), components).join(sizes, "node"))
-        right = left.select("g", *[F.col(c).alias(f"b_{c}") for c in ("node", "p", "fp", "n", "component")])
+        split = _split(held.select("g", "p", "node"), components).join(sizes, "node")
+        split = stored(split.withColumn("blocks", F.ceil(F.count("*").over(group) / GROUP_BLOCK).cast("int")))
+        left = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        right = split.select("g", F.pmod("node", "blocks").cast("int").alias("block"), *[F.col(c).alias(f"b_{c}") for c in ("p", "node", "component", "n", *_SKETCH)])
         early = F.least(F.col("n") - F.col("p"), F.col("b_n") - F.col("b_p")) >= similarity / (1 + similarity) * (F.col("n") + F.col("b_n")) - 1e-9
-        rest = left.join(right, "g").where((F.col("component") < F.col("b_component")) & early & _fits("fp", "b_fp", "n", "b_n", radius, similarity))
+        rest = left.join(right, ["g", "block"]).where((F.col("component") < F.col("b_component")) & early & _fits(similarity))
         links = links.unionByName(_alike(texts, rest.select("node", F.col("b_node").alias("b")), words, similarity))
         components = connected_components(links)
         labels = prints.select("doc_id", "key", "node").join(components, "node", "left")
@@ -214,20 +228,31 @@ def near_duplicate_rows(docs: DataFrame, words: int = NEAR_WORDS, similarity: fl
         return kept(found)
 
 
-#: Orders of names, besides their own, in which the ends of a group are other texts.
-TURNS = (0x5555555555555555, 0x3333333333333333)
+def _ends(group: Window) -> tuple[Column, Column]:
+    """The least and the largest name of a group. Names are hashes, so these are two of its texts at random."""
+    return F.min("node").over(group).alias("b"), F.max("node").over(group).alias("c")
+
+
+def _table_ends(sizes: DataFrame) -> DataFrame:
+    """(node, b): each text with the two ends of its buckets in the covering tables of fingerprints."""
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for t, m in enumerate(covering_masks(TABLE_RADIUS))])
+    rows = sizes.select("node", F.explode(tables).alias("x")).select("node", "x.*")
+    return rows.select("node", *_ends(Window.partitionBy("t", "bits"))).where("b <> c").select("node", F.explode(F.array("b", "c")).alias("b"))
 
 
-def _fits(fp: str, b_fp: str, n: str, b_n: str, radius: int, similarity: float):
-    """Whether two texts may be alike by their fingerprints and sizes."""
-    return (F.bit_count(F.col(fp).bitwiseXOR(F.col(b_fp))) <= radius) & (F.least(n, b_n) >= similarity * F.greatest(n, b_n) - 1e-9)
+def _fits(similarity: float) -> Column:
+    """Whether two texts may be alike by their sizes and sketches: sets at a similarity t have at most (1 - t) / (1 + t)
+    of their sizes' sum apart."""
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH), F.lit(0))
+    return (F.least("n", "b_n") >= similarity * F.greatest("n", "b_n") - 1e-9) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("b_n")) + 1e-9)
 
 
-def _near(pairs: DataFrame, sizes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """The different pairs (node, b) that may be alike."""
+def _near(pairs: DataFrame, sizes: DataFrame, similarity: float, radius: int | None = None) -> DataFrame:
+    """The different pairs (node, b) that may be alike, within ``radius`` bits if given."""
     own = pairs.where("node <> b").select(F.least("node", "b").alias("node"), F.greatest("node", "b").alias("b")).distinct()
-    other = sizes.select(F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("n").alias("b_n"))
-    return own.join(sizes, "node").join(other, "b").where(_fits("fp", "b_fp", "n", "b_n", radius, similarity)).select("node", "b")
+    other = sizes.select(*[F.col(c).alias("b" if c == "node" else f"b_{c}") for c in sizes.columns])
+    close = F.lit(True) if radius is None else F.bit_count(F.col("fp").bitwiseXOR(F.col("b_fp"))) <= radius
+    return own.join(sizes, "node").join(other, "b").where(close & _fits(similarity)).select("node", "b")
 
 
 def _split(held: DataFrame, components: DataFrame) -> DataFrame:

@@ -181,3 +181,62 @@ def test_near_dedup_on_the_table(spark):
     component, near = brute_near_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
     assert near > 5
     assert {r["doc_id"]: r["component_id"] for r in near_duplicate_components(docs).collect()} == component
+
+
+def test_near_dedup_links_texts_with_far_fingerprints(spark):
+    """A similarity of 0.8 or more links, however far the fingerprints are: two texts here differ at over 19 bits."""
+    import random
+
+    from barweave.llm.simhash import NEAR_RADIUS, fingerprint, near_duplicate_components, shingle_set
+
+    random.seed(5)
+    for _ in range(20000):
+        base = [f"w{random.randrange(10**6)}" for _ in range(22)]
+        other = base[:-2] + ["x", "y"]
+        a, b = (shingle_set(" ".join(w), 5)[1] for w in (base, other))
+        if ((fingerprint(a) ^ fingerprint(b)) % (1 << 64)).bit_count() > NEAR_RADIUS and len(set(a.tolist()) & set(b.tolist())) >= 0.8 * len(set(a.tolist()) | set(b.tolist())):
+            break
+    else:
+        raise AssertionError("no such pair")
+    docs = spark.createDataFrame([(0, " ".join(base)), (1, " ".join(other)), (2, " ".join(base[:10]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicate_components(docs).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def test_near_dedup_of_a_large_family_compares_few_pairs(spark, monkeypatch):
+    """Copies of one text, most of them less alike than 0.8: as brute force, and few pairs are compared that do not link,
+    also where a group spreads over blocks."""
+    import random
+
+    from barweave.llm import simhash
+
+    random.seed(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for at in random.sample(range(150), random.randrange(5)):  # up to four words, 20 shingles
+            copy[at] = f"x{random.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    sets = [set(simhash.shingle_set(t, 5)[1].tolist()) for _, t in rows]
+    alike = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    asked, exact = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda texts, pairs, *more: (asked.append(pairs.distinct().count()), exact(texts, pairs, *more))[1])
+    monkeypatch.setattr(simhash, "GROUP_BLOCK", 64)
+    component, _ = brute_near_components(rows)
+    assert len(set(component.values())) > 30 and 1000 < alike < 0.6 * 300 * 299 / 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_components(docs).collect()} == component
+    assert sum(asked) < alike + 1500
+
+
+def test_parity_sketches_never_differ_more_than_sets():
+    import numpy as np
+
+    from barweave.llm.simhash import parity_sketch
+
+    rng = np.random.default_rng(3)
+    for size, apart in ((10, 1), (200, 40), (5000, 900)):
+        a = rng.integers(1, 1 << 63, size, dtype=np.uint64)
+        b = np.concatenate([a[apart:], rng.integers(1, 1 << 63, apart, dtype=np.uint64)])
+        differ = sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(parity_sketch(a), parity_sketch(b)))
+        assert 0 < differ <= len(set(a.tolist()) ^ set(b.tolist()))

@@ -64,8 +64,10 @@ c AS (SELECT *, (close / lag(close) OVER (PARTITION BY ticker ORDER BY ts) - 1)
 SELECT sector, strftime(ts, '%Y-%m-%d') AS ts, count(*) AS tickers, round(sum(CAST(round(change_pct * 1e6) AS BIGINT)) / count(change_pct) / 1e6 + 1.3e-9, 6) + 0.0 AS change_pct, count(*) FILTER (WHERE change_pct > 0) AS rising FROM c JOIN sd ON sd.ticker = c.ticker GROUP BY ALL"""
 )
 def sector_moves(spark, sf):
-    """Mean change of each sector's tickers by day; sectors come from the dimension of suppliers."""
-    rows = H.with_sector(H.movers(B.walk(spark, sf, "by_supplier")), B.sector_dimension(spark, sf)).groupBy("sector", "ts")
+    """Mean change of each sector's tickers by day; sectors come from the dimension of suppliers. Their number grows with the
+    input, so only closes are made, and not stored: their change needs no other order of the rows."""
+    closes = B.walk_closes(B.prints(spark, sf, "by_supplier"))
+    rows = H.with_sector(H.movers(closes), B.sector_dimension(spark, sf)).groupBy("sector", "ts")
     mean = F.sum(F.round(F.col("change_pct") * 1e6).cast("long")) / F.count("change_pct") / 1e6
     rows = rows.agg(F.count("*").alias("tickers"), mean.alias("change_pct"), F.count(F.when(F.col("change_pct") > 0, 1)).alias("rising"))
     return _rounded(rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd")))

@@ -44,15 +44,27 @@ def raw_bars(trades: DataFrame) -> DataFrame:
     )
 
 
+def _cents() -> list[Column]:
+    return [F.sum(F.round(F.col("discount") * 100).cast("long")).alias("cents"), F.count("*").alias("n")]
+
+
+def _walk_close() -> Column:
+    """The close of a day (cents, n) on its ticker's path."""
+    micros = F.round((F.col("cents") / (F.col("n") * 100.0) - 0.05) * 1000000).cast("long")
+    return F.round(F.exp(F.sum(micros).over(Window.partitionBy("ticker").orderBy("ts")) / 1000000.0) * 100, 4)
+
+
+def walk_closes(trades: DataFrame) -> DataFrame:
+    """(ticker, ts, close) of ``walk_bars``, for what needs no more of them."""
+    return trades.groupBy("ticker", "ts").agg(*_cents()).select("ticker", "ts", _walk_close().alias("close"))
+
+
 def walk_bars(trades: DataFrame) -> DataFrame:
     """Daily bars of a price path: mean discounts less 5 % are added up as returns, in whole millionths so that
     the order of rows cannot matter; the day's spread of discounts widens the range."""
-    day = trades.groupBy("ticker", "ts").agg(
-        F.sum(F.round(F.col("discount") * 100).cast("long")).alias("cents"), F.count("*").alias("n"), (F.max("discount") - F.min("discount")).alias("spread"), F.sum("quantity").alias("volume")
-    )
+    day = trades.groupBy("ticker", "ts").agg(*_cents(), (F.max("discount") - F.min("discount")).alias("spread"), F.sum("quantity").alias("volume"))
     w = Window.partitionBy("ticker").orderBy("ts")
-    micros = F.round((F.col("cents") / (F.col("n") * 100.0) - 0.05) * 1000000).cast("long")
-    close = F.round(F.exp(F.sum(micros).over(w) / 1000000.0) * 100, 4)
+    close = _walk_close()
     rows = day.withColumn("close", close).withColumn("open", F.coalesce(F.lag("close").over(w), F.lit(100.0)))
     high = F.round(F.greatest("open", "close") * (1 + F.col("spread") * 0.1) + TIE, 4)
     low = F.round(F.least("open", "close") * (1 - F.col("spread") * 0.1) + TIE, 4)

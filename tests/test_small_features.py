@@ -67,3 +67,20 @@ def test_instruments_from_stored_answers(spark, tmp_path):
         (tmp_path / name / "part.json").write_text("\n".join(lines))
     rows = sorted(map(tuple, read_instruments(spark, str(tmp_path / "q"), str(tmp_path / "p")).collect()))
     assert rows == [("A", "Alpha", "USD", "X", 12.5, 1000, "Tech", "Chips"), ("B", "B", None, None, None, None, None, None)]
+
+
+def test_sector_moves_makes_closes_alone(spark, monkeypatch):
+    """No bars are built or stored for the sectors' moves; the closes are those of the bars."""
+    from barweave.plans import load
+    from barweave.sources import bars as B
+
+    sf = "/root/testdata/sf0.001"
+    trades = B.prints(spark, sf, "by_supplier")
+    key = lambda df: sorted(map(tuple, df.select("ticker", "ts", "close").collect()))
+    assert key(B.walk_closes(trades)) == key(B.walk_bars(trades))
+
+    def stored(*_):
+        raise AssertionError("bars were stored")
+
+    monkeypatch.setattr(B, "once", stored)
+    assert load()[0]["sector_moves"](spark, sf).count() > 100

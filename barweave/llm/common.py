@@ -100,6 +100,25 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+#: Bits of the largest map that ``apart`` broadcasts.
+MAP_BITS = 1 << 26
+
+
+def apart(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``key`` is surely none of ``keys``, and the others, which are few if ``keys`` are few.
+    Both have one column of hashes, as longs. A bit map with 16 bits a key, MAP_BITS at most, is broadcast; nothing of
+    ``rows`` is shuffled. Where more keys fill the map, more rows land among the others."""
+    bits = min(MAP_BITS, 1 << (16 * keys.count() | 0xFFFF).bit_length())
+    slot, bit = fresh("slot", rows), fresh("bits", rows)
+    place = F.col(key).bitwiseAND(F.lit(bits - 1))
+    at = F.shiftright(place, 6).cast("int")
+    here = F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))")
+    filled = stored(keys.select(at.alias(slot), here.alias(bit)).groupBy(slot).agg(F.bit_or(bit).alias(bit)))
+    marked = rows.withColumn(slot, at).join(F.broadcast(filled), slot, "left")  # at most MAP_BITS / 64 rows
+    held = F.coalesce(F.col(bit).bitwiseAND(here), F.lit(0)) != 0
+    return marked.where(~held).select(*rows.columns), marked.where(held).select(*rows.columns)
+
+
 def fresh(name: str, *taken: DataFrame) -> str:
     """A column name that none of the tables has, whatever the case."""
     names = {c.lower() for df in taken for c in df.columns}

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import commonest, id_and_text, kept, map_texts, mix, row_key, scratch, stored, word_hashes
+from .common import apart, commonest, id_and_text, kept, map_texts, mix, row_key, scratch, stored, word_hashes
 from .graph import connected_components
 from .repeats import gram_hashes
 
@@ -117,14 +118,12 @@ def simhash_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id",
 NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 19
 #: Pairs within so many bits meet in one of 15 tables for sure, others by chance.
 TABLE_RADIUS = 3
-#: Longs of a parity sketch.
-SKETCH = 16
+#: Longs of the shortest parity sketch, which goes along in groups.
+SKETCH = 4
 #: Texts of a group that the whole group meets in one task.
 GROUP_BLOCK = 1024
 #: So many of the commonest shingles are known by their rank; it only sets the order of prefixes.
 MAX_COMMON = 50_000
-#: Bits of the map that tells most texts without candidates from those with some.
-MAP_BITS = 1 << 22
 
 
 def shingle_set(text: str | None, words: int) -> tuple[int, np.ndarray]:
@@ -158,12 +157,19 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def parity_sketch(grams: np.ndarray) -> list[int]:
-    """For each of 64 * SKETCH places, whether an odd number of the shingles falls on it. The sketches of two sets differ
-    at no more places than there are shingles that only one of them has."""
-    places = np.bincount((grams >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    """For each place, whether an odd number of the shingles falls on it: about as many places as shingles, a power of
+    two, in longs. The sketches of two sets differ at no more places than there are shingles that only one of them has;
+    half of a sketch laid over the other half is the sketch of half as many places."""
+    longs = max(SKETCH, 1 << max(0, len(grams) - 1).bit_length() >> 6)
+    places = np.bincount((grams >> np.uint64(32)).astype(np.int64) % (64 * longs), minlength=64 * longs) & 1
     return np.packbits(places.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
+def shortest_sketch(sketch: list[int]) -> list[int]:
+    """The sketch laid over itself down to SKETCH longs."""
+    return np.bitwise_xor.reduce(np.array(sketch, dtype=np.int64).reshape(-1, SKETCH)).tolist()
+
+
 _SKETCH = tuple(f"s{i}" for i in range(SKETCH))
 
 
@@ -197,31 +203,37 @@ def near_duplicate_rows(docs: DataFrame, words: int = NEAR_WORDS, similarity: fl
                     at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
                     place = np.where(values[at] == grams, places[at], 0)
                 first = np.lexsort((grams, place))[: n - math.ceil(similarity * n - 1e-9) + 1]  # in the common order
-                rows.append((whole, fingerprint(grams), n, grams[first].view(np.int64), *parity_sketch(grams)))
+                sketch = parity_sketch(grams)
+                rows.append((whole, fingerprint(grams), n, grams[first].view(np.int64), sketch, *shortest_sketch(sketch)))
             return rows
 
         return one
 
     with scratch(spark):
         sketch = ", ".join(f"{c} long" for c in _SKETCH)
-        prints = stored(map_texts(texts, f"node long, fp long, n int, prefix array<bigint>, {sketch}", judge, keep=("doc_id", "key")))
-        nodes = stored(prints.groupBy("node").agg(F.min_by(F.struct("fp", "n", *_SKETCH, "prefix"), F.coalesce("doc_id", F.lit(0))).alias("x")).select("node", "x.*"))
-        sizes = nodes.drop("prefix")
+        prints = stored(map_texts(texts, f"node long, fp long, n int, prefix array<bigint>, sketch array<bigint>, {sketch}", judge, keep=("doc_id", "key")))
+        # Only texts whose words may occur again are shuffled to leave one of each.
+        single, several = apart(prints, "node", prints.groupBy("node").count().where("count > 1").select("node"))
+        columns = ("key", "fp", "n", *_SKETCH, "sketch", "prefix")
+        one = several.groupBy("node").agg(F.min_by(F.struct(*columns), F.coalesce("doc_id", F.lit(0))).alias("x")).select("node", "x.*")
+        nodes = single.select("node", *columns).unionByName(one)
+        known = stored(nodes.drop("prefix"))
+        sizes = known.select("node", "fp", "n", *_SKETCH)
         group = Window.partitionBy("g")
         rows = nodes.select("node", F.posexplode("prefix").alias("p", "g"))
-        held = stored(rows.select("g", "p", "node", *_ends(group)).where("b <> c"))
+        held = stored(rows.select("g", "p", "node", *_ends(group), F.ceil(F.count("*").over(group) / GROUP_BLOCK).cast("int").alias("blocks")).where("b <> c"))
         tables = _near(_table_ends(sizes), sizes, similarity, radius)
         groups = _near(held.select("node", F.explode(F.array("b", "c")).alias("b")), sizes, similarity)
-        links = _alike(texts, tables.unionByName(groups), words, similarity)
+        links = _alike(texts, _likely(tables.unionByName(groups), known, similarity), known, words, similarity)
         components = connected_components(links)
         # What is left is compared pair by pair, where a shared shingle stands so early in both that all may agree.
-        split = _split(held.select("g", "p", "node"), components).join(sizes, "node")
-        split = stored(split.withColumn("blocks", F.ceil(F.count("*").over(group) / GROUP_BLOCK).cast("int")))
+        split = stored(_split(held.drop("b", "c"), components).join(sizes.drop("fp"), "node"))
         left = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         right = split.select("g", F.pmod("node", "blocks").cast("int").alias("block"), *[F.col(c).alias(f"b_{c}") for c in ("p", "node", "component", "n", *_SKETCH)])
         early = F.least(F.col("n") - F.col("p"), F.col("b_n") - F.col("b_p")) >= similarity / (1 + similarity) * (F.col("n") + F.col("b_n")) - 1e-9
         rest = left.join(right, ["g", "block"]).where((F.col("component") < F.col("b_component")) & early & _fits(similarity))
-        links = links.unionByName(_alike(texts, rest.select("node", F.col("b_node").alias("b")), words, similarity))
+        rest = _likely(rest.select("node", F.col("b_node").alias("b")), known, similarity)
+        links = links.unionByName(_alike(texts, rest, known, words, similarity))
         components = connected_components(links)
         labels = prints.select("doc_id", "key", "node").join(components, "node", "left")
         found = stored(labels.select("doc_id", "key", F.coalesce("component", "node").alias("component")))
@@ -241,10 +253,26 @@ def _table_ends(sizes: DataFrame) -> DataFrame:
 
 
 def _fits(similarity: float) -> Column:
-    """Whether two texts may be alike by their sizes and sketches: sets at a similarity t have at most (1 - t) / (1 + t)
-    of their sizes' sum apart."""
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH), F.lit(0))
-    return (F.least("n", "b_n") >= similarity * F.greatest("n", "b_n") - 1e-9) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("b_n")) + 1e-9)
+    """Whether two texts may be alike by their sizes and shortest sketches."""
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH), F.lit(0))
+    return (F.least("n", "b_n") >= similarity * F.greatest("n", "b_n") - 1e-9) & _few(differ, similarity)
+
+
+def _few(differ: Column, similarity: float) -> Column:
+    """Sets at a similarity t have at most (1 - t) / (1 + t) of their sizes' sum apart."""
+    return differ <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("b_n")) + 1e-9
+
+
+def _likely(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The different pairs (node, b) that may be alike by their whole sketches, the longer one laid over itself. Their
+    sizes fit, so it is twice as long at most."""
+    own = pairs.select(F.greatest("node", "b").alias("node"), F.least("node", "b").alias("b")).distinct()
+    x, y = known.select("node", "n", F.col("sketch").alias("x")), known.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("y"))
+    xor = lambda p, q: p.bitwiseXOR(q)
+    longs = F.least(F.size("x"), F.size("y"))
+    over = lambda c: F.when(F.size(c) > longs, F.zip_with(F.slice(c, F.lit(1), longs), F.slice(c, longs + 1, longs), xor)).otherwise(F.col(c))
+    differ = F.aggregate(F.zip_with(over("x"), over("y"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return own.join(x, "node").join(y, "b").where(_few(differ, similarity)).select("node", "b")
 
 
 def _near(pairs: DataFrame, sizes: DataFrame, similarity: float, radius: int | None = None) -> DataFrame:
@@ -256,10 +284,10 @@ def _near(pairs: DataFrame, sizes: DataFrame, similarity: float, radius: int | N
 
 
 def _split(held: DataFrame, components: DataFrame) -> DataFrame:
-    """Rows (g, p, node) with their component, of the groups that have more than one."""
+    """Rows (g, p, node, blocks) with their component, of the groups that have more than one."""
     known = held.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = known.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
-    return known.join(several, "g", "left_semi").select("g", "p", "node", "component")
+    return known.join(several, "g", "left_semi").select("g", "p", "node", "blocks", "component")
 
 
 def near_duplicate_components(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,33 +298,34 @@ def near_duplicate_components(docs: DataFrame, words: int = NEAR_WORDS, similari
     return labels.join(ids, "component").select("doc_id", "component_id")
 
 
-def _alike(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (node, b) whose sets of shingles have the similarity, as edges (a, b). Sets are made anew, for
-    the texts that a bit map of the candidates holds."""
-    pairs = stored(pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    slots = ends.select(F.col("node").bitwiseAND(F.lit(MAP_BITS - 1)).alias("x")).select(F.expr("cast(shiftright(x, 6) as int)").alias("slot"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    held = np.zeros(MAP_BITS >> 6, dtype=np.int64)
-    for r in slots.collect():  # at most MAP_BITS / 64 rows
-        held[r["slot"]] = r["bits"]
-    sent = texts.sparkSession.sparkContext.broadcast(held)
+def _alike(texts: DataFrame, pairs: DataFrame, known: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the different pairs (node, b) whose sets of shingles have the similarity, as edges (a, b). The texts go to
+    the pairs packed, a third of the size of their sets of hashes; sets are made anew where both are."""
+    import pyarrow as pa
 
-    def judge():
-        bits = sent.value
+    pairs = stored(pairs.select(F.col("node").alias("a"), "b"))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "key"), "node"))
 
-        def one(found):
-            rows = []
-            for text in found:
-                node, grams = shingle_set(text, words)
-                x = node & (MAP_BITS - 1)
-                wanted = (int(bits[x >> 6]) >> (x & 63)) & 1
-                rows.append((node, grams.view(np.int64)) if wanted else (None, None))
-            return rows
+    def pack():
+        return lambda found: [(zlib.compress((text or "").encode().translate(_LOWER), 6),) for text in found]
 
-        return one
+    some = map_texts(apart(texts, "key", wanted.select("key"))[1], "packed binary", pack, keep=("key",))
+    sets = stored(some.join(wanted, "key").groupBy("key", "node").agg(F.any_value("packed").alias("packed")).select("node", "packed"))
 
-    sets = map_texts(texts, "node long, grams array<bigint>", judge).where("node is not null")
-    sets = stored(sets.join(ends.distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("grams").alias("grams")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return stored(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
+    def judge(batches):
+        made = lambda packed: shingle_set(zlib.decompress(packed).decode(), words)[1]
+        last = one = None
+        for batch in batches:
+            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
+            keep = []
+            for i in range(len(a)):
+                if b[i] != last:  # pairs come in the order of b
+                    last, one = b[i], made(y[i])
+                other = made(x[i])
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(other) - both) - 1e-9)
+            found = pa.array(keep, type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(found), batch.column(1).filter(found)], names=["a", "b"])
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, row_key, stored
+from .common import apart, fresh, row_key, stored
 from .decontaminate import contaminated_rows
 from .pii import mask_personal_data
 from .quality import quality_verdicts
@@ -33,12 +33,13 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     rows = stored(near_duplicate_rows(docs))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = rows.groupBy("component").agg(F.min(order).alias("x")).select(F.col("x.key").alias("key"))
-    counted = rows.groupBy("key").agg(F.count("*").alias("n")).join(best, "key", "left_semi")
+    counted = stored(rows.groupBy("key").agg(F.count("*").alias("n")).join(best.withColumn("best", F.lit(True)), "key", "left"))
     key, n = fresh("key", docs), fresh("n", docs)
-    winners = stored(counted.select(F.col("key").alias(key), F.col("n").alias(n)))
-    found = docs.withColumn(key, row_key()).join(winners, key)
-    # Only rows that do repeat are shuffled to leave one of them.
-    return found.where(F.col(n) == 1).unionByName(found.where(F.col(n) > 1).dropDuplicates([key])).select(*docs.columns)
+    # Only rows that may go, or that do repeat, are shuffled; all others stay.
+    sure, others = apart(docs.withColumn(key, row_key()), key, counted.where("best is null or n > 1").select(F.col("key").alias(key)))
+    found = others.join(counted.where("best").select(F.col("key").alias(key), F.col("n").alias(n)), key)
+    once, more = found.where(F.col(n) == 1), found.where(F.col(n) > 1).dropDuplicates([key])
+    return sure.select(*docs.columns).unionByName(once.select(*docs.columns)).unionByName(more.select(*docs.columns))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -240,3 +240,54 @@ def test_parity_sketches_never_differ_more_than_sets():
         b = np.concatenate([a[apart:], rng.integers(1, 1 << 63, apart, dtype=np.uint64)])
         differ = sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(parity_sketch(a), parity_sketch(b)))
         assert 0 < differ <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_near_dedup_leaves_out_long_texts_that_are_not_alike(spark, monkeypatch):
+    """Long texts that share shingles but are less alike than 0.8 are told apart by sketches as long as they are; of the
+    texts, only those of likely pairs are sent."""
+    import random
+
+    from barweave.llm import simhash
+
+    random.seed(13)
+    base = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(12):
+        copy = list(base)
+        for at in random.sample(range(4000), 240):
+            copy[at] = f"x{random.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(20, rows[3][1] + " more"), (21, rows[3][1]), (22, " ".join(base[:1500])), (23, " ".join(base[:1400]))]
+    asked, exact = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda texts, pairs, *more: (asked.append(pairs.distinct().count()), exact(texts, pairs, *more))[1])
+    component, near = brute_near_components(rows)
+    assert near > 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_components(docs).collect()} == component
+    assert sum(asked) <= near + 3
+
+
+def test_sketches_laid_over_themselves_are_shorter_sketches():
+    import numpy as np
+
+    from barweave.llm.simhash import SKETCH, parity_sketch, shortest_sketch
+
+    grams = np.random.default_rng(5).integers(1, 1 << 63, 3000, dtype=np.uint64)
+    long = np.array(parity_sketch(grams))
+    places = np.bincount((grams >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    assert len(long) == 64 and shortest_sketch(long.tolist()) == np.packbits(places.astype(np.uint8), bitorder="little").view("<i8").tolist()
+    assert [len(parity_sketch(grams[:n])) for n in (0, 1, 256, 257, 512, 513)] == [4, 4, 4, 8, 8, 16]
+
+
+@pytest.mark.parametrize("bits", [1 << 16, 1 << 26])
+def test_apart_leaves_no_wanted_row_behind(spark, monkeypatch, bits):
+    from barweave.llm import common
+
+    monkeypatch.setattr(common, "MAP_BITS", bits)
+    rows = spark.range(30000).selectExpr("xxhash64(id) AS key", "id AS slot", "id AS bits")
+    keys = spark.range(0, 30000, 50).selectExpr("xxhash64(id) AS key")
+    sure, others = common.apart(rows, "key", keys)
+    wanted, found = {r["key"] for r in keys.collect()}, [r["key"] for r in others.collect()]
+    assert sure.columns == rows.columns and wanted <= set(found) and not wanted & {r["key"] for r in sure.collect()}
+    assert sure.count() + len(found) == 30000 and len(found) < 6000
+    assert common.apart(rows, "key", keys.limit(0))[1].count() == 0

@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prints(spark: SparkSession, sf_dir: str, universe: str = "by_type") -> DataFrame:
-    """Line items as trades: ticker, ts, price, quantity, discount and the full tie-break tuple."""
+    """Line items as trades: ticker, ts, price, quantity, discount and the full tie-break tuple. They are never sorted to
+    meet their part or supplier: a partition holds its few of those as a hash table."""
     line = table(spark, sf_dir, "lineitem")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("seq")
     if universe == "by_supplier":
@@ -30,10 +31,10 @@ def prints(spark: SparkSession, sf_dir: str, universe: str = "by_type") -> DataF
         rows = line.withColumn("ticker", F.lit("ALL"))
     elif universe == "by_region":
         place = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        rows = line.join(place.select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("ticker")), "l_suppkey")
+        rows = line.join(place.select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("ticker")).hint("shuffle_hash"), "l_suppkey")
     else:
         part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type" if universe == "by_type" else "p_brand").alias("ticker"))
-        rows = line.join(part, "l_partkey")
+        rows = line.join(part.hint("shuffle_hash"), "l_partkey")
     return rows.select("ticker", F.to_date("l_shipdate").alias("ts"), F.expr("l_extendedprice / nullif(l_quantity, 0)").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), order)
 
 
@@ -44,8 +45,15 @@ def raw_bars(trades: DataFrame) -> DataFrame:
     )
 
 
+def cents(amount: Column) -> Column:
+    """Whole hundredths, halves away from zero: what ``round`` gives, without a decimal per row."""
+    whole = (amount * 100).cast("long")
+    rest = amount * 100 - whole
+    return whole + F.when(rest >= 0.5, 1).when(rest <= -0.5, -1).otherwise(0)
+
+
 def _cents() -> list[Column]:
-    return [F.sum(F.round(F.col("discount") * 100).cast("long")).alias("cents"), F.count("*").alias("n")]
+    return [F.sum(cents(F.col("discount"))).alias("cents"), F.count("*").alias("n")]
 
 
 def _walk_close() -> Column:

@@ -84,3 +84,30 @@ def test_sector_moves_makes_closes_alone(spark, monkeypatch):
 
     monkeypatch.setattr(B, "once", stored)
     assert load()[0]["sector_moves"](spark, sf).count() > 100
+
+
+def test_line_items_meet_their_parts_and_suppliers_unsorted(spark):
+    from barweave.sources import bars as B
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for universe in ("by_type", "by_brand", "by_region"):
+            plan = B.walk_closes(B.prints(spark, "/root/testdata/sf0.001", universe))._jdf.queryExecution().sparkPlan().toString()
+            meets = [x for x in plan.splitlines() if "Join [l_" in x]
+            assert len(meets) == 1 and "ShuffledHashJoin" in meets[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_cents_are_what_round_gives(spark):
+    from pyspark.sql import functions as F
+
+    from barweave.sources import bars as B
+
+    values = [None, 0.0, 0.05, 0.005, -0.005, 0.0049999999999999994, -0.0049999, 0.015, 0.07, 0.29, 0.57, 1.005, 12.345, -1.115, 2.675, 1e9 + 0.125]
+    rows = spark.createDataFrame([(v,) for v in values] + [(i / 1000,) for i in range(-300, 300)], "d double")
+    plan = rows.select(B.cents(F.col("d")).alias("c"))
+    assert "round" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    for r in rows.select(B.cents(F.col("d")).alias("c"), F.round(F.col("d") * 100).cast("long").alias("w")).collect():
+        assert r["c"] == r["w"]
